@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io as io
-from . import decontam, repeat_windows
+from . import decontam, parity_join, pii, repeat_windows, secret_link, toxicity, warc_store
+
+
+def op2_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(io.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
+def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_link.find_secrets(io.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.size("links").cast("long").alias("n_links"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +26,32 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similarity_components(io.table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeat_windows.remove_repeats(io.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_store.read_back(*warc_store.write_archive(io.table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(io.table(spark, sf_dir, "documents"), io.table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_deobfuscated_pii": op2_deobfuscated_pii,
+    "op4_linked_secrets": op4_linked_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_parity_join": op6_parity_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -57,3 +57,44 @@ def op7(docs, length=20):
                 gone[i : i + length] = [True] * length
         out[d] = (len(ws), sum(gone), sha(" ".join(w for w, g in zip(ws, gone, strict=True) if not g)))
     return out
+
+
+def shingles(text, size=4):
+    ws = SPACED.findall(lower(text))
+    return {tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))} if ws else set()
+
+
+def op6(docs, links_only=False):
+    sets = {d: shingles(t) for d, t in docs}
+    index, parent = {}, {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d in sorted(sets):
+        shared = {}
+        for s in sets[d]:
+            for e in index.get(s, ()):
+                shared[e] = shared.get(e, 0) + 1
+            index.setdefault(s, []).append(d)
+        for e, c in shared.items():
+            if 100 * c >= 85 * (len(sets[d]) + len(sets[e]) - c):
+                a, b = sorted((root(d), root(e)))
+                parent[b] = a
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def op9(pages):
+    first = {}
+    for page, html in sorted(pages):
+        data = (html or "").encode()
+        if len(data) >= 100:
+            first.setdefault(data, page)
+    out = {}
+    for page, html in pages:
+        data = (html or "").encode()
+        owner = first.get(data, page)
+        out[page] = (len(data), hashlib.sha256(data).hexdigest(), "response" if owner == page else "revisit", None if owner == page else owner)
+    return out
