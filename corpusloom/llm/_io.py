@@ -46,7 +46,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def buckets(spark: SparkSession) -> int:
     """Buckets of a hashed exchange: several to a partition, so that none of them weighs much."""
-    return min(1 << 14, max(64, 8 * shuffle_partitions(spark)))
+    return min(1 << 14, max(64, 4 * shuffle_partitions(spark)))
 
 
 def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
