@@ -261,3 +261,24 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "clean_text"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, clean_text string")
+
+
+def mask_column(docs: DataFrame) -> DataFrame:
+    """docs with the spans of their texts masked; n_chars, where there is one, follows the text."""
+    columns = docs.columns
+    at = columns.index("text")
+    size = columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = list(batch.columns)
+            texts = [t.as_py() for t in arrays[at]]
+            found = [find(t) for t in texts]
+            clean = [masked(t, [*b, *a]) if b or a else t for t, (b, a) in zip(texts, found, strict=True)]
+            if size is not None:
+                sizes = [n if c is t else len(c) for n, t, c in zip(arrays[size].to_pylist(), texts, clean, strict=True)]
+                arrays[size] = pa.array(sizes, arrays[size].type)
+            arrays[at] = pa.array(clean, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return docs.mapInArrow(run, docs.schema)

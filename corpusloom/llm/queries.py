@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io as io
-from . import decontam, parity_join, pii, repeat_windows, secret_link, toxicity, warc_store
+from . import decontam, mixing, parity_join, pii, quality_eb, repeat_windows, secret_link, spot_signatures, toxicity, warc_store
+
+
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.fingerprints(io.table(spark, sf_dir, "documents"))
 
 
 def op2_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,11 @@ def op2_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = io.table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, docs, "lang").rows.select("doc_id", "tokens", "posterior", "rate")
+
+
 def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_link.find_secrets(io.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.size("links").cast("long").alias("n_links"))
@@ -35,6 +44,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_eb.quality(io.table(spark, sf_dir, "documents"), io.table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_store.read_back(*warc_store.write_archive(io.table(spark, sf_dir, "pages")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -46,11 +59,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spot_signatures": op1_spot_signatures,
     "op2_deobfuscated_pii": op2_deobfuscated_pii,
+    "op3_soft_mixing": op3_soft_mixing,
     "op4_linked_secrets": op4_linked_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op6_parity_join": op6_parity_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
