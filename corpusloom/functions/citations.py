@@ -28,10 +28,12 @@ def extract(docs: DataFrame, key: str, text: str, laws: dict[str, list[str]] = L
     """key, law_name, article_no, raw: known laws first, then names of that form; each once."""
     body = F.coalesce(F.col(text), F.lit(""))
     known = rf"《?({_known(laws)})》?{_NUMBER}"
-    both = []
-    for rank, pattern in enumerate((known, _GENERIC)):
+
+    def found(rank: int, pattern: str) -> Column:
         raw, name, number = (F.regexp_extract_all(body, F.lit(pattern), F.lit(i)) for i in (0, 1, 2))
-        both.append(F.transform(F.arrays_zip(raw.alias("raw"), name.alias("name"), number.alias("number")), lambda x, i, rank=rank: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x["raw"].alias("raw"), x["name"].alias("name"), x["number"].alias("number"))))
+        return F.transform(raw, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x.alias("raw"), F.get(name, i).alias("name"), F.get(number, i).alias("number")))
+
+    both = [found(rank, pattern) for rank, pattern in enumerate((known, _GENERIC))]
     rows = docs.select(key, F.explode(F.concat(*both)).alias("c"))
     rows = rows.select(key, canonical(F.col("c.name"), laws).alias("law_name"), article_number(F.col("c.number")).alias("article_no"), "c.raw", F.struct("c.rank", "c.i").alias("_at"))
     return rows.groupBy(key, "law_name", "article_no").agg(F.min_by("raw", "_at").alias("raw"))

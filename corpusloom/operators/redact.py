@@ -210,8 +210,12 @@ def reversible_map(docs: DataFrame, key: str = "doc_id", text: str = "text", kno
     """kind, original, placeholder for everything the kinds find: originals of `known` (same
     columns) keep theirs; new ones are numbered by first occurrence, after the largest known."""
     rest, found = F.coalesce(F.col(text), F.lit("")), []
+
+    def named(kind: str, i: int) -> Callable[[Column, Column], Column]:
+        return lambda v, p: F.struct(F.lit(kind).alias("kind"), v.alias("original"), F.lit(i).alias("_i"), p.alias("_p"))
+
     for i, (kind, pattern) in enumerate(kinds):
-        found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), lambda v, p, i=i, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("original"), F.lit(i).alias("_i"), p.alias("_p"))))
+        found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), named(kind, i)))
         rest = F.regexp_replace(rest, pattern, "\u0000")
     each = docs.select(key, F.explode(F.concat(*found)).alias("x")).select("x.kind", "x.original", F.struct(key, "x._i", "x._p").alias("_at"))
     first = each.groupBy("kind", "original").agg(F.min("_at").alias("_at"))

@@ -49,7 +49,7 @@ def tip(risk: Column) -> Column:
 
 def risk_key(*candidates: Column) -> Column:
     """The first that isn't blank, without blanks and quotes around it."""
-    cleaned = [F.trim(F.lit("\"'"), F.trim(F.coalesce(c, F.lit("")))) for c in candidates]
+    cleaned = [F.trim(F.trim(F.coalesce(c, F.lit(""))), F.lit("\"'")) for c in candidates]
     return F.coalesce(*[F.when(c != "", c) for c in cleaned], F.lit(""))
 
 

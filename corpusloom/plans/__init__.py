@@ -1 +1,6 @@
+"""The engine's query catalogue: name -> (spark, folder) -> DataFrame, and name -> SQL."""
 
+from . import documents, records, search
+
+QUERIES = {**search.QUERIES, **documents.QUERIES, **records.QUERIES}
+SQL = {**search.SQL, **documents.SQL, **records.SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,20 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 _own_folder: list[str] = []
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's checkpoint folder, which all executors share; below a folder
+    of this process only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))
+            atexit.register(shutil.rmtree, _own_folder[0], True)
+        base = f"file://{_own_folder[0]}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's checkpoint folder, which all executors share; in
-    a folder of this process only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
-        context.setCheckpointDir(_own_folder[0])
-    return df.checkpoint(eager=True)
+    """df computed once, written to a work folder and read from there: cuts the lineage."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
