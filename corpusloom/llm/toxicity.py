@@ -31,7 +31,7 @@ SAMPLE_ROWS = 4000
 THRESHOLD = 0.3
 #: Words on either side of a hit that tell its context.
 CONTEXT = 6
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 400_000
 
 # Common English insults, and words that tell quotation or address.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb fool vermin filthy jerk bastard".split()
@@ -61,7 +61,11 @@ class Lexicon:
     _states: dict[frozenset, int] = field(default_factory=dict)
     _sets: list[frozenset] = field(default_factory=list)
     _next: list[dict[str, int]] = field(default_factory=list)
-    _seen: dict[str, tuple] = field(default_factory=dict)
+    #: Of each state the (entry, edits) that end there: stems, and whole words within their budget.
+    _stems: list[list[tuple[int, int]]] = field(default_factory=list)
+    _words: list[list[tuple[int, int]]] = field(default_factory=list)
+    #: Words that are known to match nothing; emptied when it is full.
+    clean: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         for i, e in enumerate(self.entries):
@@ -84,6 +88,9 @@ class Lexicon:
             self._states[members] = len(self._sets)
             self._sets.append(members)
             self._next.append({})
+            ends = [(k, e) for node, e in members for k in self._ends[node]]
+            self._stems.append([(k, e) for k, e in ends if self.entries[k].stem and not e])
+            self._words.append([(k, e) for k, e in ends if not self.entries[k].stem and e <= self.entries[k].edits])
         return self._states[members]
 
     def _closed(self, members: set[tuple[int, int]]) -> frozenset:
@@ -111,33 +118,30 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
         """(entry, edits) of the entries that this word is, begins with or misspells."""
-        if (known := self._seen.get(word)) is not None:
-            return known
         found: dict[int, int] = {}
-        state, table = 1, self._next
-        for i, c in enumerate(word):
+        state, table, stems = 1, self._next, self._stems
+        left = len(word)
+        for c in word:
             to = table[state].get(c)
             if to is None:
                 to = table[state][c] = self._step(state, c)
             state = to
             if not state:
                 break
-            for node, e in self._sets[state] if i + 1 < len(word) else ():
-                for k in self._ends[node]:
-                    if self.entries[k].stem and e == 0:
-                        found[k] = 0
-        for node, e in self._sets[state]:
-            for k in self._ends[node]:
-                if not self.entries[k].stem and e <= self.entries[k].edits and abs(len(word) - len(self.entries[k].term)) <= e:
-                    found[k] = min(e, found.get(k, 9))
-        out = tuple(sorted(found.items()))
-        if len(self._seen) > _CACHE_WORDS:
-            self._seen.clear()
+            left -= 1
+            if left and stems[state]:
+                found.update(stems[state])
+        for k, e in self._words[state]:
+            found[k] = min(e, found.get(k, 9))
+        if not found:
+            if len(self.clean) >= _CACHE_WORDS:
+                self.clean.clear()
+            self.clean.add(word)
         if len(self._sets) > _CACHE_WORDS:
-            self._states.clear(), self._sets.clear(), self._next.clear()
+            for kept in (self._states, self._sets, self._next, self._stems, self._words):
+                kept.clear()
             self._state(frozenset()), self._state(self._closed({(0, 0)}))
-        self._seen[word] = out
-        return out
+        return tuple(sorted(found.items()))
 
 
 def context(text: str, begin: int, end: int) -> tuple[bool, bool]:
@@ -156,16 +160,17 @@ N_FIGURES = 9
 def figures(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the model sees of a text."""
     text = text or ""
-    counts = Counter(_WORD.findall(text.lower()))
-    n = sum(counts.values())
+    words = _WORD.findall(text.lower())
+    n = len(words)
     total = 0.0
     hits = near = 0
     terms: set[int] = set()
     hit_words = []
-    for word, c in counts.items():
+    for word in set(words) - lexicon.clean:
         found = lexicon.match(word)
         if not found:
             continue
+        c = words.count(word)
         k, e = min(found, key=lambda x: (x[1], -lexicon.entries[x[0]].weight))
         terms.add(k)
         hits += c
