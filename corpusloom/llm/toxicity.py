@@ -287,7 +287,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     lexicon = Lexicon(entries)
     y = np.array([y for _, y in sample], dtype=float)
     if len(sample) < 40 or y.sum() < 5 or y.sum() > len(y) - 5:
-        return Model(entries, np.zeros(N_FIGURES), np.ones(N_FIGURES), np.array([-3.0, 0.4, *[0.0] * (N_FIGURES - 3), -1.0, 0.5, 0.0]))
+        return Model(entries, np.zeros(N_FIGURES), np.ones(N_FIGURES), np.array([-3.0, 0.4, 0.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.5, 0.0]))
     return Model(entries, *logistic(np.array([figures(t, lexicon) for t, _ in sample]), y))
 
 
