@@ -9,8 +9,10 @@ from .query import LAWS
 from .text import arabic_to_chinese, article_number
 
 _NUMBER = "第([一二三四五六七八九十百千零〇两0-9]+)条"
-#: Names that end in a kind of rule; words that introduce a citation are not part of a name.
-_GENERIC = rf"《?((?:(?!根据|依据|按照|依照)[一-鿿]){{1,19}}(?:法典|法|条例|规定|解释|办法|规则))》?{_NUMBER}"
+#: Names that end in a kind of rule.
+_GENERIC = rf"《?([一-鿿]{{2,20}}(?:法典|法|条例|规定|解释|办法|规则))》?{_NUMBER}"
+#: What introduces a citation is not part of its name.
+_LEAD_IN = "^.*(?:根据|依据|按照|依照)"
 
 
 def _known(laws: dict[str, list[str]]) -> str:
@@ -29,11 +31,12 @@ def extract(docs: DataFrame, key: str, text: str, laws: dict[str, list[str]] = L
     body = F.coalesce(F.col(text), F.lit(""))
     known = rf"《?({_known(laws)})》?{_NUMBER}"
 
-    def found(rank: int, pattern: str) -> Column:
-        raw, name, number = (F.regexp_extract_all(body, F.lit(pattern), F.lit(i)) for i in (0, 1, 2))
-        return F.transform(raw, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x.alias("raw"), F.get(name, i).alias("name"), F.get(number, i).alias("number")))
+    def found(rank: int, pattern: str, of: Column) -> Column:
+        raw, name, number = (F.regexp_extract_all(of, F.lit(pattern), F.lit(i)) for i in (0, 1, 2))
+        return F.transform(raw, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x.alias("raw"), F.regexp_replace(F.get(name, i), _LEAD_IN, "").alias("name"), F.get(number, i).alias("number")))
 
-    both = [found(rank, pattern) for rank, pattern in enumerate((known, _GENERIC))]
+    # other names are looked for in what the known laws leave
+    both = [found(0, known, body), found(1, _GENERIC, F.regexp_replace(body, known, "|"))]
     rows = docs.select(key, F.explode(F.concat(*both)).alias("c"))
     rows = rows.select(key, canonical(F.col("c.name"), laws).alias("law_name"), article_number(F.col("c.number")).alias("article_no"), "c.raw", F.struct("c.rank", "c.i").alias("_at"))
     return rows.groupBy(key, "law_name", "article_no").agg(F.min_by("raw", "_at").alias("raw"))

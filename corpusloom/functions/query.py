@@ -82,10 +82,8 @@ def law_name(query: Column, laws: dict[str, list[str]] = LAWS) -> Column:
 
 
 def effect_level(query: Column, levels: dict[str, list[str]] = EFFECT_LEVELS) -> Column:
-    out = None
-    for level, words in levels.items():
-        out = (out or F).when(contains_any(query, words), F.lit(level))
-    return out
+    told = [F.when(contains_any(query, words), F.lit(level)) for level, words in levels.items()]
+    return F.coalesce(*told, F.lit(None).cast("string"))
 
 
 def articles(query: Column, cues: Cues = Cues()) -> Column:

@@ -65,7 +65,7 @@ def skills(spark: SparkSession, paths: str) -> DataFrame:
     parts = F.split("text", r"(?m)^---\s*$", 3)
     lines = F.filter(F.split(parts[1], "\n"), lambda x: x.rlike(r"^[A-Za-z_]+:\s*\S"))
     entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)), F.lit("\"' ")).alias("value"))
-    return texts.where(F.startswith("text", F.lit("---"))).select("path", F.map_from_entries(F.transform(lines, entry)).alias("meta"), F.trim(parts[2]).alias("body"))
+    return texts.where(F.startswith("text", F.lit("---"))).select("path", F.map_from_entries(F.transform(lines, entry)).alias("meta"), F.regexp_replace(parts[2], r"^\s+|\s+$", "").alias("body"))
 
 
 def merged_config(*layers: Mapping[str, Any]) -> dict[str, Any]:
