@@ -70,4 +70,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(rule: str, fold: bool, of: str, key: str) -> str:
+    text = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')" if fold else "coalesce(text, '')"
+    return f"SELECT {key}, regexp_extract_all({text}, '{rule}') w FROM {of}"
+
+
+_SPACED, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: SQL for the contracts that SQL can tell. Spans (2, 4) need the places of matches, fingerprints
+#: (1) our own hashes, the others learnt models: these are held against brute force in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": f"""WITH d AS ({_words(_ALNUM, True, 'documents', 'doc_id')}), b AS ({_words(_ALNUM, True, 'benchmark', 'item_id')}),
+      pat AS (SELECT DISTINCT item_id, least(13, len(w)) n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') p FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) i FROM b WHERE len(w) > 0)),
+      win AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM d, (SELECT DISTINCT n FROM pat) WHERE len(w) >= n)),
+      hit AS (SELECT doc_id, win.n, i, item_id FROM win JOIN pat ON win.n = pat.n AND win.p = pat.p),
+      cov AS (SELECT doc_id, count(DISTINCT x) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) x FROM hit) GROUP BY doc_id),
+      ids AS (SELECT doc_id, count(*) n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+      SELECT doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
+      FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op6_parity_join": f"""WITH RECURSIVE d AS ({_words(_SPACED, True, 'documents', 'doc_id')}),
+      s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) i FROM d WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+      c AS (SELECT x.doc_id a, y.doc_id b, count(*) k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+      e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+      ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      r AS (SELECT doc_id, doc_id o FROM d UNION SELECT r.doc_id, ways.b FROM r JOIN ways ON r.o = ways.a)
+      SELECT d.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(o) component_id FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op7_substring_dedup": f"""WITH d AS ({_words(_SPACED, False, 'documents', 'doc_id')}),
+      win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) i FROM d WHERE len(w) >= 20)),
+      dup AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_id, i) > 1),
+      cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) i FROM dup),
+      each AS (SELECT doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) i FROM d),
+      one AS (SELECT each.doc_id, count(*) n_words, count(cov.i) n_removed, string_agg(x, ' ' ORDER BY each.i) FILTER (cov.i IS NULL) kept FROM each LEFT JOIN cov ON cov.doc_id = each.doc_id AND cov.i = each.i GROUP BY each.doc_id)
+      SELECT doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN one USING (doc_id)""",
+    "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), f AS (SELECT h, min(page_id) o FROM p WHERE strlen(h) >= 100 GROUP BY h)
+      SELECT page_id, strlen(p.h) payload_bytes, sha256(p.h) payload_digest, CASE WHEN o <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN o <> page_id THEN o END refers_to FROM p LEFT JOIN f ON p.h = f.h""",
+}
