@@ -60,8 +60,13 @@ def reranked(hits: DataFrame, scorer: Callable[[Column, Column], Column], query_
 def compare_rerankers(a: DataFrame, b: DataFrame, key: str, top: int = 5) -> DataFrame:
     """One row: largest and mean difference of scores, Jaccard of the first `top`."""
     both = a.select(key, F.col("score").alias("x")).join(b.select(key, F.col("score").alias("y")), key)
-    first = lambda c: F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col(c)).alias("s"), F.col(key).alias("k")))), 1, top), lambda v: v["k"])
-    out = both.agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("max_diff"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_diff"), first("x").alias("p"), first("y").alias("q"))
+    differences = both.agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("max_diff"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_diff"))
+
+    def first(score: str, name: str) -> DataFrame:
+        return both.orderBy(F.desc(score), key).limit(top).agg(F.collect_set(key).alias(name))
+
+    # three tables of one row each
+    out = differences.crossJoin(F.broadcast(first("x", "p"))).crossJoin(F.broadcast(first("y", "q")))
     return out.select("max_diff", "mean_diff", (F.size(F.array_intersect("p", "q")) / F.size(F.array_union("p", "q"))).alias("jaccard"))
 
 
@@ -79,3 +84,33 @@ def trace(hits: DataFrame, n: int = 10, width: int = 120) -> DataFrame:
     """query_id, trace: the first n hits with shortened texts and rounded scores."""
     row = F.struct("rank", F.col("doc_id"), F.substring("text", 1, width).alias("text"), F.round("score", 4).alias("score"))
     return hits.where(F.col("rank") <= n).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("trace"))
+
+
+def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, mode: str = "hybrid", fusion_name: str = "rrf", where: Column | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank by a named mode; an unknown mode or fusion is an error."""
+    if fusion_name != "rrf":
+        raise ValueError(f"no fusion {fusion_name!r}")
+    some = docs.where(where) if where is not None else docs
+    if mode == "dense":
+        near = vectors.join(some.select("doc_id"), "doc_id", "left_semi") if where is not None else vectors
+        return dense.search(near, queries, k, "doc_id", "vector")
+    if mode in ("sparse", "bm25"):
+        return bm25.search(some, queries, k)
+    if mode == "hybrid":
+        return hybrid(docs, vectors, queries, k, where=where).select("query_id", "doc_id", "score", F.col("final_rank").alias("rank"))
+    raise ValueError(f"no mode {mode!r}")
+
+
+def orchestrate(groups: DataFrame, docs: DataFrame, k_each: int = RECALL) -> DataFrame:
+    """groups (group_id, merge_mode, queries array, top_k): every question of every group in one
+    batched job; group_id, rank, doc_id, score, from_query. Blank questions are left out; 'fuse'
+    lists are cut to the group's top_k, 'separate' ones follow each other in their order."""
+    each = groups.select("group_id", "merge_mode", "top_k", F.posexplode("queries").alias("_o", "text")).where(F.trim("text") != "")
+    each = each.withColumn("query_id", F.concat_ws(":", F.col("group_id").cast("string"), F.col("_o").cast("string")))
+    hits = bm25.search(docs, each.select("query_id", "text"), k_each)
+    lists = hits.join(broadcast_if_small(each, 1_000_000), "query_id")
+    fused = fusion.fuse(lists.where("merge_mode = 'fuse'"), "group_id", "_o", "text", "doc_id", None)
+    fused = fused.join(groups.select("group_id", "top_k"), "group_id").where(F.col("rank") <= F.coalesce("top_k", F.lit(8))).drop("top_k")
+    apart = fusion.separate(lists.where("merge_mode = 'separate'"), "group_id", "_o")
+    apart = apart.select("group_id", "doc_id", "score", F.col("text").alias("from_query"), F.col("position").alias("rank"))
+    return fused.select("group_id", "doc_id", "score", "from_query", "rank").unionByName(apart)
