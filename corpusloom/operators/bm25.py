@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import broadcast_if_small
 
 K1, B = 1.5, 0.75
 #: Query rows (query, term) that are broadcast at most; beyond, terms meet in a shuffled join.
@@ -61,9 +60,10 @@ def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """Fitting anew on all documents is the only way to add some: no stale vocabulary."""
-    toks = tokenised(docs, key, text)
+    # dealt by document, so that counting its terms needs no exchange of postings
+    toks = tokenised(docs.select(key, text).repartition(key), key, text)
     postings = toks.select(key, "dl", F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    stats = statistics(docs, key, text)
     # one row a document and term: counting is enough, and is done in part before the exchange
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = df.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf"))
@@ -81,23 +81,31 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(query, F.explode(tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
 
 
+def _few(asked: DataFrame) -> bool:
+    return asked.limit(MAX_QUERY_ROWS + 1).count() <= MAX_QUERY_ROWS
+
+
 def scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "text", classic: bool = False) -> DataFrame:
     """query, key, score of every document that shares a term, straight from the texts.
 
-    Only tokens that some query asks for leave the scan: the terms are broadcast (after a count),
-    documents reduced to (document, term) counts, and idf computed for these terms alone.
+    Only tokens that some query asks for leave the scan: the terms are broadcast (after a count of
+    the questions' terms alone), documents reduced to (document, term) counts, which feed both the
+    idf of these terms and the scores through one exchange by document.
     """
     asked = query_terms(queries, query, query_text)
-    terms = broadcast_if_small(asked.select("term").distinct(), MAX_QUERY_ROWS)
+    hinted = F.broadcast if _few(asked) else lambda df: df
     toks = tokenised(docs, key, text)
     stats = toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = toks.select(key, "dl", F.explode("toks").alias("term")).join(terms, "term", "left_semi")
+    hits = toks.select(key, "dl", F.explode("toks").alias("term")).join(hinted(asked.select("term").distinct()), "term", "left_semi")
+    # dealt by document once: neither counting its terms nor adding up its scores moves rows again
+    hits = hits.repartition(key)
     tf = hits.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     df = df.select("term", idf(F.col("df"), F.col("n_docs")).alias("idf"), "avgdl")
+    # no more rows than the questions have terms
     asked = asked.join(df, "term").select(query, "term", "idf", "avgdl", query_weight(F.col("idf"), F.col("qtf"), classic=classic).alias("wq"))
     w = document_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return tf.join(broadcast_if_small(asked, MAX_QUERY_ROWS), "term").groupBy(query, key).agg(F.sum(F.col("wq") * w).alias("score"))
+    return tf.join(hinted(asked), "term").groupBy(query, key).agg(F.sum(F.col("wq") * w).alias("score"))
 
 
 def ranked(found: DataFrame, k: int, query: str, key: str, digits: int | None = 6) -> DataFrame:
@@ -130,9 +138,8 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text
     raw = index.terms.crossJoin(F.broadcast(index.stats)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean"))
     asked = query_terms(queries, query, query_text)
-    wanted = broadcast_if_small(asked.select("term").distinct(), MAX_QUERY_ROWS)
-    terms = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    hinted = F.broadcast if _few(asked) else lambda df: df
+    terms = raw.join(hinted(asked.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     w = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    asked = broadcast_if_small(asked.join(terms, "term"), MAX_QUERY_ROWS)
-    found = index.postings.join(asked, "term").groupBy(query, key).agg(F.sum(w).alias("score"))
+    found = index.postings.join(hinted(asked.join(terms, "term")), "term").groupBy(query, key).agg(F.sum(w).alias("score"))
     return ranked(found, k, query, key)

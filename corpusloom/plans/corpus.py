@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import query as qu
 from ..operators import bm25, chunking, dense, fusion, ingest, retrieval, store
-from ..session import table, work_folder
+from ..session import spread, table, work_folder
 from ..sources import markup
 from .search import _ITEMS, _bm25, _items, _top
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _pieces(spark, d, size=1000):

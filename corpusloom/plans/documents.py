@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import query as qu
 from ..functions import text as tx
 from ..operators import bm25, chunking, history, redact, retrieval, rules, store
-from ..session import table
+from ..session import spread, table
 from ..sources import markup
 
 PARENT, CHILD = (1000, 200), (250, 50)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 # -- chunking ----------------------------------------------------------------------------------

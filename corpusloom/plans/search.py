@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25, dense, fusion, retrieval
 from ..operators.filters import compile_filter
-from ..session import table
+from ..session import spread, table
 
 #: Searches take every EVERY-th row of a table as questions, against all rows.
 EVERY = 50
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
