@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at a time; bounds the temporary arrays of a worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,7 +56,7 @@ _powers: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(max(n, 2 * SLICE_BYTES), base, dtype=U64)
+            table = np.full(max(n, SLICE_BYTES + 2), base, dtype=U64)
             table[0] = 1
             _powers[i] = np.cumprod(table, dtype=U64)
     return _powers[0], _powers[1]

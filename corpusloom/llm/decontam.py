@@ -20,6 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import _io as io
 from . import _text as tx
 
 WINDOW = 13
@@ -123,7 +124,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
                 names=["doc_id", "n_words", "n_hit", "items", "word_spans", "char_spans"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return io.in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, SCHEMA)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

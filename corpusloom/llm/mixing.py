@@ -118,7 +118,7 @@ def memberships(docs: DataFrame, model: Classifier | None) -> DataFrame:
             tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(posteriors, pa.list_(pa.float64()))], names=["doc_id", "tokens", "posterior"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
+    return io.in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, tokens long, posterior array<double>")
 
 
 def _rate(steps: list[np.ndarray]) -> Column:

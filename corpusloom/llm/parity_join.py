@@ -267,7 +267,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_verify, "a long, b long")
+    return io.in_batches(both, _verify, "a long, b long")
 
 
 #: Sets of one range that a task compares with one another; larger groups are cut into blocks.
@@ -346,8 +346,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    sent = docs.mapInArrow(_send(io.buckets(spark)), _SENT)
-    met = io.written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET), "ranges")
+    sent = io.in_batches(docs, _send(io.buckets(spark)), _SENT)
+    met = io.written(io.in_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), _meet, _MET), "ranges")
     sets, shared = met.where("kind <> 1"), met.where("kind = 1")
     equal = sets.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
 
@@ -365,7 +365,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id"), F.col("_s")).cast("int")
     group = group.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     group = group.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "component", "n", "sketch")
-    pairs = group.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component", "doc_id").mapInArrow(_compare, "a long, b long")
+    pairs = io.in_batches(group.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component", "doc_id"), _compare, "a long, b long")
     pairs = io.written(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         found = io.written(verified(docs, pairs), "links")

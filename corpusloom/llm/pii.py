@@ -22,6 +22,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import _io as io
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -260,7 +262,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "clean_text"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, clean_text string")
+    return io.in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, clean_text string")
 
 
 def mask_column(docs: DataFrame) -> DataFrame:
@@ -281,4 +283,4 @@ def mask_column(docs: DataFrame) -> DataFrame:
             arrays[at] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return io.in_batches(docs, run, docs.schema)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _io as io
 from .toxicity import held_out, labelled_sample, logistic
 
 #: Labelled rows that the classifier may see, taken in the order of a hash of doc_id.
@@ -87,7 +88,7 @@ def evidence(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(p, pa.float64())], names=["doc_id", *carry, "evidence"])
 
     kinds = ", ".join(f"`{c}` string" for c in carry)
-    return docs.mapInArrow(run, f"doc_id long, {kinds + ', ' if kinds else ''}evidence double")
+    return io.in_batches(docs, run, f"doc_id long, {kinds + ', ' if kinds else ''}evidence double")
 
 
 def _logit(p: Column) -> Column:
@@ -139,7 +140,7 @@ def combine(rows: DataFrame, host: str, path: str) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, held_out, evidence, host_posterior, path_posterior, score, predicted."""
+    """Per row: doc_id, held_out, evidence, host_posterior, path_posterior, score, predicted (1: good), keep."""
     rows = evidence(docs, fit(labelled_sample(docs, labels, "quality", most)), [host, path])
     found = combine(rows, host, path)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("keep"))

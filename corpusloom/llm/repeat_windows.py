@@ -222,7 +222,7 @@ def _meet(last: bool) -> Callable:
 
 def _marked(docs: DataFrame, sent: DataFrame, last: bool) -> DataFrame:
     """docs with the marks found among the windows that were sent."""
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(last), _FOUND)
+    met = io.in_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), _meet(last), _FOUND)
     marks = met.groupBy("doc_id").agg(F.collect_list("blob").alias("marks"))
     return docs.join(marks, "doc_id", "left")
 
@@ -233,8 +233,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("a window needs two words at least")
     n = io.buckets(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    half = _marked(docs, docs.mapInArrow(_send_halves(length, n), _SENT), last=False)
-    return _marked(docs, half.mapInArrow(_send_full(length, n), _SENT), last=True)
+    half = _marked(docs, io.in_batches(docs, _send_halves(length, n), _SENT), last=False)
+    return _marked(docs, io.in_batches(half, _send_full(length, n), _SENT), last=True)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -262,4 +262,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_text", "removed"],
             )
 
-    return repeated(docs, length).select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")
+    return io.in_batches(repeated(docs, length).select("doc_id", "text", "marks"), run, "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<int>>")

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _io as io
+
 #: Labelled rows that the model may see, taken in the order of a hash of doc_id.
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.3
 #: Words on either side of a hit that tell its context.
 CONTEXT = 6
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 # Common English insults, and words that tell quotation or address.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb fool vermin filthy jerk bastard".split()
@@ -317,7 +319,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = own.scores(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array([int(r[3]) for r in rows], pa.int32())], names=["doc_id", "score", "predicted", "n_terms"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, n_terms int")
+    return io.in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, score double, predicted int, n_terms int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE_ROWS) -> DataFrame:

@@ -138,7 +138,7 @@ def segments(found: DataFrame, most: int = 64 << 20) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)])], names=["segment"])
 
-    return found.select("header", "record_type", "payload").mapInArrow(run, "segment binary")
+    return io.in_batches(found.select("header", "record_type", "payload"), run, "segment binary")
 
 
 def parse_segment(segment: bytes) -> Iterator[tuple[bytes, bytes]]:
