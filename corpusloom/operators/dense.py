@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors in a block; a block is broadcast and meets every batch of rows in one product.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -27,18 +27,35 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1.0)
 
 
-def _near(ids: list, queries: np.ndarray, k: int, normalise: bool, query_type: pa.DataType, key_type: pa.DataType) -> Callable:
+def quantised(x: np.ndarray, how: str) -> np.ndarray:
+    """Rows in coarse steps: 127 either way of the largest number ('int8'), or signs ('binary')."""
+    if how == "binary":
+        return np.sign(x).astype(np.float32)
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    return np.round(x / np.where(largest > 0, largest, 1.0) * 127).astype(np.float32)
+
+
+def _near(ids: list, queries: np.ndarray, k: int, normalise: bool, query_type: pa.DataType, key_type: pa.DataType, coarse: str | None = None, oversample: int = 4) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rough = quantised(queries, coarse) if coarse else None
         for batch in batches:
             rows, x = _matrix(batch.column(1))
             if not len(rows):
                 continue
-            s = np.round(queries @ (unit(x) if normalise else x).T, 6)
+            x = unit(x) if normalise else x
+            if coarse and len(rows) > oversample * k:
+                # the best by coarse vectors, in single precision; only these are scored exactly
+                by = rough @ quantised(x, coarse).T
+                near = np.argpartition(-by, oversample * k - 1, axis=1)[:, : oversample * k]
+                s = np.full(by.shape, -np.inf)
+                np.put_along_axis(s, near, np.round(np.einsum("qd,qnd->qn", queries, x[near]), 6), axis=1)
+            else:
+                s = np.round(queries @ x.T, 6)
             keys = batch.column(0).take(pa.array(rows))
             # only the k best of a batch (and what ties with the last of them) can be among the k best
             if s.shape[1] > k:
                 edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                q, r = np.nonzero(s >= edge)
+                q, r = np.nonzero((s >= edge) & np.isfinite(s))
             else:
                 q, r = (g.ravel() for g in np.indices(s.shape))
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_type), keys.take(pa.array(r)), pa.array(s[q, r])], names=["q", "k", "score"])
@@ -46,8 +63,14 @@ def _near(ids: list, queries: np.ndarray, k: int, normalise: bool, query_type: p
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query: str = "query_id", query_vector: str = "vector", normalise: bool = True) -> DataFrame:
-    """query, key, score (cosine, or inner product unless `normalise`; six digits), rank from 1."""
+def search(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query: str = "query_id", query_vector: str = "vector", normalise: bool = True, coarse: str | None = None, oversample: int = 4) -> DataFrame:
+    """query, key, score (cosine, or inner product unless `normalise`; six digits), rank from 1.
+
+    With `coarse` ('int8' or 'binary') each batch first picks `oversample` * k rows by coarse
+    vectors and scores these exactly; that may miss some of the k best.
+    """
+    if coarse not in (None, "int8", "binary"):
+        raise ValueError(f"no coarse vectors {coarse!r}")
     spark = rows.sparkSession
     key_sql, query_sql = rows.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
@@ -58,7 +81,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, q
     def block() -> None:
         ids = [r[0] for r in held]
         x = np.array([r[1] for r in held], dtype=np.float64)
-        run = _near(ids, unit(x) if normalise else x, k, normalise, *types)
+        run = _near(ids, unit(x) if normalise else x, k, normalise, *types, coarse, oversample)
         parts.append(rows.select(key, vector).mapInArrow(run, f"q {query_sql}, k {key_sql}, score double"))
         held.clear()
 

@@ -115,6 +115,11 @@ def inner_product_topk(spark, d):
     return dense.search(_vectors(spark, d), _vector_questions(spark, d), 10, "doc_id", "vector", normalise=False)
 
 
+def dense_coarse(spark, d):
+    """Vector search by 8-bit vectors, scored exactly: its rows may differ from dense_topk's."""
+    return dense.search(_vectors(spark, d), _vector_questions(spark, d), 10, "doc_id", "vector", coarse="int8")
+
+
 def hybrid_search(spark, d):
     return retrieval.hybrid(_docs(spark, d), _vectors(spark, d), _questions(spark, d), 10)
 
@@ -183,7 +188,7 @@ def rerank_cut(spark, d):
     return retrieval.reranked(rows, share, "question", "text", 5).select("query_id", "doc_id", "rerank_score", F.col("rerank").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_fit, bm25_stats, bm25_doc_weights, bm25_search, token_diagnostics, bm25_okapi, dense_topk, inner_product_topk, hybrid_search, filtered_hybrid, hybrid_ties, rrf_fuse_multi, search_separate, search_multi_sum, hierarchical_search, difficulty_cut, context_build, rerank_cut)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_fit, bm25_stats, bm25_doc_weights, bm25_search, token_diagnostics, bm25_okapi, dense_topk, inner_product_topk, dense_coarse, hybrid_search, filtered_hybrid, hybrid_ties, rrf_fuse_multi, search_separate, search_multi_sum, hierarchical_search, difficulty_cut, context_build, rerank_cut)}
 
 _ONLY = "(lang = 'en' AND (source IN ('src1', 'src2', 'src3', 'src4') OR source IS NULL))"
 

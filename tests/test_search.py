@@ -63,6 +63,19 @@ def test_dense(spark, monkeypatch, block):
     assert {r.id: r.c for r in zero}[7] == 0.0
 
 
+@pytest.mark.parametrize(("coarse", "recall"), [("int8", 0.98), ("binary", 0.9)])
+def test_coarse_vectors(spark, coarse, recall):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    q = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    pairs = lambda **kw: {(r.query_id, r.id) for r in dense.search(rows, q, 10, "id", "v", **kw).collect()}
+    exact, near = pairs(), pairs(coarse=coarse, oversample=4 if coarse == "int8" else 30)
+    assert len(near) == len(exact) and len(near & exact) / len(exact) >= recall
+    with pytest.raises(ValueError, match="coarse"):
+        pairs(coarse="hnsw")
+
+
 def test_rrf_ties_and_relabelling(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "q int, d int, rank int")
     b = spark.createDataFrame([(1, 20, 1), (1, 21, 2)], "q int, d int, rank int")
