@@ -103,10 +103,11 @@ def _single_forms() -> dict[str, str]:
 SINGLE = _single_forms()
 _SINGLE_ANY = re.compile("[" + re.escape("".join(SINGLE)) + "]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_AT = re.compile(r"[ \t]{0,2}[\[({<][ \t]{0,2}(?:at|@|arroba|chez)[ \t]{0,2}[\])}>][ \t]{0,2}|(?<=[A-Za-z0-9])[ \t]@[ \t](?=[A-Za-z0-9])|&#64;|%40", re.IGNORECASE)
+_AT = re.compile(r"[ \t]{0,2}[\[({<][ \t]{0,2}(?:at|@|arroba|chez)[ \t]{0,2}[\])}>][ \t]{0,2}|(?<=[A-Za-z0-9])[ \t]@[ \t](?=[A-Za-z0-9])|&#64;|&#x40;|%40", re.IGNORECASE)
 _DOT = re.compile(r"[ \t]{0,2}[\[({<][ \t]{0,2}(?:dot|\.|punto|point|punkt)[ \t]{0,2}[\])}>][ \t]{0,2}|&#46;", re.IGNORECASE)
 _BRACKETED = re.compile(r"[\[({<][ \t]{0,2}(?:at|@|arroba|chez|dot|\.|punto|point|punkt)[ \t]{0,2}[\])}>]")
-_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]at[ ]|@)[A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]dot[ ][A-Za-z0-9._%+-]{1,64}){0,3}(?:[ ]at[ ]|@)[A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+_SAID_NUMBERS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]dot[ ][0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 _SAID_PART = re.compile(r"[ ](at|dot)[ ]", re.IGNORECASE)
 _SPOKEN = "|".join(sorted((*DIGIT_WORDS, *SIGN_WORDS), key=len, reverse=True))
 _DIGIT_SPOKEN = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -176,7 +177,9 @@ def _signs(x: Aligned) -> list[tuple[int, int, str]]:
 
 
 def _said(x: Aligned) -> list[tuple[int, int, str]]:
-    return [(m.start() + p.start(), m.start() + p.end(), "@" if p[1].lower() == "at" else ".") for m in _SAID.finditer(x.text) if " " in m[0] for p in _SAID_PART.finditer(m[0])]
+    found = [m for pattern in (_SAID, _SAID_NUMBERS) for m in pattern.finditer(x.text) if " " in m[0]]
+    edits = {(m.start() + p.start(), m.start() + p.end(), "@" if p[1].lower() == "at" else ".") for m in found for p in _SAID_PART.finditer(m[0])}
+    return sorted(edits)
 
 
 def _spelled(x: Aligned) -> list[tuple[int, int, str]]:

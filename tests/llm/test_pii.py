@@ -41,6 +41,12 @@ def test_plain_spans_are_the_patterns(text):
         ("at one nine two dot one six eight dot one dot two end", ("ip", "one nine two dot one six eight dot one dot two")),
         ("card ４５３９ 1488 0343 6467.", ("card", "４５３９ 1488 0343 6467")),
         ("x (at) y.com", ("email", "x (at) y.com")),
+        ("write john dot doe at example dot com", ("email", "john dot doe at example dot com")),
+        ("Jane.Doe AT Example DOT Org", ("email", "Jane.Doe AT Example DOT Org")),
+        ("host 192 dot 168 dot 1 dot 20 is up", ("ip", "192 dot 168 dot 1 dot 20")),
+        ("host 10[.]0[.]0[.]1", ("ip", "10[.]0[.]0[.]1")),
+        ("me&#x40;x.org", ("email", "me&#x40;x.org")),
+        ("four one one one one one one one one one one one one one one one", ("card", "four one one one one one one one one one one one one one one one")),
     ],
 )
 def test_disguises_map_to_the_source(text, found):
