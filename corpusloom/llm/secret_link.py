@@ -6,9 +6,11 @@ has its scope: the block of text between blank lines, and in it REACH characters
 An interval join links a secret-like string with the identifiers and endpoints whose scopes
 reach it; only where a secret has both or a base finding beside it is the weak candidate told.
 
-The join is a sweep over the parts of a text in their order, with pointers that only move on:
-each part meets its nearest partners on either side, so the work is linear in the parts however
-many a text has.
+Whether a secret is told depends on every partner in its scope, and every partner in the scope
+of a told secret becomes a span. Links name the nearest pairs: each told secret meets its nearest
+partner of each kind on either side, and each partner its nearest told secret on either side;
+spans that overlap the other part are passed over. So the work is linear in the parts, but for
+their order, however many a text has.
 
 Defined results: null and empty texts have no spans; equal texts equal spans; further columns
 are ignored.
@@ -19,9 +21,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +45,7 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 _IDENTIFIER = re.compile(r"\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account|key_?id)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9._@-]{4,128})|\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}", re.IGNORECASE)
 _ID_HINT = re.compile(r"access_?key|client_?id|user|login|account|key_?id|asia|aida|aroa", re.IGNORECASE)
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"\b(?:https?|wss?|amqps?|postgres(?:ql)?|mysql|redis|mongodb|s3)://[^\s\"'<>]{3,256}|\b(?:host|endpoint|url|server)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9.-]{4,253}(?::[0-9]{2,5})?)", re.IGNORECASE)
 
 
@@ -78,31 +81,51 @@ def parts(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+class _Side:
+    """Spans by start and by end, to find the nearest ones that don't overlap a span."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.by_start, self.by_end = sorted(spans, key=lambda s: s[1]), sorted(spans, key=lambda s: s[2])
+        self.starts, self.ends = [s[1] for s in self.by_start], [s[2] for s in self.by_end]
+        self.reached = list(accumulate((s[2] for s in self.by_start), max))
+
+    def near(self, part: Span, breaks: list[int]) -> list[Span]:
+        """The nearest span before and after `part` within its scope, as far as there are."""
+        out = []
+        if (at := bisect_right(self.ends, part[1])) and part[1] - self.ends[at - 1] <= REACH:
+            out.append(self.by_end[at - 1])
+        if (at := bisect_left(self.starts, part[2])) < len(self.starts) and self.starts[at] - part[2] <= REACH:
+            out.append(self.by_start[at])
+        return [s for s in out if bisect_left(breaks, s[1]) == bisect_left(breaks, part[1])]
+
+    def overlaps(self, part: Span) -> bool:
+        at = bisect_left(self.starts, part[2])
+        return at > 0 and self.reached[at - 1] > part[1]
+
+
 def linked(text: str, base: list[Span]) -> list[tuple[Span, Span]]:
-    """(weak secret, partner) pairs: per secret the nearest identifier, endpoint and base finding
-    on either side, if complementary ones are in scope."""
+    """(weak secret, partner) pairs by secret, of secrets with complementary parts in scope: the
+    nearest identifier, endpoint and base finding on either side of each, and each such part with
+    its nearest secret on either side."""
     found = parts(text)
     if not found:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
-    side = {k: [s for s in found if s[0] == k] for k in ("identifier", "endpoint")} | {"base": base}
-    starts = {k: [s[1] for s in v] for k, v in side.items()}
-    out: list[tuple[Span, Span]] = []
+    partners = {k: [s for s in found if s[0] == k] for k in ("identifier", "endpoint")} | {"base": base}
+    side = {k: _Side(v) for k, v in partners.items()}
+    out: dict[tuple[Span, Span], None] = {}
+    told: list[Span] = []
     for secret in (s for s in found if s[0] == "weak"):
-        if any(b[1] < secret[2] and secret[1] < b[2] for b in base[max(0, bisect_left(starts["base"], secret[1]) - 3) :][:8]):
+        if side["base"].overlaps(secret):
             continue  # told already
-        near: dict[str, list[Span]] = {}
-        for kind, spans in side.items():
-            at = bisect_left(starts[kind], secret[1])
-            for s in spans[max(0, at - 1) : at + 1]:
-                apart = max(secret[1] - s[2], s[1] - secret[2])
-                overlaps = s[1] < secret[2] and secret[1] < s[2]
-                same_block = bisect_left(breaks, min(s[1], secret[1])) == bisect_left(breaks, max(s[1], secret[1]))
-                if apart <= REACH and not overlaps and same_block:
-                    near.setdefault(kind, []).append(s)
+        near = {k: n for k, x in side.items() if (n := x.near(secret, breaks))}
         if "identifier" in near or {"endpoint", "base"} <= near.keys():
-            out += [(secret, s) for spans in near.values() for s in spans]
-    return out
+            told.append(secret)
+            out.update(dict.fromkeys((secret, s) for spans in near.values() for s in spans))
+    secrets = _Side(told)
+    for spans in partners.values():
+        out.update(dict.fromkeys((secret, s) for s in spans for secret in secrets.near(s, breaks)))
+    return sorted(out, key=lambda link: (link[0][1], link[1][1], KINDS.index(link[1][0])))
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span], list[tuple[Span, Span]]]:

@@ -36,6 +36,21 @@ def test_weak_parts_are_told_together_only():
     assert sl.find(f"user = somebody {'word ' * 100} {KEY}")[1] == []  # out of reach
 
 
+def test_every_partner_in_scope_is_told():
+    """Each part that overlaps nothing and stands in the scope of a told secret is a span."""
+    spans = lambda text: {text[a:b] for _, a, b in sl.find(text)[1]}
+    for sign in ("=", " = ", '="'):
+        assert KEY in spans(f"client_id=abcd\nSK{sign}{KEY}\n")
+    assert KEY * 6 in spans(f"login: bob1 / {KEY * 6}")
+    text = f"endpoint: a1.example.com / host: b2.example.com / login: somebody / {KEY}"
+    assert spans(text) == {"endpoint: a1.example.com", "host: b2.example.com", "login: somebody", KEY}
+    assert spans(f"login: bob1 / user: {KEY}") == {"login: bob1", KEY}
+    hexes = ".".join(["0123456789abcdef" * 2] * 6)
+    assert sl.find(f"token={hexes}.{KEY} login: bob1")[1] == []  # within a base span
+    many = "\n".join(f"host: h{i}.example.com" for i in range(20)) + f"\nlogin: bob1 / {KEY}"
+    assert len(spans(many)) == 2 + sum(many.index(KEY) - m.end() <= sl.REACH for m in re.finditer(r"host: \S+", many)) > 8
+
+
 def test_many_parts_are_linear():
     text = " ".join(f"user = name{i} {KEY}{i}" for i in range(4000))
     began = time.time()
