@@ -63,7 +63,7 @@ class Lexicon:
     _states: dict[frozenset, int] = field(default_factory=dict)
     _sets: list[frozenset] = field(default_factory=list)
     _next: list[dict[str, int]] = field(default_factory=list)
-    #: Of each state the (entry, edits) that end there: stems, and whole words within their budget.
+    #: Of each state the (entry, edits) within their budget that end there: stems, and whole words.
     _stems: list[list[tuple[int, int]]] = field(default_factory=list)
     _words: list[list[tuple[int, int]]] = field(default_factory=list)
     #: Words that are known to match nothing; emptied when it is full.
@@ -91,7 +91,7 @@ class Lexicon:
             self._sets.append(members)
             self._next.append({})
             ends = [(k, e) for node, e in members for k in self._ends[node]]
-            self._stems.append([(k, e) for k, e in ends if self.entries[k].stem and not e])
+            self._stems.append([(k, e) for k, e in ends if self.entries[k].stem and e <= self.entries[k].edits])
             self._words.append([(k, e) for k, e in ends if not self.entries[k].stem and e <= self.entries[k].edits])
         return self._states[members]
 
@@ -119,7 +119,8 @@ class Lexicon:
         return self._state(self._closed(after))
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
-        """(entry, edits) of the entries that this word is, begins with or misspells."""
+        """(entry, edits) of the whole words that this word is or misspells, and of the stems that
+        it goes on from, also misspelt."""
         found: dict[int, int] = {}
         state, table, stems = 1, self._next, self._stems
         left = len(word)
@@ -132,7 +133,8 @@ class Lexicon:
                 break
             left -= 1
             if left and stems[state]:
-                found.update(stems[state])
+                for k, e in stems[state]:
+                    found[k] = min(e, found.get(k, 9))
         for k, e in self._words[state]:
             found[k] = min(e, found.get(k, 9))
         if not found:
@@ -263,7 +265,8 @@ def learn_terms(sample: list[tuple[str, int]], least_docs: int = 4, ratio: float
     chosen: list[Entry] = []
     for _, stem, _, form, weight in sorted(ranked):
         term = form.rstrip("*")
-        if any(term.startswith(e.term) and e.stem or stem and e.term.startswith(term) for e in chosen):
+        # a stem covers longer words only, not the word that is equal to it
+        if any(e.stem and term.startswith(e.term) and (stem or term != e.term) or stem and e.term.startswith(term) for e in chosen):
             continue
         chosen.append(Entry(term, weight, stem))
     return chosen
@@ -276,8 +279,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     have = {e.term for e in entries if not e.stem}
     entries += [Entry(t, 3.0) for t in INSULTS if t not in have]
     for e in entries:
-        if not e.stem:
-            e.edits = _edits(e.term)
+        e.edits = _edits(e.term)
     # an entry whose misspellings are ordinary words here is matched as it stands
     lexicon, misses = Lexicon(entries), Counter()
     clean = [t for t, y in sample if not y]

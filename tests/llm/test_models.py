@@ -47,6 +47,40 @@ def test_stems_and_context():
     assert toxicity.context(text, text.index("idiot"), len(text) - 1) == (False, True)
 
 
+def test_stems_have_edits():
+    import random
+
+    rng = random.Random(4)
+    entries = [toxicity.Entry(t, 1.0, True, e) for t, e in (("foolis", 1), ("abcabcab", 2), ("bcda", 0))]
+    lexicon = toxicity.Lexicon(entries)
+    words = ["fuolishness", "folishness", "foolxishness", "foolis", "abcxbcabword", "bcdxe", "bcdae"]
+    words += ["".join(rng.choice("abcdfolis") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    words += [w[:at] + rng.choice(["", "x"]) + w[at + 1 :] + "abc" for w in ("foolis", "abcabcab", "bcda") for at in range(len(w)) for _ in range(4)]
+    for w in words:
+        least = [min((_levenshtein(w[:n], e.term) for n in range(1, len(w))), default=9) for e in entries]
+        assert set(lexicon.match(w)) == {(k, n) for k, (n, e) in enumerate(zip(least, entries, strict=True)) if n <= e.edits}, w
+    assert lexicon.match("fuolishness") == ((0, 1),)
+
+
+def test_learnt_stems_match_misspelt():
+    clean = [(f"plain words about the {w} and a quiet day", 0) for w in "river garden market village harbour forest".split() * 40]
+    toxic = [(f"you grimlok{end} of a day", 1) for end in ("ing", "ers", "ism", "est", "ard", "ous") * 8] + [("you grimlok of a day", 1)] * 30
+    terms = {(e.term, e.stem) for e in toxicity.learn_terms(clean + toxic)}
+    assert any(s and "grimlok".startswith(t) for t, s in terms)
+    model = toxicity.fit(clean + toxic)
+    lexicon = toxicity.Lexicon(model.entries)
+    assert all(lexicon.match(w) for w in ("grimlok", "grimloking", "grxmloking", "gimlokers"))
+
+
+def test_a_word_equal_to_a_stem_is_learnt():
+    clean = [("plain words about a quiet day", 0)] * 300
+    toxic = [(f"grimlok{end} day", 1) for end in ("ing", "ers", "ism", "est", "ard", "ous") * 10] + [("grimlok day", 1)] * 9
+    toxic += [(f"grim{end} day", 1) for end in ("ace", "oire") * 10] + [("grim day", 1)] * 9
+    entries = toxicity.learn_terms(clean + toxic)
+    stems = [e.term for e in entries if e.stem]
+    assert stems and any(e.term in stems for e in entries if not e.stem)
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     labels = dict(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").collect())
     rows = q.op10_toxicity(spark, SF).collect()
