@@ -155,8 +155,10 @@ def pii_spans(spark, d):
 
 
 def span_resolve(spark, d):
-    """Windows of words and of longer words as spans; overlaps resolved."""
-    spans = F.transform(F.sequence(F.lit(0), F.least(F.length("text"), F.lit(400))), lambda i: F.struct((i * 7).cast("int").alias("start"), (i * 7 + 1 + (i * i + F.col("doc_id")) % 23).cast("int").alias("end")))
+    """Windows of words and of longer words as spans over the whole text, and 400 at least in
+    texts of as many characters; overlaps resolved."""
+    n = F.length("text").cast("long")
+    spans = F.transform(F.sequence(F.lit(0).cast("long"), F.when(n <= 2800, F.least(n, F.lit(400))).otherwise(F.floor(n / 7))), lambda i: F.struct((i * 7).cast("int").alias("start"), (i * 7 + 1 + (i * i + F.col("doc_id")) % 23).cast("int").alias("end")))
     return _docs(spark, d).select("doc_id", F.explode(redact.resolve_spans(spans)).alias("s")).select("doc_id", "s.start", "s.end")
 
 

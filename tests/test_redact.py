@@ -81,3 +81,21 @@ def test_numbering_across_partitions(spark):
     for kind in "ab":
         mine = sorted((x.o, x.number) for x in got if x.k == kind)
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_spans_over_whole_long_texts(spark, tmp_path):
+    """span_resolve against the sequence it stands for, past the 400th span."""
+    from corpusloom import plans
+    from corpusloom.operators import redact
+
+    rows = [(1, "a" * 50), (7, "word " * 3000), (3, ""), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in plans.QUERIES["span_resolve"](spark, str(tmp_path)).collect())
+    want = []
+    for d, text in rows:
+        end = 0
+        for i in range(max(min(len(text), 400), len(text) // 7) + 1 if text is not None else 0):
+            if i * 7 >= end:
+                end = i * 7 + 1 + (i * i + d) % 23
+                want.append((d, i * 7, end))
+    assert got == sorted(want) and max(b for d, _, b in got if d == 7) >= 14_900
