@@ -77,9 +77,10 @@ def write_archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(later, F.col("page_id")).alias("later"),
     )
     headers = io.written(headers, "warc-headers")
-    others = headers.select(F.col("later").alias("page_id")).where("page_id is not null").distinct()
-    few = others.limit(1_000_001).count() <= 1_000_000
-    kept = pages.join(F.broadcast(others) if few else others, "page_id", "left_anti")
+    # a page_id may have several payloads, of which others may be the first
+    others = headers.select(F.col("later").alias("page_id"), "payload_digest").where("page_id is not null").distinct()
+    few = others.limit(250_001).count() <= 250_000
+    kept = pages.join(F.broadcast(others) if few else others, ["page_id", "payload_digest"], "left_anti")
     payloads = io.written(kept.select("payload_digest", "payload"), "warc-payloads")
     return headers.drop("later"), payloads
 

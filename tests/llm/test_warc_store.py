@@ -30,6 +30,16 @@ def test_odd_pages_round_trip(spark):
     assert ws.read_back(*ws.write_archive(df.limit(0))).count() == 0
 
 
+def test_recrawled_pages_keep_their_payloads(spark):
+    a, b, c = ("abc"[i] * 150 for i in range(3))
+    pages = [(1, "u", a), (2, "u", a), (2, "u", b), (3, "u", b), (3, "u", "short"), (4, "u", "short"), (4, "u", c)]
+    headers, payloads = ws.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted(bytes(r.payload).decode() for r in payloads.collect()) == sorted([a, b, c, "short"])
+    rows = ws.read_back(headers, payloads).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in rows) == sorted((p, len(h)) for p, _, h in pages)
+    assert sorted((r.page_id, r.refers_to) for r in rows if r.record_type == "revisit") == [(2, 1), (3, 2)]
+
+
 def test_damage_is_an_error(spark):
     headers, payloads = ws.write_archive(spark.createDataFrame([(1, "u", "hello")], "page_id long, url string, html string"))
     from pyspark.sql import functions as F
