@@ -114,7 +114,7 @@ _DIGIT_SPOKEN = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _RUN = re.compile(rf"(?<!\w)(?:(?:{_SPOKEN}|[0-9]{{1,4}})(?!\w)[ ,-]{{0,2}}){{4,}}", re.IGNORECASE)
 _RUN_WORD = re.compile(rf"(?<!\w)(?:{_SPOKEN}|[0-9]{{1,4}})(?!\w)", re.IGNORECASE)
 # Cheap signs, on lower-cased text, that a transducer may apply.
-_TWO_DIGITS = re.compile(rf"(?:{_DIGIT_SPOKEN})[ ,-]{{1,2}}(?:{_DIGIT_SPOKEN}|dot|point)(?!\w)")
+_ANY_DIGIT = re.compile(rf"(?<!\w)(?:{_DIGIT_SPOKEN})(?!\w)")
 _FAR_SCRIPTS = re.compile("[\u0370-\u1fff\u2460-\U0010ffff]")
 
 
@@ -203,8 +203,8 @@ TRANSDUCERS: tuple[tuple[Callable[[str], object], Callable[[Aligned], list]], ..
     (lambda low: not low.isascii() and _INVISIBLE.search(low), _invisible),
     (lambda low: not low.isascii() and _FAR_SCRIPTS.search(low), _single),
     (_has_signs, _signs),
-    (lambda low: " dot " in low, _said),
-    (_TWO_DIGITS.search, _spelled),
+    (lambda low: " at " in low or " dot " in low, _said),
+    (_ANY_DIGIT.search, _spelled),
 )
 
 

@@ -66,6 +66,13 @@ def test_alignment_holds(text):
             assert changed or text[a:b] == x.text[i]
 
 
+@pytest.mark.parametrize("rest", ["", " the dot is here", " one, two"])
+@pytest.mark.parametrize(("text", "found"), [("john at example.com", ("email", "john at example.com")), ("plus 1 five 5 five 1 two 3 four 5 six 7 eight", ("phone", "plus 1 five 5 five 1 two 3 four 5 six 7 eight"))])
+def test_disguises_do_not_depend_on_the_rest(text, found, rest):
+    text = f"write or call {text}.{rest}"
+    assert found in [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
+
+
 def test_prose_has_no_added_spans():
     assert pii.find("One of the two met at noon. No one, two or three at a time dot. Un deux trois, 4 at 5.")[1] == []
 
