@@ -3,6 +3,8 @@
 A classifier learnt from a labelled table gives every document its domain posteriors p. The
 tokens of a domain that a mix is expected to have are sum(rate * tokens * p). Projected-gradient
 least squares fits one rate >= 0 a document, from 1 on, so that these totals meet the targets.
+The fit ends when they do, or when a step no longer moves the rates, as with targets that cannot
+be met; if it does neither within MAX_STEPS, Fit.converged is false and a warning says so.
 
 Each step is one pass of grouped sums over the table of tokens and posteriors; only the sums,
 one number a domain, come to the driver. A document's rate follows from its posteriors and the
@@ -15,6 +17,7 @@ document can be in are left out of the targets; equal texts get equal rates.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,8 @@ FEATURES = 1 << 15
 MAX_STEPS = 60
 #: Largest relative miss of a domain's total at which the fit ends.
 TOLERANCE = 1e-4
+#: Mean change of a token's rate in a step below which the fit has come to rest.
+STILL = 1e-6
 
 
 @dataclass
@@ -137,6 +142,8 @@ class Fit:
     targets: np.ndarray
     totals: np.ndarray
     steps: int
+    #: Whether the targets were met or the rates came to rest.
+    converged: bool = True
 
 
 def fit_rates(members: DataFrame, domains: list[str], shares: dict[str, float] | None = None) -> Fit:
@@ -146,22 +153,31 @@ def fit_rates(members: DataFrame, domains: list[str], shares: dict[str, float] |
     p = [F.element_at("posterior", i + 1) for i in range(k)]
     if not k:
         return Fit(members.withColumn("rate", F.lit(1.0)), domains, np.zeros(0), np.zeros(0), 0)
-    first = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x * x).alias(f"m{i}") for i, x in enumerate(p)]).first()
+    first = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x * x).alias(f"m{i}") for i, x in enumerate(p)], *[F.sum(F.col("tokens") * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
     tokens, scale = first["n"] or 0, np.array([first[f"m{i}"] or 0.0 for i in range(k)])
     here = scale > 0
+    # Rows of the matrix of moments sum(tokens * p_i * p_j) add up to `rows`, as posteriors add up
+    # to 1. Rows over the diagonal bound the largest eigenvalue of a step scaled by the diagonal:
+    # from 2 on it may diverge; scaled by the rows themselves the eigenvalues are 1 at most.
+    rows = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
+    if (rows[here] >= 2 * scale[here]).any():
+        scale = rows
     share = np.array([(shares or {}).get(d, 1.0 if shares is None else 0.0) for d in domains]) * here
     target = tokens * share / share.sum() if share.sum() > 0 else np.zeros(k)
     steps: list[np.ndarray] = []
     while True:
-        rate = _rate(steps)
-        row = members.select("tokens", "posterior", rate.alias("rate")).agg(*[F.sum(F.col("tokens") * F.col("rate") * x) for x in p]).first()
-        total = np.array([x or 0.0 for x in row])
+        moved = F.sum(F.col("tokens") * F.abs(F.col("rate") - F.col("before")))
+        row = members.select("tokens", "posterior", _rate(steps).alias("rate"), _rate(steps[:-1]).alias("before")).agg(*[F.sum(F.col("tokens") * F.col("rate") * x) for x in p], moved).first()
+        total = np.array([x or 0.0 for x in row[:k]])
         miss = np.where(here, total - target, 0.0)
-        if len(steps) >= MAX_STEPS or np.abs(miss).max() <= TOLERANCE * max(tokens, 1):
+        converged = np.abs(miss).max() <= TOLERANCE * max(tokens, 1) or len(steps) > 0 and (row[k] or 0.0) <= STILL * tokens
+        if converged or len(steps) >= MAX_STEPS:
             break
         # the gradient a token, each domain's part scaled by its curvature
         steps.append(np.where(here, miss / np.where(here, scale, 1.0), 0.0))
-    return Fit(members.withColumn("rate", _rate(steps)), domains, target, total, len(steps))
+    if not converged:
+        warnings.warn(f"rates have not converged after {len(steps)} steps: totals {total.tolist()} for targets {target.tolist()}", RuntimeWarning, stacklevel=2)
+    return Fit(members.withColumn("rate", _rate(steps)), domains, target, total, len(steps), bool(converged))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, domain: str, shares: dict[str, float] | None = None, most: int = SAMPLE_ROWS) -> Fit:

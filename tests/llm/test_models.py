@@ -155,3 +155,31 @@ def test_rates_are_the_projected_gradient(spark):
         rate = np.maximum(0, rate - p @ (miss / scale))
     assert np.allclose([r.rate for r in fit.rows.orderBy("doc_id").collect()], rate)
     assert rate.min() >= 0 and (rate == 0).any()
+
+
+def _members(spark, t, p):
+    return spark.createDataFrame([(i, int(n), row.tolist()) for i, (n, row) in enumerate(zip(t, p, strict=True))], "doc_id long, tokens long, posterior array<double>").coalesce(1)
+
+
+def test_soft_posteriors_do_not_diverge(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 8)
+    rng = np.random.default_rng(1)
+    t, p = rng.integers(1, 500, 200), rng.dirichlet([4.0] * 5, 200)
+    shares = dict(zip("abcde", (0.24, 0.22, 0.2, 0.18, 0.16), strict=True))
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        fit = mixing.fit_rates(_members(spark, t, p), list("abcde"), shares)
+    rate = np.array([r.rate for r in fit.rows.orderBy("doc_id").collect()])
+    miss = lambda r: np.abs((t * r) @ p - fit.targets).max()
+    assert abs((t * rate).sum() / t.sum() - 1) < 0.05 and rate.max() < 10
+    assert miss(rate) < 0.7 * miss(np.ones(200))
+
+
+def test_the_end_of_the_fit_is_told(spark, monkeypatch):
+    t, p = np.array([100, 100, 100]), np.full((3, 3), 1 / 3)
+    fit = mixing.fit_rates(_members(spark, t, p), list("abc"), {"a": 1.0})  # can't be met, and at rest at once
+    assert fit.converged and fit.steps < 3
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 3)
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        assert not mixing.fit_rates(_members(spark, t, p), list("abc"), {"a": 0.9, "b": 0.1}).converged
