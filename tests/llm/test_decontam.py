@@ -27,7 +27,7 @@ def test_small_automata_find_the_same():
     items = [(str(i), f"alpha beta gamma{i} delta epsilon") for i in range(9)]
     text = "x alpha beta gamma3 delta epsilon y Alpha, beta; gamma5 DELTA epsilon"
     assert d.scan(text, d.automata(items)) == d.scan(text, d.automata(items, most=40))
-    assert len(d.automata(items, most=40)) > 1
+    assert len(list(d.automata(items, most=40))) > 1
 
 
 def test_offsets_are_of_the_original(spark):
@@ -38,6 +38,16 @@ def test_offsets_are_of_the_original(spark):
     assert text[a:b] == "The QUICK, brown—fox jumps" and row.contaminated
 
 
+def test_a_pass_for_each_automaton_finds_the_same(spark, odd, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id", "text").union(spark.createDataFrame([("9", "the cat sat on the mat and the dog ran to a house by the sea with all of its friends"), ("10", "one")], "item_id string, text string"))
+    whole = sorted(map(repr, d.contamination(docs, items).collect()))
+    monkeypatch.setattr(d, "MAX_PATTERN_CHARS", 15_000)
+    rows = [(str(i), t) for i, t in items.collect()]
+    assert len(list(d.automata(rows))) > 2
+    assert sorted(map(repr, d.contamination(docs, items).collect())) == whole
+
+
 def test_odd_rows(odd, none, spark):
     items = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran to a house by the sea"), (2, None), (3, ""), (None, "x"), (4, "one")], "item_id long, text string")
     rows = d.contamination(odd, items).collect()
