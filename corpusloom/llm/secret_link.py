@@ -6,11 +6,9 @@ has its scope: the block of text between blank lines, and in it REACH characters
 An interval join links a secret-like string with the identifiers and endpoints whose scopes
 reach it; only where a secret has both or a base finding beside it is the weak candidate told.
 
-Whether a secret is told depends on every partner in its scope, and every partner in the scope
-of a told secret becomes a span. Links name the nearest pairs: each told secret meets its nearest
-partner of each kind on either side, and each partner its nearest told secret on either side;
-spans that overlap the other part are passed over. So the work is linear in the parts, but for
-their order, however many a text has.
+Every pair of a told secret and a partner in its scope is a link, and both become spans; spans that
+overlap the other part are passed over. Parts have a length, so a scope holds so many at most, and
+the pairs are linear in the parts, but for their order, however many a text has.
 
 Defined results: null and empty texts have no spans; equal texts equal spans; further columns
 are ignored.
@@ -43,10 +41,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-_IDENTIFIER = re.compile(r"\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account|key_?id)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9._@-]{4,128})|\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account|key_?id)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9._@-]{4,}+)|\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}", re.IGNORECASE)
 _ID_HINT = re.compile(r"access_?key|client_?id|user|login|account|key_?id|asia|aida|aroa", re.IGNORECASE)
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"\b(?:https?|wss?|amqps?|postgres(?:ql)?|mysql|redis|mongodb|s3)://[^\s\"'<>]{3,256}|\b(?:host|endpoint|url|server)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9.-]{4,253}(?::[0-9]{2,5})?)", re.IGNORECASE)
+_ENDPOINT = re.compile(r"\b(?:https?|wss?|amqps?|postgres(?:ql)?|mysql|redis|mongodb|s3)://[^\s\"'<>]{3,}+|\b(?:host|endpoint|url|server)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9.-]{4,}+(?::[0-9]{2,5})?)", re.IGNORECASE)
 
 
 def detect(text: str) -> list[Span]:
@@ -82,7 +80,7 @@ def parts(text: str) -> list[Span]:
 
 
 class _Side:
-    """Spans by start and by end, to find the nearest ones that don't overlap a span."""
+    """Spans by start and by end, to find those around a span that don't overlap it."""
 
     def __init__(self, spans: list[Span]) -> None:
         self.by_start, self.by_end = sorted(spans, key=lambda s: s[1]), sorted(spans, key=lambda s: s[2])
@@ -90,13 +88,10 @@ class _Side:
         self.reached = list(accumulate((s[2] for s in self.by_start), max))
 
     def near(self, part: Span, breaks: list[int]) -> list[Span]:
-        """The nearest span before and after `part` within its scope, as far as there are."""
-        out = []
-        if (at := bisect_right(self.ends, part[1])) and part[1] - self.ends[at - 1] <= REACH:
-            out.append(self.by_end[at - 1])
-        if (at := bisect_left(self.starts, part[2])) < len(self.starts) and self.starts[at] - part[2] <= REACH:
-            out.append(self.by_start[at])
-        return [s for s in out if bisect_left(breaks, s[1]) == bisect_left(breaks, part[1])]
+        """All spans before and after `part` within its scope."""
+        before = self.by_end[bisect_left(self.ends, part[1] - REACH) : bisect_right(self.ends, part[1])]
+        after = self.by_start[bisect_left(self.starts, part[2]) : bisect_right(self.starts, part[2] + REACH)]
+        return [s for s in (*before, *after) if bisect_left(breaks, s[1]) == bisect_left(breaks, part[1])]
 
     def overlaps(self, part: Span) -> bool:
         at = bisect_left(self.starts, part[2])
@@ -104,27 +99,21 @@ class _Side:
 
 
 def linked(text: str, base: list[Span]) -> list[tuple[Span, Span]]:
-    """(weak secret, partner) pairs by secret, of secrets with complementary parts in scope: the
-    nearest identifier, endpoint and base finding on either side of each, and each such part with
-    its nearest secret on either side."""
+    """(weak secret, partner) pairs by secret, of secrets with complementary parts in scope: every
+    identifier, endpoint and base finding there."""
     found = parts(text)
     if not found:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
     partners = {k: [s for s in found if s[0] == k] for k in ("identifier", "endpoint")} | {"base": base}
     side = {k: _Side(v) for k, v in partners.items()}
-    out: dict[tuple[Span, Span], None] = {}
-    told: list[Span] = []
+    out: list[tuple[Span, Span]] = []
     for secret in (s for s in found if s[0] == "weak"):
         if side["base"].overlaps(secret):
             continue  # told already
         near = {k: n for k, x in side.items() if (n := x.near(secret, breaks))}
         if "identifier" in near or {"endpoint", "base"} <= near.keys():
-            told.append(secret)
-            out.update(dict.fromkeys((secret, s) for spans in near.values() for s in spans))
-    secrets = _Side(told)
-    for spans in partners.values():
-        out.update(dict.fromkeys((secret, s) for s in spans for secret in secrets.near(s, breaks)))
+            out += [(secret, s) for spans in near.values() for s in spans]
     return sorted(out, key=lambda link: (link[0][1], link[1][1], KINDS.index(link[1][0])))
 
 
