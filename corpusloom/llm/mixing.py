@@ -1,14 +1,19 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier learnt from a labelled table gives every document its domain posteriors p. The
-tokens of a domain that a mix is expected to have are sum(rate * tokens * p). Projected-gradient
-least squares fits one rate >= 0 a document, from 1 on, so that these totals meet the targets.
-The fit ends when they do, or when a step no longer moves the rates, as with targets that cannot
-be met; if it does neither within MAX_STEPS, Fit.converged is false and a warning says so.
-
-Each step is one pass of grouped sums over the table of tokens and posteriors; only the sums,
-one number a domain, come to the driver. A document's rate follows from its posteriors and the
-steps so far, so no table of rates is kept between steps.
+tokens of a domain that a mix is expected to have are sum(rate * tokens * p). Least squares fits one
+rate >= 0 a document so that these totals meet the targets, and of all such rates takes those
+nearest to 1: it minimises |miss|^2 + PULL * (token-weighted mean of (rate - 1)^2), the miss being
+in shares of all tokens. At the least, a projected gradient step leaves the rates as they are:
+rate = max(0, 1 - p . force) with PULL * force = miss, one force a domain. So the fit looks for the
+forces: from 0 on it takes steps along the projected gradient, scaled by the moments
+sum(tokens * p * p') of the documents whose rate is above 0 (Newton's step), halved until the
+squares decrease. It ends when the gradient is 0 (TOLERANCE), as also happens with targets that
+no rates can meet. Fit.miss says how far the totals are from the targets; if no step gets on or
+MAX_STEPS are done, Fit.converged is false and a warning says so.
+
+Each step is one pass over the table of tokens and posteriors; only sums, k + 1 + k * k numbers
+for k domains, come to the driver.
 
 Defined results: null and empty texts have no tokens, get the prior as posteriors and a rate by
 the same formula; without labelled rows there is no domain and every rate is 1; domains that no
@@ -32,11 +37,12 @@ from . import _text as tx
 #: Labelled rows that the classifier may see, taken in the order of a hash of doc_id.
 SAMPLE_ROWS = 3000
 FEATURES = 1 << 15
-MAX_STEPS = 60
-#: Largest relative miss of a domain's total at which the fit ends.
-TOLERANCE = 1e-4
-#: Mean change of a token's rate in a step below which the fit has come to rest.
-STILL = 1e-6
+#: Passes of a fit; it needs about ten. One that comes to the end of them says so.
+MAX_STEPS = 200
+#: Largest part of the gradient, in shares of all tokens, at which the fit ends.
+TOLERANCE = 1e-6
+#: Weight of keeping rates near 1 against meeting the targets.
+PULL = 1e-7
 
 
 @dataclass
@@ -126,13 +132,10 @@ def memberships(docs: DataFrame, model: Classifier | None) -> DataFrame:
     return io.in_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, tokens long, posterior array<double>")
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """The rate that a document has after these steps (one number a domain each)."""
-    if not steps:
-        return F.lit(1.0)
-    taken = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    along = lambda s: F.aggregate(F.zip_with(s, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - along(s)))
+def _rate(force: np.ndarray) -> Column:
+    """The rate that a document has under these forces (one a domain)."""
+    along = F.aggregate(F.zip_with(F.array(*[F.lit(float(x)) for x in force]), F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return F.greatest(F.lit(0.0), 1 - along)
 
 
 @dataclass
@@ -142,42 +145,72 @@ class Fit:
     targets: np.ndarray
     totals: np.ndarray
     steps: int
-    #: Whether the targets were met or the rates came to rest.
+    #: Whether the rates are at the least of the squares.
     converged: bool = True
 
+    @property
+    def miss(self) -> float:
+        """Largest distance of a domain's total from its target, as a share of all tokens."""
+        return float(np.abs(self.totals - self.targets).max(initial=0.0) / max(1.0, self.totals.sum(), self.targets.sum()))
+
+
+def _sums(members: DataFrame, force: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Totals by domain, sum(tokens * rate^2) and the moments of the documents whose rate is above 0."""
+    k = len(force)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(k + 1 + k * k)
+        for batch in batches:
+            t = np.asarray(batch.column(0).fill_null(0), dtype=float)
+            p = np.asarray(batch.column(1).flatten(), dtype=float).reshape(len(t), k)
+            rate = np.maximum(0.0, 1.0 - p @ force)
+            out[:k] += (t * rate) @ p
+            out[k] += t @ rate**2
+            out[k + 1 :] += ((p * (t * (rate > 0))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["at", "value"])
+
+    parts = io.in_batches(members.select("tokens", "posterior"), run, "at int, value double")
+    found = dict(parts.groupBy("at").agg(F.sum("value")).collect())
+    out = np.array([found.get(i, 0.0) for i in range(k + 1 + k * k)])
+    return out[:k], float(out[k]), out[k + 1 :].reshape(k, k)
+
 
 def fit_rates(members: DataFrame, domains: list[str], shares: dict[str, float] | None = None) -> Fit:
     """Rates whose expected domain totals come to the targets: shares of all tokens (equal ones
     unless given). `members` is the table of `memberships`, read once a step."""
     k = len(domains)
-    p = [F.element_at("posterior", i + 1) for i in range(k)]
+    force = np.zeros(k)
     if not k:
         return Fit(members.withColumn("rate", F.lit(1.0)), domains, np.zeros(0), np.zeros(0), 0)
-    first = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x * x).alias(f"m{i}") for i, x in enumerate(p)], *[F.sum(F.col("tokens") * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
-    tokens, scale = first["n"] or 0, np.array([first[f"m{i}"] or 0.0 for i in range(k)])
-    here = scale > 0
-    # Rows of the matrix of moments sum(tokens * p_i * p_j) add up to `rows`, as posteriors add up
-    # to 1. Rows over the diagonal bound the largest eigenvalue of a step scaled by the diagonal:
-    # from 2 on it may diverge; scaled by the rows themselves the eigenvalues are 1 at most.
-    rows = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
-    if (rows[here] >= 2 * scale[here]).any():
-        scale = rows
-    share = np.array([(shares or {}).get(d, 1.0 if shares is None else 0.0) for d in domains]) * here
-    target = tokens * share / share.sum() if share.sum() > 0 else np.zeros(k)
-    steps: list[np.ndarray] = []
-    while True:
-        moved = F.sum(F.col("tokens") * F.abs(F.col("rate") - F.col("before")))
-        row = members.select("tokens", "posterior", _rate(steps).alias("rate"), _rate(steps[:-1]).alias("before")).agg(*[F.sum(F.col("tokens") * F.col("rate") * x) for x in p], moved).first()
-        total = np.array([x or 0.0 for x in row[:k]])
-        miss = np.where(here, total - target, 0.0)
-        converged = np.abs(miss).max() <= TOLERANCE * max(tokens, 1) or len(steps) > 0 and (row[k] or 0.0) <= STILL * tokens
-        if converged or len(steps) >= MAX_STEPS:
+    total, square, moments = _sums(members, force)
+    tokens = max(total.sum(), 1e-300)  # all rates are 1 here, and posteriors add up to 1
+    share = np.array([(shares or {}).get(d, 1.0 if shares is None else 0.0) for d in domains]) * (total > 0)
+    target = share / share.sum() if share.sum() > 0 else np.zeros(k)
+
+    def height(force: np.ndarray, square: float) -> float:
+        return 0.5 * square / tokens + target @ force + 0.5 * PULL * force @ force
+
+    steps, converged = 0, False
+    while total.sum() or steps:
+        slope = target - total / tokens + PULL * force
+        if converged := bool(np.abs(slope).max() <= TOLERANCE):
+            break
+        step = np.linalg.solve(moments / tokens + PULL * np.eye(k), -slope)
+        here, size = height(force, square), 1.0
+        while steps < MAX_STEPS and size > 1e-9:
+            steps += 1
+            then = _sums(members, force + size * step)
+            if height(force + size * step, then[1]) <= here + 1e-4 * size * (slope @ step):
+                break
+            size /= 2
+        else:
             break
-        # the gradient a token, each domain's part scaled by its curvature
-        steps.append(np.where(here, miss / np.where(here, scale, 1.0), 0.0))
+        force, (total, square, moments) = force + size * step, then
+    converged = converged or not tokens > 1e-300
     if not converged:
-        warnings.warn(f"rates have not converged after {len(steps)} steps: totals {total.tolist()} for targets {target.tolist()}", RuntimeWarning, stacklevel=2)
-    return Fit(members.withColumn("rate", _rate(steps)), domains, target, total, len(steps), bool(converged))
+        warnings.warn(f"rates have not converged after {steps} steps: shares {(total / tokens).tolist()} for targets {target.tolist()}", RuntimeWarning, stacklevel=2)
+    tokens = tokens if tokens > 1e-300 else 0.0
+    return Fit(members.withColumn("rate", _rate(force)), domains, tokens * target, total, steps, converged)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, domain: str, shares: dict[str, float] | None = None, most: int = SAMPLE_ROWS) -> Fit:

@@ -26,6 +26,7 @@ from .toxicity import held_out, labelled_sample, logistic
 #: Labelled rows that the classifier may see, taken in the order of a hash of doc_id.
 SAMPLE_ROWS = 4000
 THRESHOLD = 0.5
+BROADCAST_BYTES = 32 << 20
 N_FIGURES = 13
 _SIGNS = np.frombuffer(b"#$%&*|~^=<>\\_{}[]", dtype=np.uint8)
 
@@ -115,12 +116,13 @@ def _spread_of(groups: DataFrame, mean: Column, n: str, total: str) -> tuple[flo
 def combine(rows: DataFrame, host: str, path: str) -> DataFrame:
     """rows (doc_id, host, path, evidence) with path_posterior, host_posterior and score.
 
-    Hosts and paths are far fewer than documents; their sums come from map-side partial sums.
-    A group that holds very many rows is one row on the other side of the join; up to a million
-    groups are broadcast, beyond that adaptive execution splits the hot ones.
+    Hosts and paths are far fewer than documents; their sums come from map-side partial sums and are
+    written once. A group that holds very many rows is one row on the other side of the join; groups
+    are broadcast if a sum of their bytes is at most BROADCAST_BYTES, beyond that adaptive execution
+    splits the hot ones.
     """
     sums = [F.count("*").alias("n"), F.sum("evidence").alias("total"), F.sum(F.col("evidence") ** 2).alias("squares")]
-    paths = rows.groupBy(host, path).agg(*sums).persist()
+    paths = io.written(rows.groupBy(host, path).agg(*sums), "paths")
     hosts = paths.groupBy(host).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     mean = whole["total"] / whole["n"] if whole["n"] else 0.5
@@ -129,8 +131,9 @@ def combine(rows: DataFrame, host: str, path: str) -> DataFrame:
     named = paths.join(hosts, F.col(host).eqNullSafe(F.col("_host")))
     k_path = strength(mean, *_spread_of(named, F.col("_ht") / F.col("_hn"), "n", "total"))
     groups = named.select(F.col("_host"), F.col(path).alias("_path"), "_hn", "_ht", F.col("n").alias("_n"), F.col("total").alias("_t"))
-    few = groups.limit(1_000_001).count() <= 1_000_000
-    joined = rows.join(F.broadcast(groups) if few else groups, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
+    names = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("_host", "_path")]
+    size = groups.agg(F.sum(48 + names[0] + names[1])).first()[0] or 0
+    joined = rows.join(F.broadcast(groups) if size <= BROADCAST_BYTES else groups, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
     own = F.col("evidence")
     host_posterior = (F.col("_ht") - own + k_host * mean) / (F.col("_hn") - 1 + k_host)
     joined = joined.withColumn("host_posterior", host_posterior)
@@ -141,6 +144,6 @@ def combine(rows: DataFrame, host: str, path: str) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, evidence, host_posterior, path_posterior, score, predicted (1: good), keep."""
-    rows = evidence(docs, fit(labelled_sample(docs, labels, "quality", most)), [host, path])
+    rows = io.written(evidence(docs, fit(labelled_sample(docs, labels, "quality", most)), [host, path]), "evidence")
     found = combine(rows, host, path)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("keep"))

@@ -22,7 +22,8 @@ def op2_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = io.table(spark, sf_dir, "documents")
-    return mixing.mixed(docs, docs, "lang").rows.select("doc_id", "tokens", "posterior", "rate")
+    fit = mixing.mixed(docs, docs, "lang")
+    return fit.rows.select("doc_id", "tokens", "posterior", "rate", F.lit(fit.converged).alias("converged"), F.lit(fit.miss).alias("miss"))
 
 
 def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -150,12 +151,18 @@ class Lexicon:
 
 def context(text: str, begin: int, end: int) -> tuple[bool, bool]:
     """(quoted?, addressed to somebody?) for the hit at text[begin:end], by the words around it."""
-    left, right = text[max(0, begin - 60) : begin], text[end : end + 60]
-    before, after = _WORD.findall(left)[-CONTEXT:], _WORD.findall(right)[:CONTEXT]
-    opens, closes = left[-2:].strip(), right[:2].strip()
+    tokens = [m.span() for m in _WORD.finditer(text)]
+    at = bisect_left(tokens, (begin, begin))
+    return _told(text, tokens, at, bisect_left(tokens, (end, end)))
+
+
+def _told(text: str, tokens: list[tuple[int, int]], first: int, after: int) -> tuple[bool, bool]:
+    """As `context`, for the hit from token `first` up to token `after`."""
+    near = {text[a:b].lower() for a, b in (*tokens[max(0, first - CONTEXT) : first], *tokens[after : after + CONTEXT])}
+    begin, end = tokens[first][0], tokens[after - 1][1]
+    opens, closes = text[max(0, begin - 2) : begin].strip(), text[end : end + 2].strip()
     marked = bool(opens) and opens[-1] in QUOTES and bool(closes) and closes[0] in QUOTES
-    near = {w.lower() for w in (*before, *after)}
-    return marked or bool(near & SAYING), bool(near & ADDRESS) or "!" in right[:3]
+    return marked or bool(near & SAYING), bool(near & ADDRESS) or "!" in text[end : end + 3]
 
 
 N_FIGURES = 9
@@ -164,29 +171,31 @@ N_FIGURES = 9
 def figures(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the model sees of a text."""
     text = text or ""
-    words = _WORD.findall(text.lower())
-    n = len(words)
+    words = Counter(_WORD.findall(text.lower()))
+    n = words.total()
     total = 0.0
     hits = near = 0
     terms: set[int] = set()
-    hit_words = []
-    for word in set(words) - lexicon.clean:
+    hit_words = set()
+    for word in words.keys() - lexicon.clean:
         found = lexicon.match(word)
         if not found:
             continue
-        c = words.count(word)
+        c = words[word]
         k, e = min(found, key=lambda x: (x[1], -lexicon.entries[x[0]].weight))
         terms.add(k)
         hits += c
         near += c * (e > 0)
-        total += lexicon.entries[k].weight * min(c, 3) * (0.8 if e else 1.0)
-        hit_words.append(word)
+        total += lexicon.entries[k].weight * math.log2(1 + c) * (0.8 if e else 1.0)
+        hit_words.add(word)
     quoted = addressed = 0
     if hit_words:
-        for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(map(re.escape, hit_words)) + r")(?![^\W_])", text, re.IGNORECASE):
-            q, a = context(text, m.start(), m.end())
-            quoted += q
-            addressed += a
+        tokens = [m.span() for m in _WORD.finditer(text)]
+        for i, (a, b) in enumerate(tokens):
+            if text[a:b].lower() in hit_words:
+                q, to = _told(text, tokens, i, i + 1)
+                quoted += q
+                addressed += to
     return [total, total / math.sqrt(n + 20), math.log1p(hits), len(terms), math.log1p(1000 * hits / (n + 20)), near / (hits + 1), quoted / (hits + 1), addressed / (hits + 1), math.log1p(n) * (hits > 0)]
 
 
