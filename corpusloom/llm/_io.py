@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this process only where none is set, as in tests."""
+    """The cluster's checkpoint folder; in local mode only, as in tests, a folder of this process."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)
@@ -38,9 +42,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Write a table into the shared folder and read it again; cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _scopes[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes what `written` writes within, the paths that this gives, when it ends."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 #: Bytes of a batch that goes to a Python worker. Spark's own limit of 64 MB is held several times
 #: over by the JVM and the worker.
 BATCH_BYTES = 4 << 20
@@ -64,7 +86,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def buckets(spark: SparkSession) -> int:
     """Buckets of a hashed exchange: several to a partition, so that none of them weighs much."""
-    return min(1 << 14, max(64, 4 * shuffle_partitions(spark)))
+    return max(64, 4 * shuffle_partitions(spark))
 
 
 def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -1,28 +1,40 @@
 """Similarity join on word n-gram sets by parity sketches.
 
-A document's set holds its distinct 4-word shingles. Sets of at least 85 % Jaccard differ in at
-most 15/185 of the sum of their sizes. Sizes fall into bands; a set belongs to its own band, and
-visits the next one if it can have partners there. A band has a bound k on the difference and
-cuts the hash space of shingles into m > k ranges. The parity sketch of a range is the XOR of
-the hashes in it. Each differing shingle changes one range only, so linked sets agree on m - k
-ranges at least (pigeonhole). Ranges that are empty say nothing and are not sent; m leaves room
-for them, and a set with more empty ranges than that (very rare) sends each of its shingles.
-
-A bit sketch of the whole set (each hash toggles one bit) bounds the difference from below by
-its Hamming distance; candidates that pass are verified on their texts. Links are used as they
-are found: equal sets first, then each set with the partner it shares most ranges with, then,
-in ranges whose sets are not yet in one component, every pair of different components. So
-groups of thousands of copies cost a star, not all pairs, and no link between components is lost.
+A document's set holds its distinct word shingles: 4 words and a Jaccard similarity of 85 % unless
+another Rule is given. Sets of at least that similarity differ in at most a fixed share of the sum
+of their sizes (15/185 at 85 %). Sizes fall into bands; a set belongs to its own band, and visits
+the next one if it can have partners there. A band has a bound k on the difference and cuts the
+64-bit hash space of shingles into m > k ranges. The parity sketch of a range is the XOR of the
+hashes in it. Each differing shingle changes one range only, so linked sets agree on m - k ranges
+at least (pigeonhole). Ranges that are empty say nothing and are not sent; m leaves room for them,
+and a set with more empty ranges than that (very rare) sends each of its shingles.
+
+A bit sketch of the whole set (each hash toggles one bit of a number that grows with the set; it
+folds to fewer bits by XOR) bounds the difference from below by its Hamming distance; candidates
+that pass are verified on their texts. Texts are equal if the SHA-256 of their words is. Links are
+used as they are found: equal texts first, then each set with the partner it shares most ranges
+with, then each with the least document of another component that it shares most ranges with, and
+at last, in ranges whose sets are not yet in one component, every pair of different components. So
+groups of thousands of copies cost stars, not all pairs, and no link between components is lost.
+
+Range keys travel as rows, one a batch where it has very many documents of a key, and meet in one
+sorted stream a task; a pair is verified in a stream sorted by its first document, which comes once
+for so many partners. No step holds more than a batch and one document, or a block of sketches,
+whatever the size of a group.
 
 Defined results: null and empty texts and texts without words have the empty set and link with
-nothing; texts of fewer than four words have one shingle, the whole; rows that repeat a doc_id
-count as that document; rows without doc_id keep their size and have no component.
+nothing; texts of fewer words than a shingle have one, the whole; rows that repeat a doc_id are
+that document, linked by any of their texts, each row with its own size; rows without doc_id keep
+their size and have no component.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,82 +46,110 @@ from . import _io as io
 from . import _text as tx
 
 SHINGLE = 4
-#: Jaccard threshold as a fraction: PART * |A n B| >= LEAST * |A u B|.
+#: Jaccard threshold as a fraction: WHOLE * |A n B| >= LEAST * |A u B|.
 LEAST, WHOLE = 85, 100
 SKETCH_BITS = 512
+#: Documents of a batch with one range key from which on only the least is sent to meet others.
+HOT = 32
 _BAND_RATIO = 1.5
 _U64 = np.uint64
-_RANGE_BITS = 48
-_SENT = "bucket int, kind int, n int, key long, doc_id long, blob binary"
-_MET = "kind int, key long, doc_id long, center long, n int, sketch binary"
+_SENT = "key long, doc_id long, center long, blob binary"
+_MET = "kind int, key long, doc_id long, center long, n int, sketch binary, wide binary"
+#: What a row about a document carries: kind, size, center; then its digest and bit sketch.
+_HEAD = "<iiq"
 
 
-def linked(common: int, a: int, b: int) -> bool:
-    return a > 0 and b > 0 and WHOLE * common >= LEAST * (a + b - common)
+@dataclass(frozen=True)
+class Rule:
+    """Words a shingle, and the least similarity as least / whole."""
 
+    shingle: int = SHINGLE
+    least: int = LEAST
+    whole: int = WHOLE
 
-def most_difference(total: int) -> int:
-    """Largest symmetric difference of linked sets whose sizes sum to `total`."""
-    # J >= t  <=>  difference <= (1 - t) / (1 + t) * total
-    return (WHOLE - LEAST) * total // (WHOLE + LEAST)
+    def __post_init__(self) -> None:
+        if self.shingle < 1 or not 0 < self.least <= self.whole:
+            raise ValueError("a shingle has one word at least, a similarity is above 0 and not above 1")
 
+    def linked(self, common: int, a: int, b: int) -> bool:
+        return a > 0 and b > 0 and self.whole * common >= self.least * (a + b - common)
 
-@lru_cache(maxsize=1)
-def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def most_difference(self, total: int) -> int:
+        """Largest symmetric difference of linked sets whose sizes sum to `total`."""
+        # J >= t  <=>  difference <= (1 - t) / (1 + t) * total
+        return (self.whole - self.least) * total // (self.whole + self.least)
+
+
+CONTRACT = Rule()
+
+
+def linked(common: int, a: int, b: int, rule: Rule = CONTRACT) -> bool:
+    return rule.linked(common, a, b)
+
+
+@lru_cache(maxsize=8)
+def bands(rule: Rule = CONTRACT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first size, size after the last, ranges m, room for empty ranges) of each band."""
     first, rows = 1, []
     while first < 1 << 40:
         after = max(first + 1, math.ceil(first * _BAND_RATIO))
-        k = most_difference(2 * (after - 1))
+        k = rule.most_difference(2 * (after - 1))
         if k == 0:
             rows.append((first, after, 0, 0))
         else:
-            room = math.ceil(0.03 * k + 3 * math.sqrt(0.03 * k)) + 1
+            empty = k * math.exp(-first * rule.least / rule.whole / k)  # of the smallest set that visits
+            room = math.ceil(empty + 3 * math.sqrt(empty)) + 1
             rows.append((first, after, k + 1 + room, room))
         first = after
     return tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct 48-bit shingle hashes of the texts in turn, where each text's begin)."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, rule: Rule = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct 64-bit shingle hashes of the texts in turn, where each text's begin)."""
+    size = rule.shingle
     w = tx.words(data, offsets, tx.SPACED, fold=True)
-    n_docs = len(offsets) - 1
-    h = tx.windows(w.hash, SHINGLE, 401)
-    ok = tx.within(w.first, len(w.hash), SHINGLE)
-    own = tx.owner(w.first)
-    doc, value = own[: len(h)][ok], h[ok]
     counts = w.counts
-    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-    if len(short):
-        whole = [tx.mix(np.array([np.bitwise_xor.reduce(w.hash[w.first[d] : w.first[d + 1]] * tx.constants(SHINGLE, 409)[: counts[d]]) + _U64(counts[d])])) for d in short]
-        doc, value = np.concatenate([doc, short]), np.concatenate([value, *whole])
-    parts = []
-    for lo in range(0, n_docs, 1 << 15):  # the number of a text within 2**15 goes above the 48 bits
-        here = (doc >= lo) & (doc < lo + (1 << 15)) if n_docs > 1 << 15 else slice(None)
-        joint = np.sort(((doc[here] - lo).astype(_U64) << _U64(_RANGE_BITS)) | (value[here] >> _U64(64 - _RANGE_BITS)))
-        if len(joint):
-            joint = joint[np.concatenate([[True], joint[1:] != joint[:-1]])]
-        parts.append(((joint >> _U64(_RANGE_BITS)).astype(np.int64) + lo, joint & _U64((1 << _RANGE_BITS) - 1)))
-    owners, hashes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, _U64))
-    return hashes, np.searchsorted(owners, np.arange(n_docs + 1))
+    value = tx.windows(w.hash, size, 401)[tx.within(w.first, len(w.hash), size)]
+    first = np.concatenate([[0], np.cumsum(np.maximum(0, counts - size + 1))])
+    if len(short := np.flatnonzero((counts > 0) & (counts < size))):
+        weights = tx.constants(size, 409)
+        whole = [tx.mix(np.array([np.bitwise_xor.reduce(w.hash[w.first[d] : w.first[d + 1]] * weights[: counts[d]]) + _U64(counts[d])]))[0] for d in short]
+        value = np.insert(value, first[short], np.array(whole, dtype=_U64))
+        first = np.concatenate([[0], np.cumsum(np.where(counts >= size, counts - size + 1, counts > 0))])
+    new = np.ones(len(value), dtype=bool)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a > 1:
+            own = value[a:b]
+            own.sort()
+            new[a + 1 : b] = own[1:] != own[:-1]
+    return value[new], np.concatenate([[0], np.cumsum(new)])[first]
 
 
 def _xor_by(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(values, begins) if len(begins) else np.zeros(0, _U64)
 
 
-def bit_sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parity bits of each set, as rows of bytes."""
-    n = len(first) - 1
-    own = np.repeat(np.arange(n), np.diff(first))
-    bit = (tx.mix(hashes) % _U64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(own * SKETCH_BITS + bit, minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1)
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity bits of a set as bytes: twice as many bits as hashes, in powers of 2 from SKETCH_BITS on."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else SKETCH_BITS
+    at = (tx.mix(hashes) & _U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
+
 
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of fewer bits, `size` bytes of them, that the same set has."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
-def range_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two sketches: the symmetric difference is no less."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+
+
+def range_keys(hashes: np.ndarray, first: np.ndarray, rule: Rule = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
     """(set number, key) of the parity sketches of all ranges that aren't empty, for own and next band."""
-    low, after, ranges, room = bands()
+    low, _, ranges, room = bands(rule)
     sizes = np.diff(first)
     home = np.searchsorted(low, sizes, side="right") - 1
     mixed = tx.mix(hashes)
@@ -118,15 +158,15 @@ def range_keys(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
         band = home + step
         comes = sizes > 0
         if step:
-            # a partner of size s has at most s / LEAST * WHOLE shingles
-            comes &= sizes * WHOLE // LEAST >= low[np.minimum(band, len(low) - 1)]
+            # a partner of size s has at most s / least * whole shingles
+            comes &= sizes * rule.whole // rule.least >= low[np.minimum(band, len(low) - 1)]
         m = np.where(comes, ranges[band], 0)
         used = np.flatnonzero(m > 0)
         if not len(used):
             continue
         take = np.repeat(m > 0, sizes)
         own = np.repeat(np.arange(len(sizes)), sizes)[take]
-        part = ((hashes[take] >> _U64(16)) * m[own].astype(_U64)) >> _U64(_RANGE_BITS - 16)
+        part = ((hashes[take] >> _U64(32)) * m[own].astype(_U64)) >> _U64(32)
         joint = (own.astype(_U64) << _U64(32)) | part
         begins = np.flatnonzero(np.concatenate([[True], joint[1:] != joint[:-1]]))
         xor = _xor_by(mixed[take], begins)
@@ -149,133 +189,207 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == _U64 else x.astype(np.int64), pa.int64())
 
 
-def _send(n_buckets: int) -> Callable:
-    """kind 0: a document with its set's hash (its size and sketch); kind 1: blobs of range keys;
-    kind 2: a document whose equal was met in its batch."""
+def _send(rule: Rule) -> Callable:
+    """Rows of range keys (odd; only the first of more than HOT a batch), of documents that met under
+    a hot one in their batch (with the least of them as center), and of documents (even keys, with a blob): 0 new, its key
+    the head of its digest; 2 a copy of one in the batch or without words; 3 without doc_id."""
+    names, types = ["key", "doc_id", "center", "blob"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
             ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
-            seen: dict[tuple[int, int], int] = {}
-            rows: tuple[list, ...] = tuple([] for _ in range(6))
+            seen: dict[bytes, int] = {}
+            rows: tuple[list, list, list] = ([], [], [])
             key_parts, doc_parts = [], []
+
+            def tell(key: int, doc: int | None, kind: int, n: int, center: int = 0, rest: bytes = b"", rows: tuple = rows) -> None:
+                for column, value in zip(rows, (key & ~1, doc, struct.pack(_HEAD, kind, n, center) + rest), strict=True):
+                    column.append(value)
+
             for row, to, data, at in tx.slices(batch.column(1)):
-                hashes, first = shingle_sets(data, at)
-                sizes = np.diff(first)
-                whole = np.zeros(to - row, dtype=_U64)
-                some = np.flatnonzero(sizes)
-                whole[some] = _xor_by(tx.mix(hashes + _U64(7)), first[:-1][some])
-                whole = tx.mix(whole + sizes.astype(_U64))
-                sketches = bit_sketches(hashes, first)
+                hashes, first = shingle_sets(data, at, rule)
+                sizes = np.diff(first).tolist()
+                lower = tx.FOLD[data].tobytes()
                 new = np.zeros(to - row, dtype=bool)
-                for i in range(to - row):
-                    doc, n, h = int(ids[row + i]), int(sizes[i]), int(whole[i].view(np.int64))
+                for i, n in enumerate(sizes):
+                    doc = int(ids[row + i])
                     if not known[row + i]:
-                        values = (-1, 3, n, 0, None, None)
-                    elif not n:
-                        values = (-1 - doc % n_buckets, 2, 0, doc, doc, None)
-                    elif (h, n) in seen:
-                        values = (-1 - doc % n_buckets, 2, n, seen[h, n], doc, None)
+                        tell(2 * (row + i), None, 3, n)
+                        continue
+                    digest = hashlib.sha256(b" ".join(lower[at[i] : at[i + 1]].split())).digest() if n else b""
+                    if not n:
+                        tell(doc, doc, 2, 0, doc)
+                    elif digest in seen:
+                        tell(doc, doc, 2, n, seen[digest])
                     else:
-                        seen[h, n], new[i] = doc, True
-                        values = (h % n_buckets, 0, n, h, doc, sketches[i].tobytes())
-                    for column, value in zip(rows, values, strict=True):
-                        column.append(value)
-                sets, keys = range_keys(hashes, first)
+                        seen[digest], new[i] = doc, True
+                        tell(int.from_bytes(digest[:8], "little", signed=True), doc, 0, n, 0, digest + bit_sketch(hashes[first[i] : first[i + 1]]).tobytes())
+                sets, keys = range_keys(hashes, first, rule)
                 sent = new[sets]
-                key_parts.append(keys[sent])
+                key_parts.append(keys[sent] | _U64(1))
                 doc_parts.append(ids[row + sets[sent]])
+            parts = [(pa.array(rows[0], types[0]), pa.array(rows[1], types[1]), pa.nulls(len(rows[0]), types[2]), pa.array(rows[2], types[3]))]
             if key_parts:
                 keys, docs = np.concatenate(key_parts), np.concatenate(doc_parts)
-                for b, some in io.split_by((keys % _U64(n_buckets)).astype(np.int64)):
-                    for column, value in zip(rows, (b, 1, len(some), 0, None, keys[some].tobytes() + docs[some].tobytes()), strict=True):
-                        column.append(value)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            out = pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["bucket", "kind", "n", "key", "doc_id", "blob"])
-            yield from io.batches(out, 1024)
+                order = np.lexsort((docs, keys))
+                keys, docs = keys[order], docs[order]
+                begins = np.ones(len(keys), dtype=bool)
+                begins[1:] = keys[1:] != keys[:-1]
+                lead = docs[begins][np.cumsum(begins) - 1]
+                group = np.cumsum(begins) - 1
+                hot = (np.bincount(group) > HOT)[group] if len(group) else begins
+                sent = begins | ~hot
+                parts.append((_signed(keys[sent]), _signed(docs[sent]), pa.nulls(int(sent.sum()), types[2]), pa.nulls(int(sent.sum()), types[3])))
+                parts.append((_signed(keys[hot]), _signed(docs[hot]), _signed(lead[hot]), pa.nulls(int(hot.sum()), types[3])))
+            for part in parts:
+                yield from io.batches(pa.table(list(part), names=names), 1 << 14)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: every document with the least document of an equal set; kind 1: (key, document,
-    least document) of the range keys that several documents have."""
-    names = ["kind", "key", "doc_id", "center", "n", "sketch"]
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    """From rows in the order of key and doc_id. kind 0 and 2: every document with the least one (2:
+    one) of equal text; kind 1: (key, document, least document) of keys that several documents
+    have; kind 3: rows without doc_id."""
+    names = ["kind", "key", "doc_id", "center", "n", "sketch", "wide"]
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def table(*columns: object) -> Iterator[pa.RecordBatch]:
-        yield from io.batches(pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names))
-
-    def of(bucket: list[tuple], blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        if bucket:
-            least: dict[tuple[int, int], int] = {}
-            for n, key, doc, _ in bucket:
-                least[key, n] = min(doc, least.get((key, n), doc))
-            yield from table([0] * len(bucket), [0] * len(bucket), [x[2] for x in bucket], [least[x[1], x[0]] for x in bucket], [x[0] for x in bucket], [x[3] for x in bucket])
-        if blobs:
-            keys = np.concatenate([np.frombuffer(x[: 8 * n], dtype=_U64) for n, x in blobs])
-            docs = np.concatenate([np.frombuffer(x[8 * n :], dtype=np.int64) for n, x in blobs])
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            begins = np.concatenate([[True], keys[1:] != keys[:-1]])
-            group = np.cumsum(begins) - 1
-            several = np.bincount(group)[group] > 1
-            if several.any():
-                k = int(several.sum())
-                yield from table(np.ones(k, np.int32), keys[several].view(np.int64), docs[several], docs[begins][group][several], np.zeros(k, np.int32), pa.nulls(k, pa.binary()))
-
-    at, bucket, blobs = None, [], []
-    for batch in batches:
-        passed: tuple[list, list, list, list] = ([], [], [], [])
-        for b, kind, n, key, doc, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind > 1:
-                for column, value in zip(passed, (kind, doc, None if doc is None else key, n), strict=True):
-                    column.append(value)
-                continue
-            if b != at:
-                yield from of(bucket, blobs)
-                at, bucket, blobs = b, [], []
-            if kind == 1:
-                blobs.append((n, blob))
-            else:
-                bucket.append((n, key, doc, blob))
-        kinds, docs, centers, sizes = passed
-        if kinds:
-            yield from table(kinds, [0] * len(kinds), docs, centers, sizes, [None] * len(kinds))
-    yield from of(bucket, blobs)
-
-
-def _common(a: str | None, b: str | None) -> tuple[int, int, int]:
-    one, other = ((x or "").encode("utf-8", "surrogatepass") for x in (a, b))
-    hashes, first = shingle_sets(np.frombuffer(one + other, dtype=np.uint8), np.array([0, len(one), len(one) + len(other)]))
-    x, y = hashes[: first[1]], hashes[first[1] :]
-    return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            yield from io.batches(pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names), 1 << 14)
+
+    def of_keys(keys: np.ndarray, docs: np.ndarray, leads: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k = len(keys)
+        yield from table(np.ones(k, np.int32), keys, docs, leads, np.zeros(k, np.int32), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()))
+
+    at, lead, told = None, 0, True  # the last range key, its least document, whether that is told
+    head, equal = None, {}  # the last digest head, least documents of its digests
     for batch in batches:
-        a, b, left, right = (batch.column(i) for i in range(4))
-        good = np.array([linked(*_common(x.as_py(), y.as_py())) for x, y in zip(left, right, strict=True)], dtype=bool)
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good))
+        blobs = batch.column(3)
+        about, met = np.asarray(blobs.is_valid()), np.asarray(batch.column(2).is_valid())
+        keys, docs, leads = (np.asarray(batch.column(i).fill_null(0)).astype(np.int64) for i in range(3))
+        yield from of_keys(keys[met], docs[met], leads[met])
+        keys, docs = keys[~about & ~met], docs[~about & ~met]
+        if len(keys):
+            begins = np.concatenate([[keys[0] != at], keys[1:] != keys[:-1]])
+            leads = np.concatenate([[lead], docs[begins]])[np.cumsum(begins)]
+            group = np.cumsum(begins)
+            size = np.bincount(group)
+            several = (size[group] > 1) | (group == 0)
+            if size[0] and not told:
+                yield from of_keys(*(np.array([x]) for x in (at, lead, lead)))
+                told = True
+            yield from of_keys(keys[several], docs[several], leads[several])
+            if group[-1]:
+                told = bool(size[-1] > 1)
+            at, lead = int(keys[-1]), int(leads[-1])
+        rows: tuple[list, ...] = tuple([] for _ in names)
+        for i in np.flatnonzero(about).tolist():
+            key, doc, blob = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), blobs[i].as_py()
+            kind, n, center = struct.unpack_from(_HEAD, blob)
+            sketch = wide = None
+            if kind == 0:
+                if key != head:
+                    head, equal = key, {}
+                center, wide = equal.setdefault(blob[16:48], doc), blob[48:]
+                sketch = folded(np.frombuffer(wide, dtype=np.uint8), SKETCH_BITS // 8).tobytes()
+            values = (kind, 0, doc, None if kind == 3 else center, n, sketch, wide)
+            for column, value in zip(rows, values, strict=True):
+                column.append(value)
+        yield from table(*rows)
+
+
+#: Partners that are verified next to one copy of a document's text; more get another copy.
+PARTNERS = 512
+
+
+def _verify(rule: Rule) -> Callable:
+    """Pairs (a, b) of linked sets from rows (a, salt, part, doc_id, text) in their order: the texts
+    of a (part 0), then its partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        firsts: list[np.ndarray] = []
+        for batch in batches:
+            a, salt, part, doc = (np.asarray(batch.column(i)) for i in range(4))
+            good = np.zeros(len(batch), dtype=bool)
+            for row, to, data, offsets in tx.slices(batch.column(4)):
+                hashes, first = shingle_sets(data, offsets, rule)
+                for i in range(row, to):
+                    if (a[i], salt[i]) != at:
+                        at, firsts = (a[i], salt[i]), []
+                    own = hashes[first[i - row] : first[i - row + 1]]
+                    if part[i] == 0:
+                        firsts.append(own.copy())
+                    else:
+                        good[i] = any(rule.linked(_common(x, own), len(x), len(own)) for x in firsts)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(doc)], names=["a", "b"]).filter(pa.array(good))
+
+    return run
+
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(x) or not len(y):
+        return 0
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, by the texts themselves."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = io.with_text_of(docs.select("doc_id", "text"), ids)
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return io.in_batches(both, _verify, "a long, b long")
+
+def _near(rule: Rule) -> Callable:
+    """As _verify, pairs whose sketches let them be linked, from rows (a, salt, part, doc_id, n, wide)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        firsts: list[tuple[int, np.ndarray]] = []
+        for batch in batches:
+            a, salt, part, doc, n = (np.asarray(batch.column(i)) for i in range(5))
+            good = np.zeros(len(batch), dtype=bool)
+            for i, wide in enumerate(batch.column(5)):
+                if (a[i], salt[i]) != at:
+                    at, firsts = (a[i], salt[i]), []
+                own = np.frombuffer(wide.as_py(), dtype=np.uint8)
+                if part[i] == 0:
+                    firsts.append((int(n[i]), own))
+                else:
+                    good[i] = any(rule.linked(min(k, int(n[i])), k, int(n[i])) and apart(x, own) <= rule.most_difference(k + int(n[i])) for k, x in firsts)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(doc)], names=["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _beside(rows: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(a, salt, part, doc_id, columns of rows): each document of `rows` as an `a` (part 0) or next
+    to one, in the order of a, salt and part; at most PARTNERS partners a salt.
+
+    `pairs` is a written table of distinct pairs. Up to `most` of them (24 bytes each) are counted
+    and broadcast to the rows; beyond that the join is shuffled.
+    """
+    few = pairs.limit(most + 1).count() <= most
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("_s"))
+    dealt = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_s")).cast("int").alias("salt"), F.col("b").alias("doc_id"))
+    heads = heads.select(F.col("a").alias("doc_id"), "_s")
+    first = rows.join(F.broadcast(heads) if few else heads, "doc_id")
+    first = first.select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.lit(0).alias("part"), *rows.columns)
+    rest = rows.join(F.broadcast(dealt) if few else dealt, "doc_id").select("a", "salt", F.lit(1).alias("part"), *rows.columns)
+    return first.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, rule: Rule = CONTRACT, most: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b), of a written table, whose sets are linked: by their sketches (`sets`: doc_id,
+    n, wide) first, then by the texts themselves."""
+    near = io.in_batches(_beside(sets, pairs, most), _near(rule), "a long, b long")
+    near = io.written(near.distinct(), "near")
+    return io.in_batches(_beside(docs.select("doc_id", "text"), near, most), _verify(rule), "a long, b long")
 
 
 #: Sets of one range that a task compares with one another; larger groups are cut into blocks.
 BLOCK = 2048
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(rule: Rule) -> Callable:
     """Pairs of different components within each group (key, i, j) that bit sketches let pass."""
+    least, whole = rule.least, rule.whole
 
     def of(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(group) < 2:
@@ -285,10 +399,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(b"".join(x[3] for x in group), dtype=np.uint64).reshape(len(group), -1)
         for i in range(len(group) - 1):
             other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
-            other = other[(np.minimum(sizes[other], sizes[i]) * WHOLE >= LEAST * np.maximum(sizes[other], sizes[i]))]
+            other = other[(np.minimum(sizes[other], sizes[i]) * whole >= least * np.maximum(sizes[other], sizes[i]))]
             if len(other):
-                apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1).astype(np.int64)
-                other = other[apart <= (WHOLE - LEAST) * (sizes[other] + sizes[i]) // (WHOLE + LEAST)]
+                away = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1).astype(np.int64)
+                other = other[away <= (whole - least) * (sizes[other] + sizes[i]) // (whole + least)]
             if len(other):
                 held.append((np.minimum(docs[other], docs[i]), np.maximum(docs[other], docs[i])))
             if held and (len(held) >= 1024 or i == len(group) - 2):
@@ -296,14 +410,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
                 yield from io.batches(pa.table([_signed(a), _signed(b)], names=["a", "b"]))
 
-    at, group = None, []
-    for batch in batches:
-        for key, i, j, doc, comp, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, i, j) != at:
-                yield from of(group)
-                at, group = (key, i, j), []
-            group.append((doc, comp, n, sketch))
-    yield from of(group)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for batch in batches:
+            for key, i, j, doc, comp, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != at:
+                    yield from of(group)
+                    at, group = (key, i, j), []
+                group.append((doc, comp, n, sketch))
+        yield from of(group)
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -342,37 +459,57 @@ def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
     return labels.join(then, "component", "left").select("doc_id", F.coalesce("_next", "component").alias("component"))
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
+def similarity_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    sent = io.in_batches(docs, _send(io.buckets(spark)), _SENT)
-    met = io.written(io.in_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), _meet, _MET), "ranges")
+    sent = io.in_batches(docs, _send(rule), _SENT)
+    dealt = sent.repartition(F.when(F.col("center").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc_id")))
+    met = io.written(io.in_batches(dealt.sortWithinPartitions("key", "doc_id"), _meet, _MET), "ranges")
     sets, shared = met.where("kind <> 1"), met.where("kind = 1")
     equal = sets.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
 
-    votes = shared.where("doc_id <> center").groupBy("doc_id", "center").count()
-    best = votes.groupBy("doc_id").agg(F.min_by("center", F.struct(-F.col("count"), F.col("center"))).alias("a"))
-    star = io.written(best.select("a", F.col("doc_id").alias("b")), "stars")
-    labels = components(equal.union(io.written(verified(docs, star), "links")))
-
-    # ranges whose sets are still in several components
-    here = shared.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    here = io.written(here, "members")
-    open_ = here.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("key", "_n")
-    sketches = sets.where("kind = 0").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    group = here.join(open_, "key").join(sketches, "doc_id").withColumn("_s", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    wide = sets.where("kind = 0").select("doc_id", "n", "wide").distinct()  # a doc_id may have several texts
+
+    def starred(votes: DataFrame) -> DataFrame:
+        """Each document with the center that most of its votes (doc_id, center) name."""
+        votes = votes.groupBy("doc_id", "center").count()
+        best = votes.groupBy("doc_id").agg(F.min_by("center", F.struct(-F.col("count"), F.col("center"))).alias("a"))
+        return io.written(best.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "stars")
+
+    def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components after the linked ones of `pairs` are joined too."""
+        found = io.written(verified(docs, wide, pairs, rule), "links")
+        to = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("_a"))
+        then = labels.select(F.col("doc_id").alias("b"), F.col("component").alias("_b"))
+        more = found.join(to, "a", "left").join(then, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        joined = components(more)
+        whole = labels.union(joined.select("doc_id", F.col("doc_id").alias("component")).join(labels.select("doc_id"), "doc_id", "left_anti"))
+        return io.written(_relabelled(whole, joined), "labels")
+
+    def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members (key, doc_id) of the ranges whose sets are still in several components."""
+        here = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        here = io.written(here, "members")
+        open_ = here.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("_hi"), F.count("*").alias("size")).where("least <> _hi")
+        return io.written(here.join(open_.select("key", "least", "size"), "key"), "open")
+
+    star = starred(shared.where("doc_id <> center").select("doc_id", "center"))
+    labels = components(equal.union(io.written(verified(docs, wide, star, rule), "links")))
+    group = labelled(shared.select("key", "doc_id"), labels)
+    # the least document of a component stands for it
+    second = starred(group.where("component <> least").select("doc_id", F.col("least").alias("center"))).join(star, ["a", "b"], "left_anti")
+    second = io.written(second, "stars")
+    if not second.isEmpty():
+        labels = merged(labels, second)
+        group = labelled(group.select("key", "doc_id"), labels)
+
+    sketches = sets.where("kind = 0").select("doc_id", "n", "sketch").distinct()
+    group = group.distinct().join(sketches, "doc_id").withColumn("_s", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("_s")).cast("int")
     group = group.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     group = group.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "component", "n", "sketch")
-    pairs = io.in_batches(group.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component", "doc_id"), _compare, "a long, b long")
-    pairs = io.written(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = io.in_batches(group.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component", "doc_id"), _compare(rule), "a long, b long")
+    pairs = io.written(pairs.distinct().join(star.union(second), ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        found = io.written(verified(docs, pairs), "links")
-        to = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("_a"))
-        then = labels.select(F.col("doc_id").alias("b"), F.col("component").alias("_b"))
-        more = found.join(to, "a", "left").join(then, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-        merged = components(more)
-        whole = labels.union(merged.select("doc_id", F.col("doc_id").alias("component")).join(labels.select("doc_id"), "doc_id", "left_anti"))
-        labels = _relabelled(whole, merged)
+        labels = merged(labels, pairs)
     return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

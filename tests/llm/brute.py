@@ -64,8 +64,8 @@ def shingles(text, size=4):
     return {tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))} if ws else set()
 
 
-def op6(docs, links_only=False):
-    sets = {d: shingles(t) for d, t in docs}
+def op6(docs, size=4, least=85):
+    sets = {d: shingles(t, size) for d, t in docs}
     index, parent = {}, {d: d for d in sets}
 
     def root(x):
@@ -80,7 +80,7 @@ def op6(docs, links_only=False):
                 shared[e] = shared.get(e, 0) + 1
             index.setdefault(s, []).append(d)
         for e, c in shared.items():
-            if 100 * c >= 85 * (len(sets[d]) + len(sets[e]) - c):
+            if 100 * c >= least * (len(sets[d]) + len(sets[e]) - c):
                 a, b = sorted((root(d), root(e)))
                 parent[b] = a
     return {d: (len(sets[d]), root(d)) for d in sets}

@@ -38,30 +38,64 @@ def test_components_are_brute_force(spark, size, edits):
     assert got == brute.op6(docs)
 
 
-def test_linked_sets_share_a_range():
+def _hashes(rng, n):
+    return [rng.getrandbits(64) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rule", [pj.CONTRACT, pj.Rule(5, 80, 100)])
+def test_linked_sets_share_a_range(rule):
     """The pigeonhole bound itself, for pairs at the threshold."""
     rng = random.Random(5)
     for size in (6, 7, 11, 12, 20, 33, 50, 100, 400, 3000):
         for _ in range(60 if size < 400 else 8):
-            common = rng.sample(range(1 << 48), size)
-            room = size * 15 // 85
+            common = _hashes(rng, size)
+            room = size * (rule.whole - rule.least) // rule.least
             a = rng.randrange(room + 1)
-            x = [*common, *rng.sample(range(1 << 48), a)]
-            y = [*common, *rng.sample(range(1 << 48), room - a)]
-            if not pj.linked(size, len(x), len(y)):
-                continue
+            x = [*common, *_hashes(rng, a)]
+            y = [*common, *_hashes(rng, room - a)]
+            assert pj.linked(size, len(x), len(y), rule)
             sets = [np.array(sorted(s), dtype=np.uint64) for s in (x, y)]
-            owner, keys = pj.range_keys(np.concatenate(sets), np.array([0, len(x), len(x) + len(y)]))
+            owner, keys = pj.range_keys(np.concatenate(sets), np.array([0, len(x), len(x) + len(y)]), rule)
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()) or set(x) == set(y)
 
 
+def test_another_rule_is_brute_force(spark):
+    rng = random.Random(31)
+    docs = list(enumerate(_varied(rng, 10, 40, 3) + _varied(rng, 6, 7, 1)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in pj.similarity_components(df, pj.Rule(5, 80, 100)).collect()}
+    assert got == brute.op6(docs, 5, 80) != brute.op6(docs)
+    with pytest.raises(ValueError, match="similarity"):
+        pj.Rule(5, 0, 100)
+
+
+def test_colliding_range_keys_are_verified(spark, monkeypatch):
+    """Keys that say nothing only cost comparisons: links come from the texts."""
+    rng = random.Random(12)
+    monkeypatch.setattr(pj, "HOT", 3)
+    docs = list(enumerate(_varied(rng, 5, 40, 3)))
+    narrow = pj.range_keys
+    monkeypatch.setattr(pj, "range_keys", lambda *x: (lambda sets, keys: (sets, keys & np.uint64(6)))(*narrow(*x)))
+    got = {r[0]: tuple(r)[1:] for r in pj.similarity_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.op6(docs)
+
+
+def test_one_doc_id_with_several_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    docs = [(1, x), (2, y), (2, x), (3, y + " end"), (4, z)]
+    got = sorted(tuple(r) for r in pj.similarity_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(1, 57, 1), (2, 57, 1), (2, 57, 1), (3, 58, 1), (4, 57, 4)]
+
+
 def test_bit_sketch_bounds_the_difference():
     rng = random.Random(6)
-    x = set(rng.sample(range(1 << 48), 300))
-    y = set(list(x)[:250]) | set(rng.sample(range(1 << 48), 40))
-    sets = [np.array(sorted(s), dtype=np.uint64) for s in (x, y)]
-    a, b = pj.bit_sketches(np.concatenate(sets), np.array([0, len(x), len(x) + len(y)]))
-    assert 0 < int(np.bitwise_count(a ^ b).sum()) <= len(x ^ y)
+    for size in (3, 100, 300, 5000):
+        x = _hashes(rng, size)
+        y = [*x[: size * 5 // 6], *_hashes(rng, size // 2)]
+        a, b = (pj.bit_sketch(np.array(sorted(s), dtype=np.uint64)) for s in (x, y))
+        difference = len(set(x) ^ set(y))
+        assert difference / 3 < pj.apart(a, b) <= difference
+        assert pj.apart(a, pj.folded(b, 64)) <= pj.apart(a, b)
 
 
 def test_components_of_chains(spark):
