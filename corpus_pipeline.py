@@ -18,7 +18,10 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def _keep(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't in `out` (doc_id); rows without doc_id stay."""
+    """Rows of docs whose doc_id isn't in `out` (doc_id, long); rows without doc_id stay.
+
+    Up to a million ids, 8 bytes each, are counted and broadcast; more are shuffled.
+    """
     gone = out.distinct()
     few = gone.limit(1_000_001).count() <= 1_000_000
     return docs.select(_columns(docs)).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(_columns(docs))
@@ -31,9 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, scored)
 
 
+#: Near copies share four fifths of their shingles of five words.
+NEAR_COPIES = parity_join.Rule(shingle=5, least=80, whole=100)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays."""
-    found = parity_join.similarity_components(docs)
+    found = parity_join.similarity_components(docs, NEAR_COPIES)
     return _keep(docs, io.written(found.where("component_id <> doc_id").select("doc_id"), "copies"))
 
 
@@ -68,7 +75,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = io.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has written besides its result is removed after it, and
+    its result once the next one's is there."""
+    docs, before = io.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = io.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with io.dropping(spark) as own:
+            out = io.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            own.remove(path := own[-1])
+            if before:
+                own.append(before)
+        docs, before = out, path
     return STAGES[-1][1](spark, docs, sf_dir)
