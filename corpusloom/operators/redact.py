@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -49,11 +49,16 @@ Span = tuple[str, str, int, int]
 
 
 def resolve(spans: list[Span]) -> list[Span]:
-    """By start and then length (longer first), each that begins where the last kept one ended or later."""
-    out: list[Span] = []
-    for s in sorted((s for s in spans if s[1].strip()), key=lambda s: (s[2], s[2] - s[3])):
-        if not out or s[2] >= out[-1][3]:
-            out.append(s)
+    """At each place the longest span that begins there, if the spans so far have left it free."""
+    longest: dict[int, Span] = {}
+    for span in spans:
+        if span[1].strip() and span[3] > longest.get(span[2], span[:3] + (-1,))[3]:
+            longest[span[2]] = span
+    free, out = 0, []
+    for start in sorted(longest):
+        if start >= free:
+            out.append(longest[start])
+            free = longest[start][3]
     return out
 
 
@@ -67,46 +72,32 @@ def scan(text: str | None, categories: Sequence[str] | None = None) -> list[Span
     return resolve([s for category, spans in found.items() for s in (resolve(spans) if category in ("person_name", "company_name") else spans)])
 
 
-def middle_value(value: str, category: str = "") -> str:
-    if category == "email" and "@" in value:
-        local, _, domain = value.partition("@")
-        hidden = "*" * max(1, len(local) - 1) if len(local) <= 2 else "*" * min(6, len(local) - 2) + local[-1]
-        return f"{local[:1]}{hidden}@{domain}"
-    return "*" * len(value) if len(value) < 2 else value[0] + "*" if len(value) == 2 else value[0] + "*" * min(len(value) - 2, 6) + value[-1]
+#: A span with what is to stand in its place; null for a placeholder.
+Item = tuple[str, str, int, int, str | None]
 
 
-def hash_value(value: str, category: str) -> str:
-    return f"[{TAGS.get(category, 'PII')}:{hashlib.sha1(value.encode()).hexdigest()[:10].upper()}]"
-
-
-def mask(text: str, items: Sequence[Span], method: str = "placeholder") -> tuple[str, list[dict]]:
-    """(masked text, mapping): items from the last to the first; an item whose place doesn't hold
-    its value is looked for in the text as it then is."""
-    out, entries, counts = text, [], {}
-    for category, value, start, end in sorted(items, key=lambda s: -s[2]):
-        if not (0 <= start <= end <= len(out)) or (value and out[start:end] != value):
-            start = out.find(value) if value else -1
-            if start < 0:
-                continue
+def mask(text: str, items: Sequence[Span | Item], method: str = "placeholder") -> tuple[str, list[dict]]:
+    """(masked text, mapping) by one fold over the items from the last to the first: `left` is the
+    text before them, `right` what stands behind, piece by piece. An item whose place doesn't hold
+    its value takes the first place of the whole that does, if there is one."""
+    left, right = text, []
+    numbers: Counter[str] = Counter()
+    entries: list[dict] = []
+    for category, value, start, end, *new in sorted(items, key=lambda item: item[2], reverse=True):
+        if not 0 <= start <= end <= len(left) or left[start:end] != (value or left[start:end]):
+            left, right = left + "".join(reversed(right)), []
+            start = left.find(value) if value else -1
             end = start + len(value)
-        tag = TAGS.get(category, "MANUAL")
-        counts[tag] = counts.get(tag, 0) + 1
-        placeholder = f"{{{{{tag}_{counts[tag]}}}}}"
-        new = {"hash": hash_value, "mask": middle_value}.get(method, lambda *_: placeholder)(value, category)
-        out = out[:start] + new + out[end:]
-        entries.append({"id": f"map_{len(entries) + 1}", "placeholder": placeholder, "category": category, "original": value, "masked_value": new, "method": method, "start": start, "end": end})
-    return out, entries
-
-
-def restored(text: str, entries: Sequence[dict]) -> tuple[str, list[str]]:
-    """(text, masked values that can't be undone): longest masked values first; hashes stay."""
-    warnings = []
-    for e in sorted(entries, key=lambda e: -len(e["masked_value"])):
-        if e["method"] == "hash":
-            warnings.append(e["masked_value"])
-        elif e["masked_value"]:
-            text = text.replace(e["masked_value"], e["original"])
-    return text, warnings
+        if start < 0:
+            continue
+        tag = TAGS.get(category, TAGS["manual"])
+        numbers[tag] += 1
+        placeholder = f"{{{{{tag}_{numbers[tag]}}}}}"
+        shown = next((n for n in new if n is not None), placeholder)
+        right += [left[end:], shown]
+        left = left[:start]
+        entries.append({"id": f"map_{len(entries) + 1}", "placeholder": placeholder, "category": category, "original": value, "masked_value": shown, "method": method, "start": start, "end": end})
+    return left + "".join(reversed(right)), entries
 
 
 # -- DataFrame forms -------------------------------------------------------------------------
@@ -143,16 +134,19 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cat
 
 
 def mask_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", spans: str = "spans", method: str = "placeholder") -> DataFrame:
-    """key, masked, entries (the mapping) for docs with their spans."""
+    """key, masked, entries (the mapping) for docs with their spans. Method mask hides the middle of a
+    value, hash shows a digest instead, anything else a numbered placeholder."""
+    shown = {"mask": middle_mask, "hash": hash_mask}.get(method, lambda value, category: F.lit(None).cast("string"))
+    new = F.transform(F.coalesce(F.col(spans), F.array().cast(_SPANS)), lambda s: shown(s["value"], s["category"]))
 
-    def one(t: str | None, items: list | None) -> tuple:
-        return mask(t or "", [(s["category"], s["value"], s["start"], s["end"]) for s in items or ()], method)
+    def one(t: str | None, items: list | None, news: list) -> tuple:
+        return mask(t or "", [(s["category"], s["value"], s["start"], s["end"], n) for s, n in zip(items or (), news, strict=True)], method)
 
-    return _per_text(docs, key, [text, spans], one, f"masked string, entries {_ENTRIES}")
+    return _per_text(docs.withColumn("_new", new), key, [text, spans, "_new"], one, f"masked string, entries {_ENTRIES}")
 
 
 def resolve_spans(spans: Column) -> Column:
-    """resolve() for an array of structs with start and end, in the JVM."""
+    """As resolve, for an array of structs with start and end; of equal starts the longest."""
     ordered = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("_r"), i.alias("_i"))))
 
     def step(acc: Column, s: Column) -> Column:
@@ -163,7 +157,7 @@ def resolve_spans(spans: Column) -> Column:
 
 
 def middle_mask(value: Column, category: Column) -> Column:
-    """middle_value() as an expression."""
+    """The first and last character with up to six stars between; of an address, of its local part."""
     local, domain = F.substring_index(value, "@", 1), F.substring(value, F.instr(value, "@") + 1, F.length(value))
     n, m = F.length(local), F.length(value)
     email = F.when(n <= 2, F.concat(F.left(local, F.lit(1)), F.repeat(F.lit("*"), F.greatest(F.lit(1), n - 1)))).otherwise(F.concat(F.left(local, F.lit(1)), F.repeat(F.lit("*"), F.least(F.lit(6), n - 2)), F.right(local, F.lit(1))))
@@ -177,7 +171,7 @@ def hash_mask(value: Column, category: Column) -> Column:
 
 
 def restore(text: Column, entries: Column) -> Column:
-    """restored() as an expression: entries (masked_value, original, method), longest first."""
+    """The text with entries (masked_value, original, method) undone, longest first; hashes stay."""
     usable = F.filter(entries, lambda e: (e["method"] != "hash") & (e["masked_value"] != ""))
     ordered = F.array_sort(F.transform(usable, lambda e, i: F.struct((-F.length(e["masked_value"])).alias("n"), i.alias("i"), e["masked_value"].alias("m"), e["original"].alias("o"))))
     return F.aggregate(ordered, text, lambda acc, e: F.replace(acc, e["m"], e["o"]))
@@ -274,6 +268,8 @@ NUMBERED_LAYERS: list[tuple[str, str]] = [
     ("AMOUNT", r"[\d,]+\.?\d*\s*(?:万元|亿元|美元|英镑|港币|元)"),
     ("PERCENT", r"(?<![0-9.])\d+\.?\d*%"),
 ]
+#: Marks around the number of a reference that stands aside.
+_OPEN, _CLOSE = "\ue000", "\ue001"
 PARTIES = "甲方 乙方 丙方 丁方 戊方 己方 庚方 辛方 壬方 癸方".split()
 
 
@@ -283,9 +279,12 @@ def layered_mask(text: str) -> tuple[str, dict[str, str]]:
     mapping: dict[str, str] = {}
     statutes: list[str] = []
 
+    # private-use characters of the text itself are doubled while references stand aside
+    text = text.replace(_OPEN, _OPEN * 2)
+
     def aside(m: re.Match) -> str:
         statutes.append(m[0])
-        return f"{len(statutes) - 1}"
+        return f"{_OPEN}{len(statutes) - 1}{_CLOSE}"
 
     text = _STATUTE.sub(aside, text)
     people = [s for s in scan(text, ["person_name"])]
@@ -308,7 +307,8 @@ def layered_mask(text: str) -> tuple[str, dict[str, str]]:
     for pattern, new in (*STATIC_LAYERS, *CLEANUP):
         text = re.sub(pattern, new.replace("$1", r"\1"), text)
     text = re.sub(r"(\{\{(?:PARTY|AMOUNT|DATE|JUDGE)[^{}]*\}\})(?:\s*\1)+", r"\1", text)
-    return re.sub("(\\d+)", lambda m: statutes[int(m[1])], text), mapping
+    back = re.sub(f"{_OPEN}(?:{_OPEN}|([0-9]+){_CLOSE})", lambda m: statutes[int(m[1])] if m[1] and int(m[1]) < len(statutes) else m[0][: len(m[0]) if m[1] else 1], text)
+    return back, mapping
 
 
 def layered_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
