@@ -170,7 +170,8 @@ def mask_placeholder(spark, d):
 def restore_roundtrip(spark, d):
     found = _docs(spark, d).join(redact.scan_documents(_docs(spark, d)), "doc_id")
     masked = redact.mask_documents(found)
-    return masked.select("doc_id", F.sha1(redact.restore(F.col("masked"), F.col("entries"))).alias("text_sha1"))
+    left = F.rlike("masked", F.lit("[A-Za-z0-9]@[A-Za-z0-9-]+[.][A-Za-z0-9]"))
+    return masked.select("doc_id", F.sha1(redact.restore(F.col("masked"), F.col("entries"))).alias("text_sha1"), left.alias("address_left"))
 
 
 def reversible_map(spark, d):
@@ -250,8 +251,10 @@ def negation_flags(spark, d):
 
 
 def highlight_merge(spark, d):
-    """Places of anchors' neighbourhoods in a text as ranges, overlapping ones merged."""
-    hits = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.least(F.length("text"), F.lit(300)))).alias("i"))
+    """Places of anchors' neighbourhoods over the whole text, and 300 at least in texts of as many
+    characters, as ranges, overlapping ones merged."""
+    n = F.length("text")
+    hits = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.least(n, F.lit(300)), F.floor(n / 9).cast("int")))).alias("i"))
     ranges = hits.select("doc_id", (F.col("i") * 9).cast("long").alias("start"), (F.col("i") * 9 + (F.col("i") * F.col("doc_id")) % 17).cast("long").alias("end"))
     return history.merged_ranges(ranges, ["doc_id"])
 
@@ -320,7 +323,7 @@ SQL = {
       SELECT value, CASE WHEN length(l) <= 2 THEN left(l, 1) || repeat('*', greatest(1, length(l) - 1)) ELSE left(l, 1) || repeat('*', least(6, length(l) - 2)) || right(l, 1) END || '@' || h middle,
       CASE WHEN length(value) < 2 THEN repeat('*', length(value)) WHEN length(value) = 2 THEN left(value, 1) || '*' ELSE left(value, 1) || repeat('*', least(length(value) - 2, 6)) || right(value, 1) END plain,
       '[EMAIL:' || upper(substring(sha1(value), 1, 10)) || ']' hashed FROM x""",
-    "restore_roundtrip": "SELECT doc_id, sha1(text) text_sha1 FROM documents",
+    "restore_roundtrip": "SELECT doc_id, sha1(text) text_sha1, false address_left FROM documents",
     "reversible_map": f"""WITH d AS (SELECT doc_id, 0 i, unnest(m) v, unnest(range(len(m))) p FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{{9,}}') m FROM documents)
       UNION ALL SELECT doc_id, 1, unnest(m), unnest(range(len(m))) FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[0-9]{{9,}}', chr(0), 'g'), '{EMAIL}') m FROM documents)),
       f AS (SELECT i, v, min({{'d': doc_id, 'p': p}}) a FROM d GROUP BY ALL)
@@ -343,7 +346,7 @@ SQL = {
       SELECT conv_id, turn, rule_hit, CASE WHEN rule_hit IN ('compare_words', 'multi_question_or_long') THEN 'hard' ELSE 'medium' END AS level, CASE WHEN rule_hit IN ('compare_words', 'multi_question_or_long') THEN 10 ELSE 8 END top_k FROM r""",
     "negation_flags": """WITH q AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') m, regexp_split_to_array(text, '[0-9]+') b FROM documents), e AS (SELECT doc_id, unnest(range(len(m))) pos, unnest(m) number, unnest(b[1:len(m)]) b FROM q)
       SELECT doc_id, pos, number, regexp_matches(right(b, 5), 'no|ne|ni') negated FROM e""",
-    "highlight_merge": """WITH r AS (SELECT doc_id, i * 9 s, i * 9 + (i * doc_id) % 17 e FROM (SELECT doc_id, unnest(range(least(length(text), 300) + 1)) i FROM documents)),
+    "highlight_merge": """WITH r AS (SELECT doc_id, i * 9 s, i * 9 + (i * doc_id) % 17 e FROM (SELECT doc_id, unnest(range(greatest(least(length(text), 300), length(text) // 9) + 1)) i FROM documents)),
       k AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END b FROM r), i AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM k)
       SELECT doc_id, min(s) AS start, max(e) AS "end" FROM i GROUP BY doc_id, g""",
 }

@@ -119,10 +119,11 @@ def library_names(spark, d):
 
 
 def encrypted_map(spark, d):
-    """Names encrypted and decrypted again."""
+    """Names encrypted and decrypted again; the cipher text has a nonce and a tag besides."""
     key = "0123456789abcdef"
     rows = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("original"))
-    return redact.decrypted(redact.encrypted(rows, key), key)
+    hidden = redact.encrypted(rows, key).withColumn("cipher_bytes", F.octet_length(F.unbase64("original")).cast("long"))
+    return redact.decrypted(hidden, key)
 
 
 def day_counts(spark, d):
@@ -199,7 +200,7 @@ SQL = {
     "cascade_delete": "SELECT o_orderkey AS key, count(*) n_lines, any_value(o_orderstatus) o_orderstatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY o_orderkey",
     "scope_filter": "WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'public' WHEN lang <> 'fr' THEN 'user' END corpus, source folder FROM documents) SELECT * FROM r WHERE corpus = 'public' OR corpus IS NULL OR (corpus = 'user' AND folder IN ('src1', 'src2'))",
     "library_names": "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region",
-    "encrypted_map": "SELECT s_suppkey, s_name original FROM supplier",
+    "encrypted_map": "SELECT s_suppkey, s_name original, strlen(s_name) + 28 cipher_bytes FROM supplier",
     "day_counts": "SELECT ts::DATE AS day, event_type, count(*) n FROM events GROUP BY ALL",
     "stream_append": "SELECT event_type, count(*) n, count(DISTINCT event_id) n_ids FROM events GROUP BY event_type",
     "stream_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

@@ -19,7 +19,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as questions; each has the vector of the same number."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 120).alias("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return items.join(vectors, "query_id")
 
@@ -57,7 +57,7 @@ def _top(source: str, k: int, key: str = "doc_id", query: str = "query_id") -> s
 
 
 _ITEMS = "items AS (SELECT item_id query_id, text FROM benchmark)"
-_QUESTIONS = "items AS (SELECT item_id query_id, substring(text, 1, 120) text, embedding vector FROM benchmark JOIN embeddings ON vec_id = item_id)"
+_QUESTIONS = "items AS (SELECT item_id query_id, text, embedding vector FROM benchmark JOIN embeddings ON vec_id = item_id)"
 _DENSE = "dense AS (SELECT query_id, vec_id doc_id, list_cosine_similarity(vector::DOUBLE[], embedding::DOUBLE[]) score FROM items, embeddings)"
 
 
