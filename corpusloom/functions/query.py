@@ -7,42 +7,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fixed import COMPARISONS, EFFECT_LEVELS, LAWS, NEGATIONS, PROCEDURES, SMALL_TALK, TOPIC_HINTS
 from .text import article_number
 
-# Cue words and names that decide results.
-EFFECT_LEVELS = {
-    "法律": ["法律", "全国人大", "全国人大常委会"],
-    "行政法规": ["行政法规", "国务院"],
-    "司法解释": ["司法解释", "最高法", "最高检", "最高人民法院", "最高人民检察院"],
-    "部门规章": ["部门规章", "规章"],
-    "地方性法规": ["地方性法规"],
-}
-NEGATIONS = ["不是", "并非", "除了", "除…外", "排除", "而非", "不包括", "不含", "不属于"]
-LAWS = {
-    "民法典": ["中华人民共和国民法典", "民法典"],
-    "民诉法": ["中华人民共和国民事诉讼法", "民事诉讼法"],
-    "刑诉法": ["中华人民共和国刑事诉讼法", "刑事诉讼法"],
-    "刑法": ["中华人民共和国刑法"],
-    "劳动法": ["中华人民共和国劳动法"],
-    "劳动合同法": ["中华人民共和国劳动合同法"],
-    "劳动争议调解仲裁法": ["中华人民共和国劳动争议调解仲裁法"],
-    "建工司法解释一": ["最高人民法院关于审理建设工程施工合同纠纷案件适用法律问题的解释（一）"],
-    "公司法": ["中华人民共和国公司法"],
-    "行政诉讼法": ["中华人民共和国行政诉讼法"],
-}
-COMPARISONS = ["对比", "区别", "异同", "分别", "比较"]
-PROCEDURES = ["哪些情形", "如何认定", "程序", "步骤", "条件", "要件", "举证责任"]
-SMALL_TALK = [r"^(你好|您好|hi|hello|在吗|在不在|谢谢|再见|好的|嗯|哦|哈哈)+$", r"^(今天天气|天气怎么样|吃饭了吗|你是谁|你叫什么).*$"]
-TOPIC_HINTS = (
-    "法 条 款 判决 裁定 仲裁 合同 起诉 诉讼 劳动 婚姻 继承 侵权 赔偿 犯罪 辩护 证据 协议 违约 纠纷 执行 管辖 时效 担保 物权 债权 离婚 工伤 社保 税务 公司 股东 专利 "
-    "商标 著作权 破产 招标 投标 建设 工程 税 费 房 工资 加班 交易 补偿 押金 辞退 试用期 借条 过户 缓刑 取保 竞业 遗嘱 欠款"
-).split()
 ARTICLE = "第([一二三四五六七八九十百千零〇两0-9]+)条"
 
 
 @dataclass(frozen=True)
 class Cues:
-    """The word lists of a deployment; the defaults are those above."""
+    """The word lists of a deployment; the defaults are those of `fixed`."""
 
     small_talk: list[str] = field(default_factory=lambda: SMALL_TALK)
     topics: list[str] = field(default_factory=lambda: TOPIC_HINTS)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import CN_DIGITS, CN_UNITS
+
 #: One class for Spark and for engines without Unicode \w.
 WORD = r"[\p{L}\p{N}_]+"
-# Chinese digits and units.
-CN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-CN_UNITS = {"十": 10, "百": 100, "千": 1000}
 
 
 def tokens(text: Column) -> Column:

@@ -1,8 +1,12 @@
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.functions.fixed import LAST_LAYERS
 from corpusloom.operators import redact as r
 
 TEXT = "原告：张三，与李四签订合同。北京星河科技有限公司 电话13800138000 邮箱 a.b@x.com 证 110101199003071234 王某某"
@@ -81,6 +85,29 @@ def test_layers(spark):
     assert row[0].masked == masked and row[1].masked == "" and row[0].n_entities >= 6
 
 
+def test_places_and_institutions():
+    masked, mapping = r.layered_mask("住北京市朝阳区光华路5号 户口：上海市黄浦区\n邮寄 100020 邮编\n编号 200010\n到朝阳区人民法院 起诉，见(2020)京01民初12号")
+    assert masked == "{{ADDRESS}} 户口：{{ADDRESS}}\n邮寄 {{POSTAL_CODE}} 邮编\n编号 200010\n{{COURT}} 起诉，见{{CASE_NUMBER_1}}" and mapping["{{CASE_NUMBER_1}}"] == "(2020)京01民初12号"
+    assert r.layered_mask("某市大学 某工商局 星河有限公司 中国工商银行")[0] == "{{SCHOOL}} {{GOVERNMENT}} {{ORGANIZATION}} {{FINANCIAL_INST}}"
+    assert r.without_addresses("银行：北京市海淀区") == "银行：{{ADDRESS}}" and r.without_addresses("第九条 一号") == "第九条 一号"
+    assert r.without_postal_codes("100020") == "100020" and r.without_postal_codes("1000201 邮编 100020") == "1000201 邮编 100020"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aé.+-@ _", max_size=40))
+def test_addresses_are_those_of_the_plain_patterns(text):
+    finder = next(p for c, p, _ in r.FINDERS if c == "email")
+    assert [m.span() for m in finder.finditer(text)] == [m.span() for m in re.finditer(r"[\w.+-]+@[\w-]+\.[\w.-]+", text)]
+    layer = next(p for p, new in LAST_LAYERS if new == "{{EMAIL}}")
+    assert [m.span() for m in re.finditer(layer, text)] == [m.span() for m in re.finditer(r"[\w.-]+@[\w.-]+\.\w+", text)]
+
+
+def test_layers_are_linear_on_a_long_run():
+    began = time.perf_counter()
+    r.layered_mask("一" * 200_000)
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("text", ["\ue0005\ue001", "第十条 \ue000\ue0000\ue001 第九条", "\ue000", "\ue0000\ue001 第十条第二款"])
 def test_marks_in_a_text_stay(text):
     assert r.layered_mask(text)[0] == text
