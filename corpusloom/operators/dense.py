@@ -7,11 +7,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in a block; a block is broadcast and meets every batch of rows in one product.
+#: Query vectors in a block; a block meets every batch of rows in one product.
 BLOCK = 1024
+#: Bytes of query vectors that are broadcast together, block by block, for one reading of the rows.
+PASS = 64 << 20
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,30 +38,32 @@ def quantised(x: np.ndarray, how: str) -> np.ndarray:
     return np.round(x / np.where(largest > 0, largest, 1.0) * 127).astype(np.float32)
 
 
-def _near(ids: list, queries: np.ndarray, k: int, normalise: bool, query_type: pa.DataType, key_type: pa.DataType, coarse: str | None = None, oversample: int = 4) -> Callable:
+def _near(blocks: Broadcast, k: int, normalise: bool, query_type: pa.DataType, key_type: pa.DataType, coarse: str | None = None, oversample: int = 4) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rough = quantised(queries, coarse) if coarse else None
+        held = [(ids, queries, quantised(queries, coarse) if coarse else None) for ids, queries in blocks.value]
         for batch in batches:
             rows, x = _matrix(batch.column(1))
             if not len(rows):
                 continue
             x = unit(x) if normalise else x
-            if coarse and len(rows) > oversample * k:
-                # the best by coarse vectors, in single precision; only these are scored exactly
-                by = rough @ quantised(x, coarse).T
-                near = np.argpartition(-by, oversample * k - 1, axis=1)[:, : oversample * k]
-                s = np.full(by.shape, -np.inf)
-                np.put_along_axis(s, near, np.round(np.einsum("qd,qnd->qn", queries, x[near]), 6), axis=1)
-            else:
-                s = np.round(queries @ x.T, 6)
             keys = batch.column(0).take(pa.array(rows))
-            # only the k best of a batch (and what ties with the last of them) can be among the k best
-            if s.shape[1] > k:
-                edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                q, r = np.nonzero((s >= edge) & np.isfinite(s))
-            else:
-                q, r = (g.ravel() for g in np.indices(s.shape))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_type), keys.take(pa.array(r)), pa.array(s[q, r])], names=["q", "k", "score"])
+            steps = quantised(x, coarse) if coarse and len(rows) > oversample * k else None
+            for ids, queries, rough in held:
+                if steps is not None:
+                    # the best by coarse vectors, in single precision; only these are scored exactly
+                    by = rough @ steps.T
+                    near = np.argpartition(-by, oversample * k - 1, axis=1)[:, : oversample * k]
+                    s = np.full(by.shape, -np.inf)
+                    np.put_along_axis(s, near, np.round(np.einsum("qd,qnd->qn", queries, x[near]), 6), axis=1)
+                else:
+                    s = np.round(queries @ x.T, 6)
+                # only the k best of a batch (and what ties with the last of them) can be among the k best
+                if s.shape[1] > k:
+                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    q, r = np.nonzero((s >= edge) & np.isfinite(s))
+                else:
+                    q, r = (g.ravel() for g in np.indices(s.shape))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], query_type), keys.take(pa.array(r)), pa.array(s[q, r])], names=["q", "k", "score"])
 
     return run
 
@@ -67,7 +72,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, q
     """query, key, score (cosine, or inner product unless `normalise`; six digits), rank from 1.
 
     With `coarse` ('int8' or 'binary') each batch first picks `oversample` * k rows by coarse
-    vectors and scores these exactly; that may miss some of the k best.
+    vectors and scores these exactly; that may miss some of the k best. The vectors of the rows are
+    read once for every PASS bytes of query vectors.
     """
     if coarse not in (None, "int8", "binary"):
         raise ValueError(f"no coarse vectors {coarse!r}")
@@ -76,21 +82,28 @@ def search(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, q
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = to_arrow_type(queries.schema[query].dataType), to_arrow_type(rows.schema[key].dataType)
-    parts, held = [], []
+    parts, blocks, held = [], [], []
 
     def block() -> None:
-        ids = [r[0] for r in held]
         x = np.array([r[1] for r in held], dtype=np.float64)
-        run = _near(ids, unit(x) if normalise else x, k, normalise, *types, coarse, oversample)
-        parts.append(rows.select(key, vector).mapInArrow(run, f"q {query_sql}, k {key_sql}, score double"))
+        blocks.append(([r[0] for r in held], unit(x) if normalise else x))
         held.clear()
 
+    def reading() -> None:
+        run = _near(spark.sparkContext.broadcast(list(blocks)), k, normalise, *types, coarse, oversample)
+        parts.append(rows.select(key, vector).mapInArrow(run, f"q {query_sql}, k {key_sql}, score double"))
+        blocks.clear()
+
     for r in queries.select(query, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator():
         held.append(r)
         if len(held) == BLOCK:
             block()
+            if sum(x.nbytes for _, x in blocks) >= PASS:
+                reading()
     if held:
         block()
+    if blocks:
+        reading()
     if not parts:
         return spark.createDataFrame([], f"{query} {query_sql}, {key} {key_sql}, score double, rank int")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "k")

@@ -1,6 +1,6 @@
 """The engine's query catalogue: name -> (spark, folder) -> DataFrame, and name -> SQL."""
 
-from . import corpus, documents, records, search
+from . import corpus, documents, records, search, strict
 
-QUERIES = {**search.QUERIES, **documents.QUERIES, **corpus.QUERIES, **records.QUERIES}
-SQL = {**search.SQL, **documents.SQL, **corpus.SQL, **records.SQL}
+QUERIES = {**search.QUERIES, **documents.QUERIES, **corpus.QUERIES, **records.QUERIES, **strict.QUERIES}
+SQL = {**search.SQL, **documents.SQL, **corpus.SQL, **records.SQL, **strict.SQL}
