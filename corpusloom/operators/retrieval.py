@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
 from . import bm25, dense, fusion
 
+_log = logging.getLogger(__name__)
+
 RECALL = 50
 RERANKED = 30
 
@@ -49,9 +53,23 @@ def cut(hits: DataFrame, limits: DataFrame, rank: str = "rank") -> DataFrame:
     return hits.join(broadcast_if_small(limits, 1_000_000), "query_id").where(F.col(rank) <= F.col("top_k")).drop("top_k")
 
 
+def guarded(score: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Column, Column], Column]:
+    """A scorer of batches of questions and texts for `reranked`. A batch that it fails on gets no
+    scores, and hits without scores stay in the order they were found in."""
+
+    def scored(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(score(questions, texts), dtype="float64")
+        except Exception:  # a model of the caller's may fail in any way
+            _log.exception("no scores for %d hits", len(texts))
+            return pd.Series([None] * len(texts), dtype="float64")
+
+    return F.pandas_udf(scored, "double")
+
+
 def reranked(hits: DataFrame, scorer: Callable[[Column, Column], Column], query_text: str, text: str, k: int, candidates: int = RERANKED) -> DataFrame:
     """The first `candidates` of each question ordered anew by scorer(question, text) and cut; a
-    missing score counts as 0."""
+    missing score counts as 0. If a question has no score at all, its hits keep their order."""
     some = hits.where(F.col("rank") <= candidates).withColumn("rerank_score", F.coalesce(scorer(F.col(query_text), F.col(text)), F.lit(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return some.withColumn("rerank", F.row_number().over(w)).where(F.col("rerank") <= k)

@@ -28,7 +28,9 @@ def scan(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> Dat
     first = F.transform(table, lambda r: F.struct(r["rule_id"].alias("rule_id"), F.get(F.filter(r["patterns"], lambda p: F.instr(body, p) > 0), 0).alias("pattern")))
     hits = docs.select(key, text, F.explode(F.filter(first, lambda h: h["pattern"].isNotNull())).alias("h"))
     hits = hits.select(key, "h.rule_id", "h.pattern", F.instr(body, F.col("h.pattern")).alias("pos"), snippet(body, F.instr(body, F.col("h.pattern"))).alias("snippet"))
-    return hits.dropDuplicates([key, "rule_id"])
+    # rows that share a key are one document: the first place counts
+    first = hits.groupBy(key, "rule_id").agg(F.min(F.struct("pos", "pattern", "snippet")).alias("h"))
+    return first.select(key, "rule_id", "h.pattern", "h.pos", "h.snippet")
 
 
 def with_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:

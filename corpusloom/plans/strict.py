@@ -9,7 +9,8 @@ from ..functions import citations
 from ..functions import query as qu
 from ..functions import text as tx
 from ..operators import filters, ingest, redact, rules
-from ..session import table
+from ..session import table, work_folder
+from ..sources import files
 from . import documents
 from .documents import _docs, _risks
 
@@ -71,7 +72,27 @@ def annotated_texts(spark, d):
     return rules.annotated(_docs(spark, d), _risks(spark, d), "doc_id").select("doc_id", F.sha1("annotated").alias("annotated_sha1"))
 
 
-QUERIES = {f.__name__: f for f in (scan_values, reversible_kinds, parsed_questions, article_snippets, parsed_filter, valid_ids, annotated_texts)}
+def lexicon_words(spark, d):
+    """A lexicon file of all documents: words with and without figures, comments, blank lines."""
+    n = F.col("doc_id").cast("string")
+    line = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("# w"), n)).when(F.col("doc_id") % 5 == 1, F.lit("  ")).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("w"), n))
+    line = line.when(F.col("doc_id") % 5 == 3, F.concat(F.lit("w"), n, F.lit("  "), F.col("n_chars").cast("string"))).otherwise(F.concat(F.lit("w"), n, F.lit(" many "), "lang"))
+    path = f"{work_folder(spark)}/lexicon"
+    _docs(spark, d).select(line.alias("value")).write.mode("overwrite").text(path)
+    return files.lexicon(spark, path)
+
+
+def rule_lines(spark, d):
+    """Rules of all documents as JSON Lines, some of them broken, some disabled."""
+    status = F.when(F.col("doc_id") % 4 == 0, F.lit("disabled")).when(F.col("doc_id") % 4 == 1, F.lit("enabled"))
+    good = F.to_json(F.struct(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("rule_id"), F.col("source").alias("dimension"), F.col("text").alias("risk_desc"), status.alias("status")))
+    line = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("doc_id").cast("string"))).otherwise(good)
+    path = f"{work_folder(spark)}/rules"
+    _docs(spark, d).select(line.alias("value")).write.mode("overwrite").text(path)
+    return files.rules(spark, [path]).select("rule_id", "dimension", F.sha1("risk_desc").alias("desc_sha1"), "corrupt")
+
+
+QUERIES = {f.__name__: f for f in (scan_values, reversible_kinds, parsed_questions, article_snippets, parsed_filter, valid_ids, annotated_texts, lexicon_words, rule_lines)}
 
 _EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 _PLANTED = "t AS (SELECT doc_id, coalesce(text, '') || ' ' || (doc_id * 7919 + 13000000000) || ' ' || lpad(doc_id::VARCHAR, 17, '1') || 'X ' || substring('东西南北', (doc_id % 4 + 1)::INT, 1) || '河有限公司' t FROM documents)"
@@ -94,6 +115,9 @@ SQL = {
       s AS (SELECT doc_id, right(t, 30) || h || left(' ' || t, 600 - length(h)) s FROM h) SELECT doc_id, sha1(s) snippet_sha1, length(s) n_chars FROM s""",
     "parsed_filter": "SELECT doc_id FROM documents WHERE source IN ('src1', 'src3') AND lang IN ('en', 'de')",
     "valid_ids": "SELECT doc_id, doc_id % 3 = 0 AND text IS NOT NULL valid FROM documents",
+    "lexicon_words": """SELECT 'w' || doc_id word, CASE WHEN doc_id % 5 = 3 THEN n_chars::INT ELSE 10000 END freq, CASE WHEN doc_id % 5 = 4 THEN lang ELSE 'n' END tag FROM documents WHERE doc_id % 5 >= 2""",
+    "rule_lines": """SELECT CASE WHEN doc_id % 7 <> 0 THEN 'r' || doc_id END rule_id, CASE WHEN doc_id % 7 <> 0 THEN source END dimension, CASE WHEN doc_id % 7 <> 0 THEN sha1(text) END desc_sha1,
+      CASE WHEN doc_id % 7 = 0 THEN '{broken ' || doc_id END corrupt FROM documents WHERE doc_id % 7 = 0 OR doc_id % 4 <> 0""",
     "annotated_texts": f"""WITH {documents._RULES}, k AS (SELECT doc_id, rule_id, text, trim(trim(snippet), chr(34) || chr(39)) k, '> **风险提示** [' || risk_level || '] ' || risk_desc || ' → ' || tip say FROM risks),
       l AS (SELECT doc_id, unnest(range(len(x))) i, unnest(x) line FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') x FROM documents)),
       c AS (SELECT doc_id, rule_id, k, say, i, regexp_replace(k, '\\s+', '', 'g') n, regexp_replace(line, '\\s+', '', 'g') line FROM k JOIN l USING (doc_id)),

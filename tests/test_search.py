@@ -112,3 +112,16 @@ def test_rerankers(spark):
     a = spark.createDataFrame([(i, rng.random()) for i in range(20)], "id int, score double")
     row = retrieval.compare_rerankers(a, a.withColumn("score", F.col("score") + 0.5), "id").first()
     assert round(row.max_diff, 9) == 0.5 and row.jaccard == 1.0
+
+
+def test_a_failing_scorer_leaves_the_order(spark):
+    from corpusloom.operators import retrieval
+
+    hits = spark.createDataFrame([(1, "a", "q", "bb", 1), (1, "b", "q", "cccc", 2), (1, "c", "q", "d", 3)], "query_id long, doc_id string, query string, text string, rank int")
+
+    def broken(questions, texts):
+        raise ConnectionError("no model")
+
+    order = lambda scorer: [r.doc_id for r in retrieval.reranked(hits, retrieval.guarded(scorer), "query", "text", 3).orderBy("rerank").collect()]
+    assert order(lambda q, t: t.str.len()) == ["b", "a", "c"]
+    assert order(broken) == ["a", "b", "c"]
