@@ -51,9 +51,11 @@ _own_folder: list[str] = []
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder, which all executors share; below a folder
-    of this process only where none is set, as in tests."""
+    of this process only in local mode where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))
             atexit.register(shutil.rmtree, _own_folder[0], True)

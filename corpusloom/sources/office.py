@@ -129,7 +129,7 @@ def continues(size: Column, before_size: Column, x0: Column, before_x0: Column,
 def layout_blocks(chars: DataFrame) -> DataFrame:
     """doc_id, order, page, type, content, level: headings and paragraphs; a gap above 1.8 of the
     size begins a paragraph, a page break only where the text doesn't go on."""
-    rows = text_lines(chars).join(F.broadcast(body_font(chars)), "doc_id")
+    rows = text_lines(chars).join(body_font(chars), "doc_id")
     rows = rows.withColumn("level", line_heading(F.trim("text"), F.col("size"), F.col("body")))
     along = Window.partitionBy("doc_id").orderBy("page", "line")
     for c in ("page", "bottom", "size", "x0", "level"):
@@ -215,7 +215,7 @@ def column_order(lines: DataFrame, most: int = 4) -> DataFrame:
         x, k = pdf["x0"].to_numpy(float), int(pdf["columns"].iloc[0])
         return pdf.assign(column=means(x, k) if k > 1 and len(set(x)) >= k else 0)
 
-    placed = counted.drop("columns").join(F.broadcast(votes), "doc_id").groupBy("doc_id", "page").applyInPandas(place, f"{_ddl(lines)}, columns int, column int")
+    placed = counted.drop("columns").join(votes, "doc_id").groupBy("doc_id", "page").applyInPandas(place, f"{_ddl(lines)}, columns int, column int")
     return placed.withColumn("reading", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "column", "line")) - 1)
 
 

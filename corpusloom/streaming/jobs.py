@@ -33,18 +33,11 @@ def appended(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def keyed_upsert(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
-    """Latest row of each key: every batch is reduced to its latest rows, joined with the table and
-    written as its next version, so that a batch that is run again changes nothing."""
+    """Latest row of each key: every batch is reduced to its latest rows and merged into the buckets
+    of the table that it has keys of, so that a batch that is run again changes nothing."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        new = store.latest(rows, keys, order)
-        try:
-            old = store.current_table(rows.sparkSession, path)
-            new = store.latest(old.unionByName(new), keys, order)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        store.replace_table(new, path)
+        store.merge_buckets(store.latest(rows, keys, order), path, keys, lambda both: store.latest(both, keys, order))
 
     return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -21,6 +21,21 @@ def test_latest_by_key_over_two_runs(spark, tmp_path):
     assert {r.k: r.v for r in store.current_table(spark, out).collect()} == {"a": 3, "b": 5, "c": 6}
 
 
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    last = lambda both: store.latest(both, ["k"], ["v"])
+    rows = lambda *x: spark.createDataFrame(x, "k long, v int")
+    store.merge_buckets(rows(*[(k, 0) for k in range(100)]), path, ["k"], last, 8)
+    before = dict((b, v) for v, b in store._versions(spark, path))
+    for _ in range(2):
+        store.merge_buckets(rows((5, 1), (200, 1)), path, ["k"], last, 8)
+        assert {r.k: r.v for r in store.current_table(spark, path).collect()} == {**dict.fromkeys(range(100), 0), 5: 1, 200: 1}
+    after = dict((b, v) for v, b in store._versions(spark, path))
+    assert len(before) == 8 and 1 <= sum(after[b] != before[b] for b in before) <= 2
+    store.merge_buckets(rows().limit(0), path, ["k"], last, 8)
+    assert dict((b, v) for v, b in store._versions(spark, path)) == after
+
+
 def test_append_and_daily_counts(spark, tmp_path):
     src, out, check = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
     _write(spark, src, [(1, "a", 1), (90_000, "a", 2), (90_001, "b", 2)])
