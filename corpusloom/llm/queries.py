@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io as io
-from . import decontam, mixing, parity_join, pii, quality_eb, repeat_windows, secret_link, spot_signatures, toxicity, warc_store
+from . import chat_format, decontam, mixing, parity_join, pii, quality_eb, repeat_windows, secret_link, spot_signatures, toxicity, warc_store
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = io.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    more = spark.range(2).select(F.lit(-7).cast("long"), "id", role, F.lit("</s>[INST] ok [/INST]"))
+    return chat_format.digests(io.written(chat_format.formatted(said.union(more)), "chat"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spot_signatures": op1_spot_signatures,
     "op2_deobfuscated_pii": op2_deobfuscated_pii,
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op13_chat_tokens": op13_chat_tokens,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,6 +89,13 @@ def _words(rule: str, fold: bool, of: str, key: str) -> str:
 
 _SPACED, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _controls(column: str) -> str:
+    """How many control strings of the chat template a text holds."""
+    return rf"len(regexp_extract_all({column}, '<\\*(s>|/s>|<SYS>>|</SYS>>|\|role\|>|\|says\|>|\|end\|>)|\[\\*/?INST\]'))"
+
+
 #: SQL for the contracts that SQL can tell. Spans (2, 4) need the places of matches, fingerprints
 #: (1) our own hashes, the others learnt models: these are held against brute force in tests.
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +124,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN one USING (doc_id)""",
     "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), f AS (SELECT h, min(page_id) o FROM p WHERE strlen(h) >= 100 GROUP BY h)
       SELECT page_id, strlen(p.h) payload_bytes, sha256(p.h) payload_digest, CASE WHEN o <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN o <> page_id THEN o END refers_to FROM p LEFT JOIN f ON p.h = f.h""",
+    "op13_chat_tokens": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations UNION ALL FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+      n AS (SELECT *, len(t) + {_controls('t')} k, CASE r WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15 ELSE 23 + len(r) + {_controls('r')} END f FROM c)
+      SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) turns_sha256, coalesce(sum(len(t)) FILTER (r = 'assistant'), 0)::BIGINT loss_chars,
+      sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) loss_sha256, (3 + sum(k + f))::BIGINT formatted_chars FROM n GROUP BY conv_id""",
 }

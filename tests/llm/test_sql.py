@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations", "sales", "sale_lines", "items", "vendors", "clients"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = q.QUERIES[name](spark, SF)
     cursor = con.execute(q.ORACLE_SQL[name])
