@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io as io
-from . import chat_format, decontam, mixing, parity_join, pii, quality_eb, repeat_windows, secret_link, spot_signatures, toxicity, warc_store
+from . import chat_format, decontam, mixing, parity_join, pii, quality_eb, repeat_windows, secret_link, spot_signatures, target_history, toxicity, warc_store
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_target_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_history.sale_rates(*(io.table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
 def op13_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = io.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op12_target_history": op12_target_history,
     "op13_chat_tokens": op13_chat_tokens,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,6 +96,25 @@ _SPACED, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 
+#: CRC-32 tables of one byte each, and the CRC-32 of an ASCII text by them.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) crc_table"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+def _history(key: str, value: str) -> str:
+    """n and s of the lines of other folds that are earlier and share a value."""
+    when = "ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+    of = lambda what, by: f"coalesce({what} OVER (PARTITION BY {by} {when}), 0)"
+    return ", ".join(f"({of(what, value)} - {of(what, f'{value}, fold')})::BIGINT {key}_{name}" for what, name in (("count(*)", "n"), ("sum((flag = 'returned')::INT)", "s")))
+
+
+def _rate(name: str, key: str, prior: str) -> str:
+    return f"CASE WHEN {key}_n < 1 THEN {prior} ELSE (1000000 * {key}_s + 50 * {prior}) // ({key}_n + 50) END {name}"
+
+
 def _controls(column: str) -> str:
     """How many control strings of the chat template a text holds."""
     return rf"len(regexp_extract_all({column}, '<\\*(s>|/s>|<SYS>>|</SYS>>|\|role\|>|\|says\|>|\|end\|>)|\[\\*/?INST\]'))"
@@ -124,6 +148,14 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN one USING (doc_id)""",
     "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), f AS (SELECT h, min(page_id) o FROM p WHERE strlen(h) >= 100 GROUP BY h)
       SELECT page_id, strlen(p.h) payload_bytes, sha256(p.h) payload_digest, CASE WHEN o <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN o <> page_id THEN o END refers_to FROM p LEFT JOIN f ON p.h = f.h""",
+    "op12_target_history": f"""WITH z AS ({_CRC_TABLE}),
+      l AS (SELECT sale_id, coalesce(l.item_id, -1) item_id, vendor_id, coalesce(client_id, -1) client_id, sold_at, coalesce(flag, '') flag, {_crc('sale_id::VARCHAR')} % 5 fold FROM sale_lines l JOIN sales USING (sale_id), z WHERE sold_at IS NOT NULL),
+      a AS (SELECT l.*, kind, vendors.nation_id, segment FROM l LEFT JOIN items USING (item_id) LEFT JOIN vendors USING (vendor_id) LEFT JOIN clients USING (client_id)),
+      h AS (SELECT *, {_history('al', '1')}, {_history('kind', 'kind')}, {_history('nation', 'nation_id')}, {_history('segment', 'segment')}, {_history('item', 'item_id')}, {_history('vendor', 'vendor_id')}, {_history('client', 'client_id')} FROM a),
+      r AS (SELECT *, {_rate('p', 'al', '500000')} FROM h), q AS (SELECT *, {_rate('pi', 'kind', 'p')}, {_rate('pv', 'nation', 'p')}, {_rate('pc', 'segment', 'p')} FROM r),
+      f AS (SELECT *, {_rate('item_rate', 'item', 'pi')}, {_rate('vendor_rate', 'vendor', 'pv')}, {_rate('client_rate', 'client', 'pc')} FROM q)
+      SELECT sale_id, item_id, vendor_id, count(*) n_lines, count(*) FILTER (flag = 'returned') n_returned, any_value(item_n) item_n, any_value(item_rate) item_rate, any_value(vendor_n) vendor_n, any_value(vendor_rate) vendor_rate, any_value(client_n) client_n, any_value(client_rate) client_rate
+      FROM f GROUP BY sale_id, item_id, vendor_id""",
     "op13_chat_tokens": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations UNION ALL FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
       n AS (SELECT *, len(t) + {_controls('t')} k, CASE r WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15 ELSE 23 + len(r) + {_controls('r')} END f FROM c)
       SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) turns_sha256, coalesce(sum(len(t)) FILTER (r = 'assistant'), 0)::BIGINT loss_chars,
