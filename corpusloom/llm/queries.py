@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _io as io
-from . import chat_format, decontam, mixing, parity_join, pii, quality_eb, repeat_windows, secret_link, spot_signatures, target_history, toxicity, warc_store
+from . import chat_format, conversation_trie, decontam, mixing, parity_join, pii, quality_eb, repeat_windows, secret_link, spot_signatures, target_history, toxicity, warc_store
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.node_table(io.table(spark, sf_dir, "conversations")).drop("key", "parent")
+
+
 def op12_target_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_history.sale_rates(*(io.table(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_target_history": op12_target_history,
     "op13_chat_tokens": op13_chat_tokens,
 }
@@ -148,6 +153,19 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN one USING (doc_id)""",
     "op9_warc": """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), f AS (SELECT h, min(page_id) o FROM p WHERE strlen(h) >= 100 GROUP BY h)
       SELECT page_id, strlen(p.h) payload_bytes, sha256(p.h) payload_digest, CASE WHEN o <> page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN o <> page_id THEN o END refers_to FROM p LEFT JOIN f ON p.h = f.h""",
+    "op11_conversation_trie": f"""WITH z AS ({_CRC_TABLE}),
+      t AS (SELECT conv_id, coalesce(role, '') r, coalesce(text, '') x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) pos FROM conversations WHERE conv_id IS NOT NULL),
+      c AS (SELECT conv_id, n, conv_id - conv_id % 100 b, {_crc('conv_id::VARCHAR')} % 6 h FROM (SELECT conv_id, count(*) n FROM t GROUP BY conv_id), z),
+      s AS (SELECT c.conv_id, pos d, r, x FROM c JOIN t ON t.conv_id = b AND pos <= h UNION ALL SELECT c.conv_id, least(c.h, coalesce(led.n, 0)) + pos - c.h, r, x FROM t JOIN c USING (conv_id) LEFT JOIN c led ON led.conv_id = c.b WHERE pos > c.h),
+      p AS (SELECT conv_id, d, len(x) chars, sha256(string_agg(sha256(len(r) || ':' || r || x), '') OVER (PARTITION BY conv_id ORDER BY d)) k FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+      v AS (SELECT k, min(conv_id) conv_id, any_value(d) d, count(*) n, any_value(chars) chars FROM p GROUP BY k),
+      up AS (SELECT v.k, p.k above FROM v JOIN p ON p.conv_id = v.conv_id AND p.d = v.d - 1),
+      kids AS (SELECT above k, count(*) n FROM up GROUP BY above),
+      ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) e FROM (SELECT conv_id, k FROM p QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY k),
+      sub AS (SELECT DISTINCT a.k, y.k below FROM p a JOIN p y ON a.conv_id = y.conv_id AND a.d <= y.d),
+      tot AS (SELECT sub.k, count(*) FILTER (kids.n IS NULL) n_leaves, sum((v.n - 1) * v.chars)::BIGINT saved_tokens FROM sub JOIN v ON v.k = sub.below LEFT JOIN kids ON kids.k = sub.below GROUP BY sub.k)
+      SELECT v.conv_id, v.d::BIGINT depth, w.conv_id parent_conv_id, v.n n_convs, coalesce(kids.n, 0) n_children, n_leaves, saved_tokens, sha256(coalesce(e, '')) ends_sha256
+      FROM v JOIN tot USING (k) LEFT JOIN up USING (k) LEFT JOIN v w ON w.k = up.above LEFT JOIN kids ON kids.k = v.k LEFT JOIN ends ON ends.k = v.k""",
     "op12_target_history": f"""WITH z AS ({_CRC_TABLE}),
       l AS (SELECT sale_id, coalesce(l.item_id, -1) item_id, vendor_id, coalesce(client_id, -1) client_id, sold_at, coalesce(flag, '') flag, {_crc('sale_id::VARCHAR')} % 5 fold FROM sale_lines l JOIN sales USING (sale_id), z WHERE sold_at IS NOT NULL),
       a AS (SELECT l.*, kind, vendors.nation_id, segment FROM l LEFT JOIN items USING (item_id) LEFT JOIN vendors USING (vendor_id) LEFT JOIN clients USING (client_id)),
