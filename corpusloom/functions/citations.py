@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +54,28 @@ def verify(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("_known"), F.lit("verified")).otherwise(F.lit("unverifiable"))).drop("_known")
 
 
+#: Any article's heading, in either numerals.
+_HEADING = "第[一二三四五六七八九十百千零〇两0-9]+条"
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def locate(text: Column, article_no: Column, before: int = 30, most: int = 600) -> Column:
-    """Snippet of an article: from its heading (either numerals) to the next article or `most`
-    characters, with `before` characters of context; null if it isn't there."""
+    """Snippet of an article: from its heading (either numerals) to the next article's, however far
+    that is, or `most` characters if none follows, with `before` characters of context; null if it
+    isn't there."""
     by_digits = F.instr(text, F.concat(F.lit("第"), article_no, F.lit("条")))
     by_words = F.instr(text, F.concat(F.lit("第"), arabic_to_chinese(article_no.cast("int")), F.lit("条")))
-    at = F.when(by_digits > 0, by_digits).otherwise(by_words)
-    tail = F.substring(text, at, F.lit(most))
-    head = F.regexp_extract(tail, "^第[^条]*条", 0)
-    rest = F.split(F.substring(tail, F.length(head) + 1, F.lit(most)), "第[一二三四五六七八九十百千零〇两0-9]+条", 2)[0]
-    start = F.greatest(F.lit(1), at - before)
-    return F.when(at > 0, F.concat(F.substring(text, start, at - start), head, rest))
+
+    def article(at: Column, tail: Column) -> Column:
+        head = F.instr(tail, "条")
+        start = F.greatest(F.lit(1), at - before)
+        after = F.substr(tail, head + 1)
+        ends = lambda next_: F.when(next_ > 0, head + next_ - 1).otherwise(F.lit(most))
+        end = _with(F.regexp_instr(after, F.lit(_HEADING)), ends)
+        return F.concat(F.substring(text, start, at - start), F.substring(tail, F.lit(1), end))
+
+    return _with(F.when(by_digits > 0, by_digits).otherwise(by_words), lambda at: F.when(at > 0, _with(F.substr(text, at), lambda tail: article(at, tail))))

@@ -47,11 +47,12 @@ def parsed_questions(spark, d):
 
 
 def article_snippets(spark, d):
-    """The article between two whole texts, headed in figures or in words."""
+    """The article between two whole texts, headed in figures or in words; every third isn't followed
+    by another one."""
     n = (F.col("doc_id") % 9 + 1).cast("int")
     text = F.coalesce("text", F.lit(""))
     number = F.when(F.col("doc_id") % 2 == 0, tx.arabic_to_chinese(n)).otherwise(n.cast("string"))
-    whole = F.concat(text, F.lit("第"), number, F.lit("条 "), text, F.lit("第九十条 end"))
+    whole = F.concat(text, F.lit("第"), number, F.lit("条 "), text, F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.lit("第九十条 end")))
     found = citations.locate(F.col("whole"), F.col("n").cast("string"))
     return _docs(spark, d).select("doc_id", whole.alias("whole"), n.alias("n")).select("doc_id", F.sha1(found).alias("snippet_sha1"), F.length(found).cast("long").alias("n_chars"))
 
@@ -112,7 +113,7 @@ SQL = {
       SELECT conv_id, turn, CASE WHEN NOT plain THEN '中华人民共和国公司法' END law_name, CASE WHEN NOT plain THEN '行政法规' END effect_level, CASE WHEN plain THEN '' ELSE a END articles, CASE WHEN plain THEN '' ELSE x END excluded,
       NOT plain exact_match, CASE WHEN NOT plain THEN 'simple' WHEN length(coalesce(text, '')) > 40 OR length(text) - length(replace(text, '?', '')) >= 2 THEN 'hard' ELSE 'medium' END AS level FROM q""",
     "article_snippets": """WITH h AS (SELECT doc_id, coalesce(text, '') t, '第' || CASE WHEN doc_id % 2 = 0 THEN substring('一二三四五六七八九', (doc_id % 9 + 1)::INT, 1) ELSE (doc_id % 9 + 1)::VARCHAR END || '条' h FROM documents),
-      s AS (SELECT doc_id, right(t, 30) || h || left(' ' || t, 600 - length(h)) s FROM h) SELECT doc_id, sha1(s) snippet_sha1, length(s) n_chars FROM s""",
+      s AS (SELECT doc_id, right(t, 30) || h || CASE WHEN doc_id % 3 = 0 THEN left(' ' || t, 600 - length(h)) ELSE ' ' || t END s FROM h) SELECT doc_id, sha1(s) snippet_sha1, length(s) n_chars FROM s""",
     "parsed_filter": "SELECT doc_id FROM documents WHERE source IN ('src1', 'src3') AND lang IN ('en', 'de')",
     "valid_ids": "SELECT doc_id, doc_id % 3 = 0 AND text IS NOT NULL valid FROM documents",
     "lexicon_words": """SELECT 'w' || doc_id word, CASE WHEN doc_id % 5 = 3 THEN n_chars::INT ELSE 10000 END freq, CASE WHEN doc_id % 5 = 4 THEN lang ELSE 'n' END tag FROM documents WHERE doc_id % 5 >= 2""",
