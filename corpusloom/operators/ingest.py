@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import embedding_key
 from ..session import checkpointed
-from . import bm25, chunking, store
+from . import chunking, store
+from .commit_log import Conflict, Merge, Store
+from .inverted import SearchIndex
 
 MESSAGE_CHARS = 20_000
 
@@ -18,7 +20,7 @@ MESSAGE_CHARS = 20_000
 @dataclass
 class Ingested:
     """What a batch of documents adds: chunks (parents and children), vectors of the children,
-    manifest rows. BM25 statistics are fitted anew on all children at the next commit."""
+    manifest rows. `commit` brings them into a store."""
 
     chunks: DataFrame
     vectors: DataFrame
@@ -49,19 +51,35 @@ def ingest(blocks: DataFrame, documents: DataFrame, model: str, encode: Callable
     return Ingested(chunks, vectors, manifest)
 
 
-def commit(spark: SparkSession, batch: Ingested, path: str) -> bm25.Index:
-    """Upsert a batch into the tables below `path` and fit BM25 on all children."""
-    new = {"chunks": (batch.chunks, ["chunk_id"]), "vectors": (batch.vectors, ["chunk_id"]), "manifest": (batch.manifest, ["relpath"])}
-    for name, (rows, keys) in new.items():
+def commit(spark: SparkSession, batch: Ingested, path: str) -> SearchIndex:
+    """Upsert a batch into the store at path, in one version: chunks, vectors, manifest and the BM25
+    index of its children. Documents given again lose the chunks they don't have any more."""
+    at = Store.ensure(spark, path)
+    chunks, vectors, manifest = (checkpointed(x) for x in (batch.chunks, batch.vectors, batch.manifest))
+    for name, rows, key in (("chunks", chunks, "chunk_id"), ("vectors", vectors, "chunk_id"), ("manifest", manifest, "relpath")):
+        at.add_keyed(name, rows.schema, [key])
+    index = SearchIndex.create(at, "string", "bm25", "chunk_id")
+    none = [F.lit(None).cast(vectors.schema[c].dataType).alias(c) for c in vectors.columns if c != "chunk_id"]
+    for _ in range(10):
+        now = at.version().number
+        known = at.read("chunks", now).join(manifest.select("doc_id").distinct(), "doc_id", "left_semi")
+        stale = checkpointed(known.join(chunks, "chunk_id", "left_anti").select(chunks.columns))
+        merges = {
+            "chunks": (chunks.unionByName(stale), _replacing(chunks, stale)),
+            "vectors": (vectors.unionByName(stale.select("chunk_id", *none)), _replacing(vectors, stale)),
+            "manifest": (manifest, lambda old, new: store.upsert(old, new, ["relpath"])),
+        }
         try:
-            rows = store.upsert(store.current_table(spark, f"{path}/{name}"), rows, keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        store.replace_table(rows, f"{path}/{name}")
-    index = bm25.fit(store.current_table(spark, f"{path}/chunks").where("chunk_level = 'child'"), "chunk_id")
-    index.save(f"{path}/bm25")
-    return bm25.Index.load(spark, f"{path}/bm25", "chunk_id")
+            index.update(chunks.where("chunk_level = 'child'").select("chunk_id", "text"), stale.select("chunk_id"), also=merges, after=now)
+            return index
+        except Conflict:
+            continue
+    raise Conflict(f"others keep committing at {path}")
+
+
+def _replacing(rows: DataFrame, stale: DataFrame) -> Merge:
+    """`rows` take the place of those with their chunk_id, those of `stale` go."""
+    return lambda old, _: store.upsert(store.delete(old, stale, ["chunk_id"]), rows, ["chunk_id"])
 
 
 def summaries(rows: DataFrame) -> DataFrame:

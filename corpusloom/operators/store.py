@@ -1,12 +1,10 @@
 """Keyed tables: upserts, patches, deletes, change sets. A mutation gives the new table as a
-DataFrame; `replace_table` writes it to a folder of its own and then moves a pointer."""
+DataFrame; `commit_log` keeps tables at rest."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,50 +76,3 @@ def page(rows: DataFrame, order: Sequence[str], after: Sequence | None, n: int)
 def newest(rows: DataFrame, n: int, order: str = "created_at", key: str = "id") -> DataFrame:
     """Newest first; between 1 and 500 rows."""
     return rows.orderBy(F.desc(order), F.desc(key)).limit(min(500, max(1, n)))
-
-
-def replace_table(df: DataFrame, path: str) -> str:
-    """Write a version of the table below `path` and name it in a one-row table `current`; readers
-    see the old version until then."""
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{path}/v-{version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").json(f"{path}/current")
-    return version
-
-
-def _versions(spark, path: str) -> list[tuple[str, int | None]]:
-    """(version, bucket) of what the table consists of; a version without a bucket is a whole table."""
-    return [(r["version"], r["bucket"]) for r in spark.read.schema("version string, bucket int").json(f"{path}/current").collect()]
-
-
-def _read(spark, path: str, versions: Sequence[tuple[str, int | None]]) -> DataFrame:
-    return spark.read.parquet(*[f"{path}/v-{v}" + ("" if b is None else f"/_bucket={b}") for v, b in versions])
-
-
-def current_table(spark, path: str) -> DataFrame:
-    return _read(spark, path, _versions(spark, path))
-
-
-def merge_buckets(new: DataFrame, path: str, keys: Sequence[str], merge: Callable[[DataFrame], DataFrame], buckets: int = 64) -> None:
-    """A table in buckets of its keys: merge(old and new rows) takes the place of those buckets alone
-    that `new` has keys of. `current` names a version for each bucket, `buckets` rows at most; the
-    number of buckets must stay. Doing the same again changes nothing if merging doesn't."""
-    spark = new.sparkSession
-    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    touched = {r[0] for r in new.select(at).distinct().collect()}
-    if not touched:
-        return
-    try:
-        known = _versions(spark, path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = []
-    if any(b is None for _, b in known):
-        raise ValueError(f"the table at {path} isn't in buckets")
-    old = [(v, b) for v, b in known if b in touched]
-    rows = merge(_read(spark, path, old).unionByName(new) if old else new)
-    version = uuid.uuid4().hex
-    rows.withColumn("_bucket", at).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/v-{version}")
-    now = [(v, b) for v, b in known if b not in touched] + [(version, b) for b in sorted(touched)]
-    spark.createDataFrame(now, "version string, bucket int").coalesce(1).write.mode("overwrite").json(f"{path}/current")

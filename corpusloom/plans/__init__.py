@@ -1,6 +1,7 @@
 """The engine's query catalogue: name -> (spark, folder) -> DataFrame, and name -> SQL."""
 
-from . import corpus, documents, records, search, strict
+from . import corpus, documents, indexes, records, search, strict
 
-QUERIES = {**search.QUERIES, **documents.QUERIES, **corpus.QUERIES, **records.QUERIES, **strict.QUERIES}
-SQL = {**search.SQL, **documents.SQL, **corpus.SQL, **records.SQL, **strict.SQL}
+_PARTS = (search, documents, corpus, records, strict, indexes)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -136,8 +136,8 @@ def ingest_documents(spark, d):
     batch = ingest.ingest(blocks, facts, "m", lambda t: F.array(F.length(t).cast("float"), F.lit(1.0).cast("float")))
     path = work_folder(spark)
     index = ingest.commit(spark, batch, path)
-    kept = store.current_table(spark, f"{path}/manifest")
-    return kept.select("relpath", "content_hash", "size", "chunk_count").crossJoin(F.broadcast(index.stats.select("n_docs")))
+    kept = index.store.read("manifest")
+    return kept.select("relpath", "content_hash", "size", "chunk_count").crossJoin(F.broadcast(index.statistics().select("n_docs")))
 
 
 def dense_pairs(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import filters, history, redact, store
+from ..operators.commit_log import Store
 from ..operators.rules import version_class
 from ..session import table, with_timestamp, work_folder
 from ..streaming import jobs
@@ -154,7 +155,7 @@ def stream_latest(spark, d):
     path, checkpoint = work_folder(spark), work_folder(spark)
     rows = with_timestamp(_stream(spark, d), "ts").select("user_id", "ts", "event_id", "event_type")
     jobs.keyed_upsert(rows, path, checkpoint, ["user_id"], ["ts", "event_id"]).awaitTermination()
-    return store.current_table(spark, path).select("user_id", "event_id", "event_type")
+    return Store(spark, path).read("rows").select("user_id", "event_id", "event_type")
 
 
 def message_gaps(spark, d):

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators import store
+from ..operators.commit_log import Store
 from ..session import with_timestamp
 
 
@@ -32,12 +33,15 @@ def appended(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def keyed_upsert(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
-    """Latest row of each key: every batch is reduced to its latest rows and merged into the buckets
-    of the table that it has keys of, so that a batch that is run again changes nothing."""
+def keyed_upsert(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], name: str = "rows") -> StreamingQuery:
+    """Latest row of each key in table `name` of the store at path: every batch is reduced to its
+    latest rows and merged into the buckets that it has keys of. A batch's number is committed with
+    it, so that one that is run again changes nothing."""
+    Store.ensure(df.sparkSession, path).add_keyed(name, df.schema, keys)
 
-    def batch(rows: DataFrame, _: int) -> None:
-        store.merge_buckets(store.latest(rows, keys, order), path, keys, lambda both: store.latest(both, keys, order))
+    def batch(rows: DataFrame, number: int) -> None:
+        merge = lambda old, new: store.latest(old.unionByName(new), keys, order)
+        Store(rows.sparkSession, path).commit({name: (store.latest(rows, keys, order), merge)}, txn=(checkpoint, number))
 
     return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

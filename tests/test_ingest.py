@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import ingest, retrieval, store
+from corpusloom.operators import ingest, retrieval
+from corpusloom.operators.commit_log import Store
 from corpusloom.sources import external, markup
 
 
@@ -18,16 +19,20 @@ def _batch(spark, rows, cache=None):
 def test_two_commits(spark, tmp_path):
     path = f"file://{tmp_path}/kb"
     first = ingest.commit(spark, _batch(spark, [("a", "# A\nalpha beta"), ("b", "beta")]), path)
-    assert first.stats.first().n_docs == 2
-    cache = store.current_table(spark, f"{path}/vectors").select("content_hash", F.array(F.lit(-1.0).cast("float")).alias("vector")).dropDuplicates(["content_hash"])
+    assert first.statistics().first().n_docs == 2
+    cache = Store(spark, path).read("vectors").select("content_hash", F.array(F.lit(-1.0).cast("float")).alias("vector")).dropDuplicates(["content_hash"])
     second = ingest.commit(spark, _batch(spark, [("b", "beta"), ("c", "gamma")], cache), path)
-    assert second.stats.first().n_docs == 3  # fitted anew on all, a document given again is one
-    assert {r.term: r.df for r in second.terms.collect()} == {"alpha": 1, "beta": 2, "gamma": 1}
-    vectors = {r.chunk_id: r.vector for r in store.current_table(spark, f"{path}/vectors").collect()}
+    assert second.statistics().first().n_docs == 3  # a document given again is one
+    assert {r.term: r.df for r in second.terms().collect()} == {"alpha": 1, "beta": 2, "gamma": 1}
+    vectors = {r.chunk_id: r.vector for r in Store(spark, path).read("vectors").collect()}
     assert len(vectors) == 3 and [-1.0] in vectors.values()  # from the cache
-    chunks = store.current_table(spark, f"{path}/chunks")
+    chunks = Store(spark, path).read("chunks")
     assert chunks.where("chunk_level = 'parent'").count() == 3 and ingest.lookup(chunks, F.col("doc_id") == "c").count() == 1
-    assert store.current_table(spark, f"{path}/manifest").count() == 3
+    assert Store(spark, path).read("manifest").count() == 3
+    # a document given again with less text loses the chunks it doesn't have any more
+    third = ingest.commit(spark, _batch(spark, [("a", "")]), path)
+    assert {r.term: r.df for r in third.terms().collect()} == {"beta": 1, "gamma": 1}
+    assert Store(spark, path).read("vectors").count() == Store(spark, path).read("chunks").where("chunk_level = 'child'").count() == third.statistics().first().n_docs
 
 
 def test_last_chunk_stays(spark):

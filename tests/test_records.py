@@ -33,13 +33,6 @@ def test_scopes(chunks):
     assert ids(chunks.where(scope(None, None, "public"))) == [1, 2]
 
 
-def test_store_versions(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    store.replace_table(spark.range(3), path)
-    store.replace_table(store.current_table(spark, path).where("id > 0"), path)
-    assert sorted(r.id for r in store.current_table(spark, path).collect()) == [1, 2]
-
-
 def test_delete_keeps_unknown(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, k string")
     assert ids(store.delete_where(df, F.col("k") == "a")) == [2]

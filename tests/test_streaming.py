@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from corpusloom.operators import store
+from corpusloom.operators.commit_log import Store
 from corpusloom.streaming import jobs
 
 SCHEMA = "id long, k string, v int, ts timestamp"
@@ -15,25 +15,10 @@ def test_latest_by_key_over_two_runs(spark, tmp_path):
     _write(spark, src, [(1, "a", 1), (2, "b", 2), (3, "a", 3)])
     run = lambda: jobs.keyed_upsert(jobs.file_stream(spark, src, SCHEMA), out, check, ["k"], ["ts", "id"]).awaitTermination()
     run()
-    assert {r.k: r.v for r in store.current_table(spark, out).collect()} == {"a": 3, "b": 2}
+    assert {r.k: r.v for r in Store(spark, out).read("rows").collect()} == {"a": 3, "b": 2}
     _write(spark, src, [(0, "a", 9), (5, "b", 5), (6, "c", 6)])
     run()
-    assert {r.k: r.v for r in store.current_table(spark, out).collect()} == {"a": 3, "b": 5, "c": 6}
-
-
-def test_only_touched_buckets_are_written(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    last = lambda both: store.latest(both, ["k"], ["v"])
-    rows = lambda *x: spark.createDataFrame(x, "k long, v int")
-    store.merge_buckets(rows(*[(k, 0) for k in range(100)]), path, ["k"], last, 8)
-    before = dict((b, v) for v, b in store._versions(spark, path))
-    for _ in range(2):
-        store.merge_buckets(rows((5, 1), (200, 1)), path, ["k"], last, 8)
-        assert {r.k: r.v for r in store.current_table(spark, path).collect()} == {**dict.fromkeys(range(100), 0), 5: 1, 200: 1}
-    after = dict((b, v) for v, b in store._versions(spark, path))
-    assert len(before) == 8 and 1 <= sum(after[b] != before[b] for b in before) <= 2
-    store.merge_buckets(rows().limit(0), path, ["k"], last, 8)
-    assert dict((b, v) for v, b in store._versions(spark, path)) == after
+    assert {r.k: r.v for r in Store(spark, out).read("rows").collect()} == {"a": 3, "b": 5, "c": 6}
 
 
 def test_append_and_daily_counts(spark, tmp_path):
