@@ -51,11 +51,11 @@ def _sums(folds: int) -> list[str]:
     return [f"{what}{f}" for what in "ns" for f in range(folds)]
 
 
-def sliced(rows: DataFrame, keys: Sequence[str], gap: int, slice_events: int) -> DataFrame:
+def sliced(rows: DataFrame, keys: Sequence[str], gap: int, slice_events: int, keep: Sequence[str] | None = None) -> DataFrame:
     """Both events of every row with the number of their slice, in the order of time. A released
-    event keeps its values, fold and weights only."""
+    event keeps its values, fold and weights only, one that asks `keep` besides."""
     own = ["fold", "n", "s", *[F.col(k).cast("string").alias(f"key{i}") for i, k in enumerate(keys)]]
-    carried = [(F.col(c), t, f"c{i}") for i, (c, t) in enumerate(rows.dtypes) if c not in _OWN]
+    carried = [(F.col(c), t, f"c{i}") for i, (c, t) in enumerate(rows.dtypes) if c not in _OWN and (keep is None or c in keep)]
     asking = rows.select(F.col("at").alias("moment"), F.lit(False).alias("released"), *own, *[c.alias(a) for c, _, a in carried])
     due = rows.select((F.col("at") + F.lit(gap)).alias("moment"), F.lit(True).alias("released"), *own, *[F.lit(None).cast(t).alias(a) for _, t, a in carried])
     events = asking.union(due)
@@ -143,19 +143,19 @@ def replay(events: pa.Table, state: pa.Table, n_keys: int, folds: int) -> list[n
     return out
 
 
-def history(rows: DataFrame, keys: Sequence[str], gap_seconds: int = 0, folds: int = FOLDS, slice_events: int = SLICE_EVENTS) -> DataFrame:
-    """rows, which have `at` (microseconds), `fold` (0 to folds - 1), `n` and `s` (units and hits of
+def history(rows: DataFrame, keys: Sequence[str], gap_seconds: int = 0, folds: int = FOLDS, slice_events: int = SLICE_EVENTS, keep: Sequence[str] | None = None) -> DataFrame:
+    """rows (of their columns those in `keep`, by default all), which have `at` (microseconds), `fold` (0 to folds - 1), `n` and `s` (units and hits of
     the row), with {key}_n and {key}_s for each key, and all_n, all_s: units and hits of other folds
     whose `at` is more than gap_seconds earlier and which share the row's value. A key's name must
     not make one of rows' columns."""
     rows = rows.where("at is not null and fold is not null").withColumns({c: F.col(c).cast(t) for c, t in _OWN.items()})
     rows = io.written(rows, "history-rows")
-    events = io.written(sliced(rows, keys, gap_seconds * 1_000_000, slice_events), "history-events")
+    events = io.written(sliced(rows, keys, gap_seconds * 1_000_000, slice_events, keep), "history-events")
     state = io.written(states(events, len(keys), folds), "history-state")
     names = [f"{k}_{what}" for k in [*keys, "all"] for what in "ns"]
-    schema = StructType([*rows.schema.fields, *[StructField(n, LongType()) for n in names]])
-    columns, n_keys = rows.columns, len(keys)
-    named = {"at": "moment", **{c: c if c in _OWN else f"c{i}" for i, c in enumerate(columns) if c != "at"}}
+    columns, n_keys = [c for c in rows.columns if keep is None or c in keep], len(keys)
+    named = {"at": "moment", **{c: c if c in _OWN else f"c{i}" for i, c in enumerate(rows.columns) if c != "at"}}
+    schema = StructType([*[rows.schema[c] for c in columns], *[StructField(n, LongType()) for n in names]])
 
     def run(some: pa.Table, first: pa.Table) -> pa.Table:
         at, *counts = replay(some, first, n_keys, folds)
@@ -187,13 +187,15 @@ def sale_rates(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, vendor
     sold = sales.where("sale_id is not null and sold_at is not null").select("sale_id", F.coalesce("client_id", F.lit(-1)).alias("client_id"), F.unix_micros(F.col("sold_at").cast("timestamp")).alias("at"))
 
     def known(table: DataFrame, id_: str, parent: str) -> DataFrame:
-        return table.where(F.col(id_).isNotNull()).groupBy(F.col(id_).cast("long").alias(id_)).agg(F.min(parent).cast("string").alias(parent)).hint("merge")
+        # written, so that the join's exchange is its own and a frequent id can be split
+        once = table.where(F.col(id_).isNotNull()).groupBy(F.col(id_).cast("long").alias(id_)).agg(F.min(parent).cast("string").alias(parent))
+        return io.written(once, "history-known").hint("merge")
 
     (item, kind), (vendor, nation), (client, segment) = SHOP
     sold = sold.join(known(clients, client, segment), client, "left")
     rows = lines.join(sold.hint("merge"), "sale_id").join(known(items, item, kind), item, "left").join(known(vendors, vendor, nation), vendor, "left")
     rows = rows.select("sale_id", "item_id", "vendor_id", "client_id", kind, nation, segment, "at", fold_of(F.col("sale_id")).alias("fold"), "n", "s")
-    found = history(rows, [c for pair in SHOP for c in pair], gap_seconds, FOLDS, slice_events)
+    found = history(rows, [c for pair in SHOP for c in pair], gap_seconds, FOLDS, slice_events, ["sale_id", "item_id", "vendor_id", "n", "s"])
     top = rate(F.lit(500_000).cast("long"), F.col("all_n"), F.col("all_s"))
     out = []
     for id_, parent in SHOP:
