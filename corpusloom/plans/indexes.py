@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.commit_log import Store
 from ..operators.inverted import SearchIndex
+from ..operators.vector_index import VectorIndex
 from ..session import work_folder
 from . import search as plain
 
@@ -36,9 +37,28 @@ def bm25_index_compact(spark: SparkSession, d: str) -> DataFrame:
     return index.search(plain._items(spark, d), 10)
 
 
-QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact)}
+def _vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    return VectorIndex.build(Store.create(spark, work_folder(spark)), plain._vectors(spark, d), "doc_id", "vector", cells=16, rounds=4)
+
+
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Vector search by cells and codes: its rows may differ from dense_topk's."""
+    return _vector_index(spark, d).search(plain._vector_questions(spark, d), 10).withColumnRenamed("key", "doc_id")
+
+
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Does the index find nine tenths of the ten nearest rows, and visit fewer than all cells?"""
+    index = _vector_index(spark, d)
+    found = index.search(plain._vector_questions(spark, d), 10).select("query_id", F.col("key").alias("doc_id"), F.lit(1).alias("hit"))
+    true = plain.dense_topk(spark, d).select("query_id", "doc_id")
+    hits = true.join(found, ["query_id", "doc_id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), (F.sum("hit") >= 0.9 * F.count("*")).alias("found_most"))
+    return hits.withColumn("fewer_cells", F.lit(index.probes < index.cells))
+
+
+QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact, vector_index_topk, vector_index_recall)}
 SQL = {
     "bm25_index_search": plain.SQL["bm25_search"],
     "bm25_index_terms": plain.SQL["bm25_fit"],
     "bm25_index_compact": f"WITH {plain._ITEMS}, {plain._bm25('items')} {plain._top('sparse', 10)}",
+    "vector_index_recall": f"SELECT count(*) n_queries, TRUE found_most, TRUE fewer_cells FROM embeddings WHERE vec_id % {plain.EVERY} = 0",
 }
