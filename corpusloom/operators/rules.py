@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_space, snippet
+from ..session import broadcast_if_small, checkpointed
 
-#: Rule sets are written by hand; this many patterns are compiled into one expression at most.
+#: This many patterns are compiled into one expression at most.
 MAX_PATTERNS = 20_000
 
 
@@ -15,12 +20,14 @@ def scan(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> Dat
     """One row a rule and document that has one of its patterns: the first in the rule's order;
     pos is its first place (1-based), snippet the characters around it.
 
-    The rules are read into an expression, so each document is looked at where it lies, without
-    a join: array of (rule, pattern, position), of which the first pattern of each rule stays.
+    Up to MAX_PATTERNS patterns, after a count, are read into an expression, so that each document is
+    looked at where it lies, without a join: array of (rule, pattern, position), of which the first
+    pattern of each rule stays. More are joined (`scan_join`).
     """
-    rows = rules.where(F.coalesce(F.col("status"), F.lit("enabled")) != "disabled").select("rule_id", "trigger.patterns").orderBy("rule_id").collect()
-    if sum(len(r["patterns"] or ()) for r in rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+    some = rules.where(F.coalesce(F.col("status"), F.lit("enabled")) != "disabled").select("rule_id", "trigger.patterns")
+    if (some.agg(F.sum(F.size("patterns"))).first()[0] or 0) > MAX_PATTERNS:
+        return scan_join(docs, rules, key, text)
+    rows = some.orderBy("rule_id").collect()
     table = F.array(*[F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.array(*[F.lit(p) for p in r["patterns"] or () if p]).cast("array<string>").alias("patterns")) for r in rows])
     body = F.coalesce(F.col(text), F.lit(""))
     if not rows:
@@ -33,6 +40,59 @@ def scan(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> Dat
     return first.select(key, "rule_id", "h.pattern", "h.pos", "h.snippet")
 
 
+#: Characters of the piece of a pattern that texts are searched for.
+GRAM = 4
+#: Documents, about, that the pieces' frequencies are taken from; no result depends on them.
+SAMPLE_DOCS = 2_000
+FEW = 200_000
+
+
+def _pieces(rows: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """keys, gram: the distinct runs of so many characters of each text; of a text shorter than
+    every size, the text."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, body in enumerate(batch.column(len(keys)).to_pylist()):
+                found = pa.array(sorted({body[i : i + n] for n in sizes for i in range(len(body) - n + 1)}), pa.string())
+                for lo in range(0, len(found), 1 << 16):
+                    some = found[lo : lo + (1 << 16)]
+                    same = pa.array([at] * len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).take(same) for j in range(len(keys))), some], names=[*keys, "gram"])
+
+    return rows.select(*keys, text).mapInArrow(run, f"{kinds}, gram string")
+
+
+def scan_join(docs: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """What `scan` gives, for any number of rules: each pattern is keyed by its rarest piece of GRAM
+    characters (itself, if it is shorter), texts give their distinct pieces, both meet in a join, and
+    only patterns whose piece a text has are looked for in it. The rules stay a table."""
+    each = rules.where(F.coalesce(F.col("status"), F.lit("enabled")) != "disabled").select("rule_id", F.posexplode("trigger.patterns").alias("o", "pattern")).where("pattern <> ''")
+    each = checkpointed(each.withColumn("size", F.least(F.length("pattern"), F.lit(GRAM))))
+    sizes = sorted(r[0] for r in each.select("size").distinct().collect())  # GRAM values at most
+    docs = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_row", F.xxhash64(key, "_text"))
+    total = docs.count()
+    some = docs.where(F.pmod("_row", F.lit(1_000_003)) < F.lit(1 + 1_000_003 * SAMPLE_DOCS // max(1, total)))
+    common = _pieces(some, ["_row"], "_text", sizes).groupBy("gram").agg(F.count("*").alias("n"))
+    # a pattern's pieces all have one size
+    own = [_pieces(each.where(F.col("size") == n), ["rule_id", "o", "pattern"], "pattern", [n]) for n in sizes]
+    if not own:
+        return docs.select(key, F.lit("").alias("rule_id"), F.lit("").alias("pattern"), F.lit(0).alias("pos"), F.lit("").alias("snippet")).limit(0)
+    pieces = reduce(DataFrame.union, own).join(common, "gram", "left")
+    anchors = checkpointed(pieces.groupBy("rule_id", "o", "pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
+    met = _pieces(docs, [key, "_row"], "_text", sizes).join(broadcast_if_small(anchors, FEW), "gram")
+    asked = met.groupBy(key, "_row").agg(F.collect_set(F.struct("rule_id", "o", "pattern")).alias("_asked"))
+    found = docs.join(asked.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")) & (docs["_row"] == asked["_row"]))
+    hits = F.filter(F.transform("_asked", lambda r: F.struct(r["rule_id"].alias("rule_id"), r["o"].alias("o"), r["pattern"].alias("pattern"), F.instr("_text", r["pattern"]).alias("pos"))), lambda h: h["pos"] > 0)
+    found = found.select(key, "_text", F.array_sort(hits).alias("_hits"))
+    # of each rule the first pattern in its order
+    first = F.filter("_hits", lambda h, i: (i == 0) | (h["rule_id"] != F.get("_hits", i - 1)["rule_id"]))
+    told = F.transform(first, lambda h: F.struct(h["pos"].alias("pos"), h["pattern"].alias("pattern"), snippet(F.col("_text"), h["pos"]).alias("snippet"), h["rule_id"].alias("rule_id")))
+    rows = found.select(key, F.explode(told).alias("h")).groupBy(key, F.col("h.rule_id").alias("rule_id")).agg(F.min("h").alias("h"))
+    return rows.select(key, "rule_id", "h.pattern", "h.pos", "h.snippet")
+
+
 def with_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """hits with dimension, risk_level, risk_desc, suggestion, basis, source of their rules."""
     facts = rules.select("rule_id", "dimension", "risk_level", "risk_desc", F.col("suggestion_template").alias("suggestion"), "basis", "source")

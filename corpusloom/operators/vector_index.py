@@ -131,7 +131,7 @@ class VectorIndex:
         at.commit(replaces={f"{name}_rows": dealt})
         index = cls(at, name)
         index._model = coarse, books, len(coarse)
-        probes = index._needed(_sample(rows, SAMPLE_QUESTIONS, total, 3), near, target) if total else 1
+        probes = index._needed(_sample(rows, SAMPLE_QUESTIONS, total, 3), near, target) if total else 0  # of no rows there is nothing to visit
         model = spark.createDataFrame([(coarse.tolist(), books.tolist(), probes)], "cells array<array<double>>, books array<array<array<double>>>, probes int")
         at.commit(replaces={f"{name}_model": model})
         return cls(at, name)
@@ -153,7 +153,7 @@ class VectorIndex:
         """query, key, score (cosine, six digits), rank of the k nearest rows, nearly always."""
         asked = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("vector")).where("vector is not null")
         plain = lambda some: dense.search(self.rows(), some, k, "key", "vector").select("query_id", "key", "score", "rank")
-        if exact:
+        if exact or not self.probes:
             return plain(asked).withColumnRenamed("query_id", query)
         asked = checkpointed(asked)
         found = checkpointed(self._scored(self._candidates(asked, oversample * k, min(probes or self.probes, self.cells)), asked, k))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import rules
 from ..operators.commit_log import Store
 from ..operators.inverted import SearchIndex
 from ..operators.vector_index import VectorIndex
-from ..session import work_folder
+from ..session import table, work_folder
 from . import search as plain
 
 
@@ -55,10 +56,21 @@ def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
     return hits.withColumn("fewer_cells", F.lit(index.probes < index.cells))
 
 
-QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact, vector_index_topk, vector_index_recall)}
+def rule_join(spark: SparkSession, d: str) -> DataFrame:
+    """A rule for each benchmark item: its last twenty characters or, failing that, its first three."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("rule_id"), F.coalesce("text", F.lit("")).alias("t"))
+    rules_ = items.select("rule_id", F.lit("enabled").alias("status"), F.struct(F.array(F.right("t", F.lit(20)), F.left("t", F.lit(3))).alias("patterns")).alias("trigger"))
+    found = rules.scan_join(plain._docs(spark, d), rules_, "doc_id")
+    return found.select("doc_id", "rule_id", "pattern", F.col("pos").cast("long").alias("pos"), F.sha1("snippet").alias("snippet_sha1"))
+
+
+QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact, vector_index_topk, vector_index_recall, rule_join)}
 SQL = {
     "bm25_index_search": plain.SQL["bm25_search"],
     "bm25_index_terms": plain.SQL["bm25_fit"],
     "bm25_index_compact": f"WITH {plain._ITEMS}, {plain._bm25('items')} {plain._top('sparse', 10)}",
     "vector_index_recall": f"SELECT count(*) n_queries, TRUE found_most, TRUE fewer_cells FROM embeddings WHERE vec_id % {plain.EVERY} = 0",
+    "rule_join": """WITH p AS (SELECT item_id::VARCHAR rule_id, unnest([right(coalesce(text, ''), 20), left(coalesce(text, ''), 3)]) pattern, unnest([0, 1]) o FROM benchmark),
+      h AS (SELECT doc_id, rule_id, text, pattern, instr(text, pattern) pos FROM documents, p WHERE pattern <> '' AND instr(text, pattern) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY o) = 1)
+      SELECT doc_id, rule_id, pattern, pos, sha1(replace(substring(text, greatest(1, pos - 40), pos + 120 - greatest(1, pos - 40)), chr(10), ' ')) snippet_sha1 FROM h""",
 }
