@@ -52,7 +52,8 @@ LABELS = ["姓名", "名字", "联系人", "法定代表人", "委托代理人",
 BEFORE_NAME = ["与", "向", "对", "由", "为", "和", "跟", "同", "被", "让", "给"]
 AFTER_NAME = ["签订", "签署", "履行", "承担", "支付", "主张", "起诉", "上诉", "辩称", "诉称", "称", "表示", "认为", "承诺", "确认", "负责"]
 #: How names of companies end.
-ORGANISATIONS = ["有限责任公司", "股份有限公司", "有限公司", "合伙企业", "事务所", "公司", "企业", "集团", "银行", "保险", "证券", "信托", "基金", "期货", "中心"]
+ORGANISATIONS = ["有限公司", "有限责任公司", "股份有限公司", "公司", "企业", "集团", "中心", "银行", "保险", "证券", "信托", "基金", "期货", "合伙企业", "事务所"]
+#: Those of one character are kept apart, since they end a name only where no Han follows.
 SHORT_ORGANISATIONS = ["厂", "院", "所", "站", "社", "店", "馆", "部", "处", "科", "室"]
 #: Words of that form that aren't companies.
 NOT_COMPANIES = ["统一社会信用代码", "社会信用代码", "身份证号", "信用代码"]
@@ -70,37 +71,21 @@ REVERSIBLE: list[tuple[str, str]] = [
     ("bankcard", r"(?<![0-9])[0-9]{16,19}(?![0-9])"),
     ("company", r"[一-鿿]{2,20}(?:有限责任公司|股份有限公司|有限公司|集团)"),
 ]
-#: Layers of the document masker in their order: numbered tags, which can be undone.
-NUMBERED_LAYERS: list[tuple[str, str]] = [
-    ("ID", r"(?<!\d)\d{17}[\dXx](?!\d)"),
-    ("PHONE", r"(?<!\d)1[3-9]\d{9}(?!\d)"),
-    ("CREDIT_CODE", r"(?<![0-9A-Z])[0-9A-HJ-NPQRTUWXY]{2}\d{6}[0-9A-HJ-NPQRTUWXY]{10}(?![0-9A-Z])"),
-    ("AMOUNT_PERIOD", r"[\d,]+\.?\d*\s*元/(?:月|日|年)"),
-    ("AMOUNT", r"[\d,]+\.?\d*\s*(?:万元|亿元|美元|英镑|港币|元)"),
-    ("PERCENT", r"(?<![0-9.])\d+\.?\d*%"),
-    ("CASE_NUMBER", r"[（(]\d{4}[）)][一-龥]{0,4}\d+[一-龥]*\d+[a-zA-Z一-龥]*号"),
-]
-#: Tags without a mapping, before addresses. A name that ends at an institution's word begins where its run of Han does.
-DOCUMENT_LAYERS: list[tuple[str, str]] = [
-    (r"(入库编号|档案编号|案件编号)[\s：:]*[\w-]+", "$1：{{REFERENCE_NUMBER}}"),
-    (r"(?<![一-龥])[一-龥]+?(?:高级|中级|基层|专门)?(?:人民)?法院\b", "{{COURT}}"),
-    (r"账户名称[\s：:]*[一-龥]{2,20}", "账户名称：{{ACCOUNT_NAME}}"),
-    (r"开户行[\s：:]*[一-龥]+(?:银行|信用社|储蓄所)", "开户行：{{BANK_BRANCH}}"),
-    (r"(?<![一-龥])[一-龥]+?(?:银行|保险|证券|信托|基金|期货)(?:公司|集团)?\b", "{{FINANCIAL_INST}}"),
-    (r"(?<![一-龥])[一-龥]+?(?:大学|学院|学校|中学|小学|幼儿园|培训)(?:机构)?\b", "{{SCHOOL}}"),
-    (r"(?<![一-龥])[一-龥]+?(?:政府|委员会|局|厅|处|科|办|部)(?:机关)?\b", "{{GOVERNMENT}}"),
-    (r"[一-龥]{2,20}?(?:公司|企业|集团|厂|院|所|校|中心|站|社|店|馆|部|处|科|室)", "{{ORGANIZATION}}"),
-    (r"账号[\s：:]*\d{10,20}", "账号：{{ACCOUNT_NUMBER}}"),
-    (r"合同编号[\s：:]*[\w-]+\d+", "合同编号：{{CONTRACT_NUMBER}}"),
-    (r"(审判长|审判员|书记员)[\s：:]*[一-龥]{2,4}", "$1：{{JUDGE}}"),
-    (r"(?<![\w{])\d{16,19}(?!\d)", "{{BANK}}"),
-    (r"\d{4}年\d{1,2}月(?:\d{1,2}日)?|\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}", "{{DATE}}"),
-]
-#: Tags without a mapping, after addresses and postal codes.
-LAST_LAYERS: list[tuple[str, str]] = [
-    (r"[一-龥][A-Z][A-Z0-9]{5,6}\b", "{{LICENSE_PLATE}}"),
-    (r"(?:(?<![\w.-])|(?<=\w)(?=[.-]))[\w.-]++@[\w.-]+\.\w+", "{{EMAIL}}"),
-    (r"https?://[\w.-]+(?:/[\w./%-]*)?", "{{URL}}"),
-    (r"(?:QQ|微信号|微信)[\s：:]*[\w-]{6,20}", "{{SOCIAL_ACCOUNT}}"),
-]
+#: What personal numbers, case numbers, plates, accounts and addresses of the web look like.
+PATTERNS = {
+    "id_card": r"(?<!\d)\d{17}[\dXx](?!\d)",
+    "phone": r"(?<!\d)1[3-9]\d{9}(?!\d)",
+    "credit_code": r"(?<![0-9A-Z])[0-9A-HJ-NPQRTUWXY]{2}\d{6}[0-9A-HJ-NPQRTUWXY]{10}(?![0-9A-Z])",
+    "case_number": r"[（(]\d{4}[）)][一-龥]{0,4}\d+[一-龥]*\d+[a-zA-Z一-龥]*号",
+    "account_name": r"账户名称[\s：:]*[一-龥]{2,20}",
+    "account_number": r"账号[\s：:]*\d{10,20}",
+    "bank_branch": r"开户行[\s：:]*[一-龥]+(?:银行|信用社|储蓄所)",
+    "contract_number": r"合同编号[\s：:]*[\w-]+\d+",
+    "judge": r"(审判长|审判员|书记员)[\s：:]*[一-龥]{2,4}",
+    "license_plate": r"[一-龥][A-Z][A-Z0-9]{5,6}\b",
+    "url": r"https?://[\w.-]+(?:/[\w./%-]*)?",
+    "social_account": r"(?:QQ|微信|微信号)[\s：:]*[\w-]{6,20}",
+}
+#: Units of amounts.
+UNITS = ["万元", "亿元", "元", "美元", "英镑", "港币"]
 CLEANUP: list[tuple[str, str]] = [(r"\n{3,}", "\n\n"), (r" {2,}", " "), (r"\t+", " ")]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import (
-    ADDRESS_WORDS, AFTER_NAME, BEFORE_NAME, CLEANUP, DOCUMENT_LAYERS, LABELS, LAST_LAYERS, NOT_ADDRESSES, NOT_COMPANIES, NUMBERED_LAYERS, ORGANISATIONS, PARTIES,
-    POSTAL_WORDS, REVERSIBLE, ROLES, SHORT_ORGANISATIONS, TAGS,
+    ADDRESS_WORDS, AFTER_NAME, BEFORE_NAME, CLEANUP, LABELS, NOT_ADDRESSES, NOT_COMPANIES, ORGANISATIONS, PARTIES, PATTERNS, POSTAL_WORDS, REVERSIBLE, ROLES,
+    SHORT_ORGANISATIONS, TAGS, UNITS,
 )
 from ..session import checkpointed
 
@@ -31,14 +33,51 @@ FINDERS: list[tuple[str, re.Pattern, int]] = [
     ("person_name", re.compile(rf"[{''.join(BEFORE_NAME)}]([{_HAN}]{{2,4}})(?:{_any(AFTER_NAME)})"), 1),
     # the longest organisation word at the end of the shortest name; one of a letter only where the name ends
     ("company_name", re.compile(rf"[{_HAN}]{{2,20}}?(?:{_any(ORGANISATIONS)}|[{''.join(SHORT_ORGANISATIONS)}](?![{_HAN}]))"), 0),
-    ("id_card", re.compile(r"(?<!\d)\d{17}[\dXx](?!\d)"), 0),
-    ("credit_code", re.compile(r"(?<![0-9A-Z])[0-9A-HJ-NPQRTUWXY]{2}\d{6}[0-9A-HJ-NPQRTUWXY]{10}(?![0-9A-Z])"), 0),
-    ("phone", re.compile(r"(?<!\d)1[3-9]\d{9}(?!\d)"), 0),
+    ("id_card", re.compile(PATTERNS["id_card"]), 0),
+    ("credit_code", re.compile(PATTERNS["credit_code"]), 0),
+    ("phone", re.compile(PATTERNS["phone"]), 0),
     # begins where its run of characters does, or at a plus right behind another address: one try a run
     ("email", re.compile(r"(?:(?<![\w.+-])|(?<=[\w.-])(?=\+))[\w.+-]++@[\w-]+\.[\w.-]+"), 0),
 ]
 Span = tuple[str, str, int, int]
 
+#: Layers of the document masker with numbered tags. Amounts a period come before plain amounts, which
+#: would leave their period behind, and percentages need no word before them.
+NUMBERED_LAYERS: list[tuple[str, str]] = [
+    ("ID", PATTERNS["id_card"]),
+    ("PHONE", PATTERNS["phone"]),
+    ("CREDIT_CODE", PATTERNS["credit_code"]),
+    ("AMOUNT_PERIOD", r"[\d,]+\.?\d*\s*元/(?:月|日|年)"),
+    ("AMOUNT", rf"[\d,]+\.?\d*\s*(?:{'|'.join(UNITS)})"),
+    ("PERCENT", r"(?<![0-9.])\d+\.?\d*%"),
+    ("CASE_NUMBER", PATTERNS["case_number"]),
+]
+#: Layers with plain tags before addresses. Names that end at an institution's word begin where their
+#: run of Han does, so that a long run is tried once; account names and branches come before the
+#: institutions that they may name; references of any form count.
+DOCUMENT_LAYERS: list[tuple[str, str]] = [
+    (r"(入库编号|档案编号|案件编号)[\s：:]*[\w-]+", "$1：{{REFERENCE_NUMBER}}"),
+    (rf"(?<![{_HAN}])[{_HAN}]+?(?:高级|中级|基层|专门)?(?:人民)?法院\b", "{{COURT}}"),
+    (PATTERNS["account_name"], "账户名称：{{ACCOUNT_NAME}}"),
+    (PATTERNS["bank_branch"], "开户行：{{BANK_BRANCH}}"),
+    (rf"(?<![{_HAN}])[{_HAN}]+?(?:银行|保险|证券|信托|基金|期货)(?:公司|集团)?\b", "{{FINANCIAL_INST}}"),
+    (rf"(?<![{_HAN}])[{_HAN}]+?(?:大学|学院|学校|中学|小学|幼儿园|培训)(?:机构)?\b", "{{SCHOOL}}"),
+    (rf"(?<![{_HAN}])[{_HAN}]+?(?:政府|委员会|局|厅|处|科|办|部)(?:机关)?\b", "{{GOVERNMENT}}"),
+    (rf"[{_HAN}]{{2,20}}?(?:公司|企业|集团|厂|院|所|校|中心|站|社|店|馆|部|处|科|室)", "{{ORGANIZATION}}"),
+    (PATTERNS["account_number"], "账号：{{ACCOUNT_NUMBER}}"),
+    (PATTERNS["contract_number"], "合同编号：{{CONTRACT_NUMBER}}"),
+    (PATTERNS["judge"], "$1：{{JUDGE}}"),
+    (r"(?<![\w{])\d{16,19}(?!\d)", "{{BANK}}"),
+    (r"\d{4}年\d{1,2}月(?:\d{1,2}日)?|\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}", "{{DATE}}"),
+]
+#: Layers with plain tags after addresses and postal codes; an address of mail is found in one try a run.
+LAST_LAYERS: list[tuple[str, str]] = [
+    (PATTERNS["license_plate"], "{{LICENSE_PLATE}}"),
+    (r"(?:(?<![\w.-])|(?<=\w)(?=[.-]))[\w.-]++@[\w.-]+\.\w+", "{{EMAIL}}"),
+    (PATTERNS["url"], "{{URL}}"),
+    (PATTERNS["social_account"], "{{SOCIAL_ACCOUNT}}"),
+]
+
 
 def resolve(spans: list[Span]) -> list[Span]:
     """At each place the longest span that begins there, if the spans so far have left it free."""
@@ -69,15 +108,16 @@ Item = tuple[str, str, int, int, str | None]
 
 
 def mask(text: str, items: Sequence[Span | Item], method: str = "placeholder") -> tuple[str, list[dict]]:
-    """(masked text, mapping) by one fold over the items from the last to the first: `left` is the
-    text before them, `right` what stands behind, piece by piece. An item whose place doesn't hold
-    its value takes the first place of the whole that does, if there is one."""
-    left, right = text, []
+    """(masked text, mapping) by one fold over the items from the last to the first: `left` up to
+    `upto` is the text before them, `right` what stands behind, piece by piece. An item whose place
+    doesn't hold its value takes the first place of the whole that does, if there is one."""
+    left, upto, right = text, len(text), []
     numbers: Counter[str] = Counter()
     entries: list[dict] = []
     for category, value, start, end, *new in sorted(items, key=lambda item: item[2], reverse=True):
-        if not 0 <= start <= end <= len(left) or left[start:end] != (value or left[start:end]):
-            left, right = left + "".join(reversed(right)), []
+        if not 0 <= start <= end <= upto or left[start:end] != (value or left[start:end]):
+            left, right = left[:upto] + "".join(reversed(right)), []
+            upto = len(left)
             start = left.find(value) if value else -1
             end = start + len(value)
         if start < 0:
@@ -86,10 +126,10 @@ def mask(text: str, items: Sequence[Span | Item], method: str = "placeholder") -
         numbers[tag] += 1
         placeholder = f"{{{{{tag}_{numbers[tag]}}}}}"
         shown = next((n for n in new if n is not None), placeholder)
-        right += [left[end:], shown]
-        left = left[:start]
+        right += [left[end:upto], shown]
+        upto = start
         entries.append({"id": f"map_{len(entries) + 1}", "placeholder": placeholder, "category": category, "original": value, "masked_value": shown, "method": method, "start": start, "end": end})
-    return left + "".join(reversed(right)), entries
+    return left[:upto] + "".join(reversed(right)), entries
 
 
 # -- DataFrame forms -------------------------------------------------------------------------
@@ -222,74 +262,200 @@ def static_layers(text: Column, layers: Sequence[tuple[str, str]] = (*DOCUMENT_L
 
 
 _STATUTE = re.compile(r"第(?:[零一二三四五六七八九十百千万]+|\d+)(?:条|款|项)(?:之[零一二三四五六七八九十百千万\d]+)?(?:第(?:[零一二三四五六七八九十百千万]+|\d+)(?:条|款|项))*")
-#: Marks around the number of a reference that stands aside.
-_OPEN, _CLOSE = "\ue000", "\ue001"
-
-
 #: A word that no address may take in, or else an address: two characters at least before one of
 #: its words, and all that follows up to the end of the word.
 _PLACE = re.compile(rf"(?<!\w)(?:{_any(NOT_ADDRESSES)})[\s：:]*|([{_HAN}]{{2,30}}?(?:{_any(ADDRESS_WORDS)})[{_HAN}\d]{{0,50}}?(?:{_any(ADDRESS_WORDS)})?\b)")
 
 
-def without_addresses(text: str) -> str:
-    return _PLACE.sub(lambda m: "{{ADDRESS}}" if m[1] else m[0], text)
-
+#: What a reference that stands aside looks like to the layers: no letter, digit or Han.
+_ASIDE = "\ue000"
+
+
+@dataclass
+class _Piece:
+    """Characters [start, end) of the source and what stands for them: themselves (None) or a tag;
+    `view` is what the layers see where that is something else."""
+
+    start: int
+    end: int
+    shown: str | None = None
+    kind: str = ""
+    view: str | None = None
+
+
+class Pieces:
+    """A text as pieces of its source. A layer looks at what is shown so far and claims places of it;
+    these become pieces that keep their place in the source, whatever was shown there before."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.pieces = source, [_Piece(0, len(source))] if source else []
+
+    def _shown(self, p: _Piece) -> str:
+        return self.source[p.start : p.end] if p.shown is None else p.shown
+
+    def view(self) -> str:
+        return "".join(p.view if p.view is not None else self._shown(p) for p in self.pieces)
+
+    def claim(self, places: Iterable[tuple[int, int, str | None, str]]) -> None:
+        """Places (start, end, shown, kind) of the view, in order, not overlapping, become pieces; where
+        one cuts into a piece that isn't plain source, it takes in the whole. shown None stands aside."""
+        out: list[_Piece] = []
+        places = iter(places)
+        place = next(places, None)
+        at = 0
+        taken: list[int] | None = None  # source places of the claim under way
+
+        def closed() -> None:
+            nonlocal place, taken
+            if taken is not None and taken[0] < taken[1]:
+                aside = place[2] is None
+                out.append(_Piece(taken[0], taken[1], self.source[taken[0] : taken[1]] if aside else place[2], place[3], _ASIDE if aside else None))
+            taken, place = None, next(places, None)
+
+        for p in self.pieces:
+            text = p.view if p.view is not None else self._shown(p)
+            lo, hi, plain = at, at + len(text), p.shown is None
+            at, rest = hi, lo
+            if lo == hi:  # shows nothing: part of the claim under way, if there is one
+                if taken is None:
+                    out.append(p)
+                else:
+                    taken[1] = p.end
+            while place is not None and place[0] < hi:
+                a, b = max(place[0], lo), min(place[1], hi)
+                if b <= a:  # what the place before has taken in, or an empty place
+                    if place[1] <= hi:
+                        closed()
+                        continue
+                    break
+                if plain:
+                    if a > rest:
+                        out.append(_Piece(p.start + rest - lo, p.start + a - lo))
+                    source = (p.start + a - lo, p.start + b - lo)
+                    rest = b
+                else:
+                    if rest == hi and taken is None:  # taken in as a whole by an earlier place
+                        if place[1] <= hi:
+                            closed()
+                            continue
+                        source = None
+                    else:
+                        source, rest = (p.start, p.end), hi
+                if source is not None:
+                    taken = [source[0], source[1]] if taken is None else [taken[0], source[1]]
+                if place[1] > hi:
+                    break
+                closed()
+            if rest < hi:
+                out.append(_Piece(p.start + rest - lo, p.end) if plain else p)
+        if taken is not None:
+            closed()
+        self.pieces = out
+
+    def layer(self, pattern: str | re.Pattern[str], shown: Callable[[re.Match[str]], str | None], kind: str) -> None:
+        self.claim([(*m.span(), shown(m), kind) for m in re.finditer(pattern, self.view())])
+
+    def result(self) -> tuple[str, list[dict]]:
+        """(text, ledger): kind, shown and its place in the text, original and its place in the source."""
+        parts, ledger, at = [], [], 0
+        for p in self.pieces:
+            text = self._shown(p)
+            if p.shown is not None and p.view is None:
+                ledger.append({"kind": p.kind, "shown": text, "at": at, "original": self.source[p.start : p.end], "start": p.start, "end": p.end})
+            parts.append(text)
+            at += len(text)
+        return "".join(parts), ledger
+
+
+def restored(masked: str, ledger: Sequence[dict]) -> str:
+    """The source of a masked text and its ledger, exactly."""
+    parts, at = [], 0
+    for entry in ledger:
+        parts += [masked[at : entry["at"]], entry["original"]]
+        at = entry["at"] + len(entry["shown"])
+    return "".join([*parts, masked[at:]])
+
+
+def _postal_codes(view: str) -> Iterator[tuple[int, int, str, str]]:
+    """Numbers of six digits where a word for postal codes stands further on in the line."""
+    at = 0
+    for line in view.split("\n"):
+        last = max(line.rfind(w) for w in POSTAL_WORDS)
+        if last > 0:
+            yield from ((at + m.start(), at + m.end(), "{{POSTAL_CODE}}", "POSTAL_CODE") for m in re.finditer(r"\b\d{6}\b", line) if m.end() <= last)
+        at += len(line) + 1
+
+
+def _people(text: Pieces) -> None:
+    """Persons get the code of their surname; further names of one surname a number behind it."""
+    people = scan(text.view(), ["person_name"])
+    surnames = sorted({s[1][0] for s in people})
+    code = {s: PARTIES[i] if i < len(PARTIES) else f"方{i + 1}" for i, s in enumerate(surnames)}
+    names: dict[str, list[str]] = {}
+    places = []
+    for _, value, start, end in sorted(people, key=lambda s: s[2]):
+        same = names.setdefault(value[0], [])
+        if value not in same:
+            same.append(value)
+        number = same.index(value) + 1
+        places.append((start, end, f"{{{{PARTY_{code[value[0]]}{f'_{number}' if number > 1 else ''}}}}}", "PARTY"))
+    text.claim(places)
+
+
+def layered(source: str) -> tuple[str, list[dict]]:
+    """The document masker: statute references stand aside, persons get codes by surname, numbers
+    numbered tags, the rest plain tags. Every change, blanks included, is in the ledger with its
+    place in the source, so `restored` gives the source back whatever the tags are."""
+    text = Pieces(source)
+    text.layer(_STATUTE, lambda m: None, "STATUTE")
+    _people(text)
+    for base, pattern in NUMBERED_LAYERS:
+        count = itertools.count(1)
+        text.layer(pattern, lambda m, base=base, count=count: f"{{{{{base}_{next(count)}}}}}", base)
+    plain = lambda new: lambda m: m.expand(new.replace("$1", r"\1"))
+    tag = lambda new: re.search(r"\{\{(.+?)\}\}|$", new)[1] or "BLANKS"
+    for pattern, new in DOCUMENT_LAYERS:
+        text.layer(pattern, plain(new), tag(new))
+    text.claim([(*m.span(1), "{{ADDRESS}}", "ADDRESS") for m in _PLACE.finditer(text.view()) if m[1]])
+    text.claim(_postal_codes(text.view()))
+    for pattern, new in (*LAST_LAYERS, *CLEANUP):
+        text.layer(pattern, plain(new), tag(new))
+    text.layer(r"(\{\{(?:PARTY|AMOUNT|DATE|JUDGE)[^{}]*\}\})(?:\s*\1)+", lambda m: m[1], "REPEATED")
+    return text.result()
 
-def without_postal_codes(line: str) -> str:
-    """Numbers of six digits go where a word for postal codes stands further on in the line."""
-    last = max(line.rfind(w) for w in POSTAL_WORDS)
-    return re.sub(r"\b\d{6}\b", lambda m: "{{POSTAL_CODE}}" if m.end() <= last else m[0], line) if last > 0 else line
 
+def layered_mask(source: str) -> tuple[str, dict[str, str]]:
+    """The masked text, and the original of each tag that stands for one alone."""
+    masked, ledger = layered(source)
+    own = {"PARTY", *(base for base, _ in NUMBERED_LAYERS)}
+    return masked, {e["shown"]: e["original"] for e in ledger if e["kind"] in own}
 
-def layered_mask(text: str) -> tuple[str, dict[str, str]]:
-    """The document masker: statute references stand aside under marks of their own, parties get
-    codes by surname, numbers numbered tags, the rest static tags; then the references return."""
-    mapping: dict[str, str] = {}
-    statutes: list[str] = []
 
-    # private-use characters of the text itself are doubled while references stand aside
-    text = text.replace(_OPEN, _OPEN * 2)
+_LEDGER = "array<struct<kind:string,shown:string,at:int,original:string,start:int,end:int>>"
 
-    def aside(m: re.Match) -> str:
-        statutes.append(m[0])
-        return f"{_OPEN}{len(statutes) - 1}{_CLOSE}"
 
-    text = _STATUTE.sub(aside, text)
-    people = [s for s in scan(text, ["person_name"])]
-    surnames = sorted({s[1][0] for s in people})
-    code = {s: PARTIES[i] if i < len(PARTIES) else f"方{i + 1}" for i, s in enumerate(surnames)}
-    for _, value, start, end in sorted(people, key=lambda s: -s[2]):
-        tag = f"{{{{PARTY_{code[value[0]]}}}}}"
-        mapping[tag] = value
-        text = text[:start] + tag + text[end:]
-    for base, pattern in NUMBERED_LAYERS:
-        seen = 0
+def layered_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, masked, mapping (numbered tag to original), n_entities (distinct tags in the masked text),
+    ledger (every change with its place in the masked text and in the source)."""
 
-        def tag(m: re.Match, base: str = base) -> str:
-            nonlocal seen
-            seen += 1
-            mapping[f"{{{{{base}_{seen}}}}}"] = m[0]
-            return f"{{{{{base}_{seen}}}}}"
+    def one(t: str | None) -> tuple:
+        masked, ledger = layered(t or "")
+        own = {"PARTY", *(base for base, _ in NUMBERED_LAYERS)}
+        mapping = {e["shown"]: e["original"] for e in ledger if e["kind"] in own}
+        return masked, list(mapping.items()), len(set(re.findall(r"\{\{[^{}]+\}\}", masked))), ledger
 
-        text = re.sub(pattern, tag, text)
-    for pattern, new in DOCUMENT_LAYERS:
-        text = re.sub(pattern, new.replace("$1", r"\1"), text)
-    text = "\n".join(without_postal_codes(line) for line in without_addresses(text).split("\n"))
-    for pattern, new in (*LAST_LAYERS, *CLEANUP):
-        text = re.sub(pattern, new.replace("$1", r"\1"), text)
-    text = re.sub(r"(\{\{(?:PARTY|AMOUNT|DATE|JUDGE)[^{}]*\}\})(?:\s*\1)+", r"\1", text)
-    back = re.sub(f"{_OPEN}(?:{_OPEN}|([0-9]+){_CLOSE})", lambda m: statutes[int(m[1])] if m[1] and int(m[1]) < len(statutes) else m[0][: len(m[0]) if m[1] else 1], text)
-    return back, mapping
+    return _per_text(docs, key, [text], one, f"masked string, mapping map<string,string>, n_entities int, ledger {_LEDGER}")
 
 
-def layered_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, masked, mapping (tag to original), n_entities (distinct tags in the masked text)."""
+def restored_text(masked: Column, ledger: Column) -> Column:
+    """`restored` as an expression: one pass over the ledger, in the order of places."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def one(t: str | None) -> tuple:
-        masked, mapping = layered_mask(t or "")
-        return masked, list(mapping.items()), len(set(re.findall(r"\{\{[^{}]+\}\}", masked)))
+    def step(acc: Column, e: Column) -> Column:
+        kept = F.substring(masked, acc["at"] + 1, e["at"] - acc["at"])
+        return F.struct((e["at"] + F.length(e["shown"])).alias("at"), F.concat(acc["parts"], F.array(kept, e["original"])).alias("parts"))
 
-    return _per_text(docs, key, [text], one, "masked string, mapping map<string,string>, n_entities int")
+    return F.aggregate(ledger, zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(masked, acc["at"] + 1)))
 
 
 def apply_map(text: Column, mapping: Column) -> Column:

@@ -93,7 +93,20 @@ def rule_lines(spark, d):
     return files.rules(spark, [path]).select("rule_id", "dimension", F.sha1("risk_desc").alias("desc_sha1"), "corrupt")
 
 
-QUERIES = {f.__name__: f for f in (scan_values, reversible_kinds, parsed_questions, article_snippets, parsed_filter, valid_ids, annotated_texts, lexicon_words, rule_lines)}
+def redact_layers_planted(spark, d):
+    """Whole texts with planted personal data: what is shown for the planted part alone, and the whole
+    text given back from the masked one and its ledger."""
+    docs = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    number = F.lpad((F.col("doc_id") % 100_000_000).cast("string"), 8, "0")
+    planted = F.concat(F.lit("原告：张伟，被告：张三，电话 138"), number, F.lit("，支付"), (F.col("doc_id") % 1000 + 1).cast("string"), F.lit("万元，每期 5元/月，利率 3.5%，邮箱 a"), number, F.lit("@mail.example，依照第十条第二款"))
+    both = docs.select("doc_id", planted.alias("text")).withColumn("part", F.lit("planted")).union(docs.select("doc_id", F.concat("t", F.lit("\n"), planted)).withColumn("part", F.lit("whole")))
+    rows = both.withColumn("id", F.concat_ws(":", "part", F.xxhash64("doc_id", "text").cast("string"), "doc_id"))
+    masked = redact.layered_documents(rows, "id").withColumn("doc_id", F.element_at(F.split("id", ":"), 3).cast("long")).withColumn("part", F.element_at(F.split("id", ":"), 1))
+    masked = masked.withColumn("restored_sha1", F.sha1(redact.restored_text(F.col("masked"), F.col("ledger"))))
+    return masked.select("doc_id", "part", F.when(F.col("part") == "planted", F.col("masked")).alias("masked"), "restored_sha1")
+
+
+QUERIES = {f.__name__: f for f in (scan_values, reversible_kinds, parsed_questions, article_snippets, parsed_filter, valid_ids, annotated_texts, lexicon_words, rule_lines, redact_layers_planted)}
 
 _EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 _PLANTED = "t AS (SELECT doc_id, coalesce(text, '') || ' ' || (doc_id * 7919 + 13000000000) || ' ' || lpad(doc_id::VARCHAR, 17, '1') || 'X ' || substring('东西南北', (doc_id % 4 + 1)::INT, 1) || '河有限公司' t FROM documents)"
@@ -114,6 +127,9 @@ SQL = {
       NOT plain exact_match, CASE WHEN NOT plain THEN 'simple' WHEN length(coalesce(text, '')) > 40 OR length(text) - length(replace(text, '?', '')) >= 2 THEN 'hard' ELSE 'medium' END AS level FROM q""",
     "article_snippets": """WITH h AS (SELECT doc_id, coalesce(text, '') t, '第' || CASE WHEN doc_id % 2 = 0 THEN substring('一二三四五六七八九', (doc_id % 9 + 1)::INT, 1) ELSE (doc_id % 9 + 1)::VARCHAR END || '条' h FROM documents),
       s AS (SELECT doc_id, right(t, 30) || h || CASE WHEN doc_id % 3 = 0 THEN left(' ' || t, 600 - length(h)) ELSE ' ' || t END s FROM h) SELECT doc_id, sha1(s) snippet_sha1, length(s) n_chars FROM s""",
+    "redact_layers_planted": """WITH p AS (SELECT doc_id, coalesce(text, '') t, '原告：张伟，被告：张三，电话 138' || lpad((doc_id % 100000000)::VARCHAR, 8, '0') || '，支付' || (doc_id % 1000 + 1) || '万元，每期 5元/月，利率 3.5%，邮箱 a' || lpad((doc_id % 100000000)::VARCHAR, 8, '0') || '@mail.example，依照第十条第二款' p FROM documents)
+      SELECT doc_id, 'planted' part, '原告：{{PARTY_甲方}}，被告：{{PARTY_甲方_2}}，电话 {{PHONE_1}}，支付{{AMOUNT_1}}，每期 {{AMOUNT_PERIOD_1}}，利率 {{PERCENT_1}}，邮箱 {{EMAIL}}，依照第十条第二款' masked, sha1(p) restored_sha1 FROM p
+      UNION ALL SELECT doc_id, 'whole', NULL, sha1(t || chr(10) || p) FROM p""",
     "parsed_filter": "SELECT doc_id FROM documents WHERE source IN ('src1', 'src3') AND lang IN ('en', 'de')",
     "valid_ids": "SELECT doc_id, doc_id % 3 = 0 AND text IS NOT NULL valid FROM documents",
     "lexicon_words": """SELECT 'w' || doc_id word, CASE WHEN doc_id % 5 = 3 THEN n_chars::INT ELSE 10000 END freq, CASE WHEN doc_id % 5 = 4 THEN lang ELSE 'n' END tag FROM documents WHERE doc_id % 5 >= 2""",
