@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rules
+from ..operators import bm25, rules, segment
 from ..operators.commit_log import Store
+from ..operators.grouped import GroupedIndex
 from ..operators.inverted import SearchIndex
 from ..operators.vector_index import VectorIndex
 from ..session import table, work_folder
+from ..sources import office
 from . import search as plain
 
 
@@ -64,7 +66,33 @@ def rule_join(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "rule_id", "pattern", F.col("pos").cast("long").alias("pos"), F.sha1("snippet").alias("snippet_sha1"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact, vector_index_topk, vector_index_recall, rule_join)}
+def hierarchical_index(spark: SparkSession, d: str) -> DataFrame:
+    """As hierarchical_search, over folders of sources."""
+    docs = plain._docs(spark, d).where("text is not null").select("doc_id", "source", "text")
+    summaries = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
+    groups = bm25.search(summaries, plain._items(spark, d), 3, key="source")
+    index = GroupedIndex.build(Store.create(spark, work_folder(spark)), docs, "doc_id", "source", folders=8)
+    return index.search(groups, plain._items(spark, d), 10)
+
+
+def lattice_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, each with a run of Han that can be cut in several ways."""
+    words = [("研究", 900), ("研究生", 60), ("生命", 300), ("命", 20), ("起源", 200), ("生", 50)]
+    docs = plain._docs(spark, d).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" 研究生命起源")).alias("text"))
+    found = segment.segmented(docs, spark.createDataFrame(words, "word string, freq int"))
+    return found.select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.sha1(F.array_join("toks", "|")).alias("tokens_sha1"))
+
+
+def column_reading(spark: SparkSession, d: str) -> DataFrame:
+    """A page of twelve lines for each document, in one to three columns."""
+    n, c = F.col("line"), F.col("doc_id") % 3 + 1
+    lines = plain._docs(spark, d).where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("line"))
+    x = F.when(c == 1, F.lit(50.0)).otherwise(50.0 + 200.0 * (n % c) + (n * 13 + F.col("doc_id")) % 7)
+    found = office.column_order(lines.select("doc_id", F.lit(1).alias("page"), "line", x.cast("double").alias("x0")))
+    return found.select("doc_id", "line", F.col("columns").cast("long").alias("n_columns"), F.col("column").cast("long").alias("col"), F.col("reading").cast("long").alias("reading"))
+
+
+QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact, vector_index_topk, vector_index_recall, rule_join, hierarchical_index, lattice_tokens, column_reading)}
 SQL = {
     "bm25_index_search": plain.SQL["bm25_search"],
     "bm25_index_terms": plain.SQL["bm25_fit"],
@@ -73,4 +101,8 @@ SQL = {
     "rule_join": """WITH p AS (SELECT item_id::VARCHAR rule_id, unnest([right(coalesce(text, ''), 20), left(coalesce(text, ''), 3)]) pattern, unnest([0, 1]) o FROM benchmark),
       h AS (SELECT doc_id, rule_id, text, pattern, instr(text, pattern) pos FROM documents, p WHERE pattern <> '' AND instr(text, pattern) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY o) = 1)
       SELECT doc_id, rule_id, pattern, pos, sha1(replace(substring(text, greatest(1, pos - 40), pos + 120 - greatest(1, pos - 40)), chr(10), ' ')) snippet_sha1 FROM h""",
+    "hierarchical_index": plain.SQL["hierarchical_search"],
+    "lattice_tokens": f"SELECT doc_id, len(t)::BIGINT n_tokens, sha1(array_to_string(t, '|')) tokens_sha1 FROM (SELECT doc_id, list_concat(regexp_extract_all(lower(coalesce(text, '')), '{plain.W}'), ['研究', '生命', '起源']) t FROM documents)",
+    "column_reading": """WITH l AS (SELECT doc_id, unnest(range(12)) line FROM documents WHERE doc_id IS NOT NULL)
+      SELECT doc_id, line, doc_id % 3 + 1 n_columns, line % (doc_id % 3 + 1) col, row_number() OVER (PARTITION BY doc_id ORDER BY line % (doc_id % 3 + 1), line) - 1 reading FROM l""",
 }

@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clusters import silhouette, splits
+from ..session import broadcast_if_small, checkpointed
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DOCX = "doc_id string, `order` int, type string, content string, level int, max_font_pt double, headers array<string>, rows array<array<string>>"
 
@@ -173,49 +176,23 @@ def image_texts(images: DataFrame, chars: DataFrame, reach: float = 50.0) -> Dat
 
 def column_order(lines: DataFrame, most: int = 4) -> DataFrame:
     """Lines (doc_id, page, line, x0, ...) with column and reading order: the number of columns of a
-    document is what most of its pages have, a page's columns are one-dimensional 2..4 means whose
-    silhouette is above 0.3, else one."""
-    import numpy as np
-
-    def means(x: np.ndarray, k: int) -> np.ndarray:
-        c = np.quantile(x, (np.arange(k) + 0.5) / k)
-        for _ in range(50):
-            own = np.abs(x[:, None] - c).argmin(1)
-            new = np.array([x[own == j].mean() if (own == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        return np.abs(x[:, None] - np.sort(c)).argmin(1)
-
-    def silhouette(x: np.ndarray, own: np.ndarray) -> float:
-        if len(set(own)) < 2:
-            return -1.0
-        apart = np.abs(x[:, None] - x)
-        s = []
-        for i in range(len(x)):
-            same = own == own[i]
-            a = apart[i, same].sum() / max(1, same.sum() - 1)
-            b = min(apart[i, own == j].mean() for j in set(own) - {own[i]})
-            s.append((b - a) / max(a, b, 1e-9) if same.sum() > 1 else 0.0)
-        return float(np.mean(s))
+    document is what most of its pages have, a page's columns are the clusters of least squares, 2 to
+    `most`, whose silhouette is the best above 0.3, else one. A page is one group; its clusters of
+    every number are made in one pass, and the document's number picks among them."""
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["x0"].to_numpy(float)
+        own = splits(x, most)
         best, chosen = 0.3, 1
         for k in range(2, min(most, len(set(x))) + 1):
-            s = silhouette(x, means(x, k))
+            s = silhouette(x, own[k - 1])
             if s > best + 1e-9:
                 best, chosen = s, k
-        return pdf.assign(columns=chosen)
-
-    counted = lines.groupBy("doc_id", "page").applyInPandas(page, f"{_ddl(lines)}, columns int")
-    votes = counted.select("doc_id", "page", "columns").distinct().groupBy("doc_id").agg(F.mode("columns").alias("columns"))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, k = pdf["x0"].to_numpy(float), int(pdf["columns"].iloc[0])
-        return pdf.assign(column=means(x, k) if k > 1 and len(set(x)) >= k else 0)
+        return pdf.assign(_own=[list(map(int, c)) for c in zip(*own, strict=True)], _columns=chosen)
 
-    placed = counted.drop("columns").join(votes, "doc_id").groupBy("doc_id", "page").applyInPandas(place, f"{_ddl(lines)}, columns int, column int")
+    counted = checkpointed(lines.groupBy("doc_id", "page").applyInPandas(page, f"{_ddl(lines)}, _own array<int>, _columns int"))
+    votes = counted.select("doc_id", "page", "_columns").distinct().groupBy("doc_id").agg(F.mode("_columns").alias("columns"))
+    placed = counted.join(broadcast_if_small(votes, 1_000_000), "doc_id").withColumn("column", F.element_at("_own", F.col("columns"))).drop("_own", "_columns")
     return placed.withColumn("reading", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "column", "line")) - 1)
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
-from ..operators import store
-from ..operators.commit_log import Store
-from ..session import with_timestamp
+from ..operators import redact, store
+from ..operators.commit_log import Conflict, Store
+from ..session import checkpointed, with_timestamp
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files: int = 1000) -> DataFrame:
@@ -51,18 +49,39 @@ def ingest(files: DataFrame, parse: Callable[[DataFrame], DataFrame], sink: Call
     return files.writeStream.foreachBatch(lambda rows, n: sink(parse(rows), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def placeholders(originals: DataFrame, kind: str = "kind", original: str = "original") -> DataFrame:
-    """kind, original, placeholder for a stream: one state a kind gives numbers that never change.
+def placeholders(originals: DataFrame, path: str, checkpoint: str, kind: str = "kind", original: str = "original") -> StreamingQuery:
+    """Numbers that never change for a stream of (kind, original), in the store at path: table
+    `placeholders` (kind, original, number) and `counters` (kind, last).
 
-    State is the numbers of the originals seen; each batch's new ones are numbered by their text.
+    Each batch looks its originals up in the buckets they fall into, numbers the new ones of a kind
+    by their text after the kind's last number, and commits both tables with the batch's number. So
+    no state grows in memory, a batch that is run again changes nothing, and whoever commits in
+    between makes the batch look again: no number is given twice. Nulls are left out.
     """
+    schema = originals.schema
+    spark = originals.sparkSession
+    numbers = spark.createDataFrame([], f"kind {schema[kind].dataType.simpleString()}, original {schema[original].dataType.simpleString()}, number long").schema
+    counters = spark.createDataFrame([], f"kind {schema[kind].dataType.simpleString()}, last long").schema
+    at = Store.ensure(spark, path)
+    at.add_keyed("placeholders", numbers, ["kind", "original"])
+    at.add_keyed("counters", counters, ["kind"], depth=0)
 
-    def assign(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = dict(zip(*state.get, strict=True)) if state.exists else {}
-        new = sorted({v for b in batches for v in b[original] if v not in known})
-        for v in new:
-            known[v] = len(known) + 1
-        state.update((list(known), list(known.values())))
-        yield pd.DataFrame({kind: [key[0]] * len(new), original: new, "placeholder": [f"[{key[0]}{known[v]}]" for v in new]})
-
-    return originals.groupBy(kind).applyInPandasWithState(assign, f"{kind} string, {original} string, placeholder string", "seen array<string>, number array<int>", "append", "NoTimeout")
+    def batch(rows: DataFrame, number: int) -> None:
+        own = Store(rows.sparkSession, path)
+        seen = checkpointed(rows.select(F.col(kind).alias("kind"), F.col(original).alias("original")).dropna().distinct())
+        upsert = lambda keys: lambda old, new: store.upsert(old, new, keys)
+        for _ in range(20):
+            now = own.version().number
+            fresh = seen.join(own.read_near("placeholders", seen, now), ["kind", "original"], "left_anti")
+            last = own.read("counters", now)  # a row a kind
+            made = redact.numbered(fresh, "original", "kind").join(F.broadcast(last), "kind", "left")
+            made = checkpointed(made.select("kind", "original", (F.coalesce("last", F.lit(0)) + F.col("number")).alias("number")))
+            merges = {"placeholders": (made, upsert(["kind", "original"])), "counters": (made.groupBy("kind").agg(F.max("number").alias("last")), upsert(["kind"]))}
+            try:
+                own.commit(merges, txn=(checkpoint, number), after=now)
+                return
+            except Conflict:
+                continue
+        raise Conflict(f"others keep committing at {path}")
+
+    return originals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -34,15 +34,51 @@ def test_append_and_daily_counts(spark, tmp_path):
 
 
 def test_placeholders(spark, tmp_path):
-    src, check = f"file://{tmp_path}/in", f"file://{tmp_path}/check"
-    seen = []
-    spark.createDataFrame([("phone", "2"), ("phone", "1"), ("card", "1")], "kind string, original string").coalesce(1).write.parquet(src)
+    src, check, path = f"file://{tmp_path}/in", f"file://{tmp_path}/check", f"file://{tmp_path}/numbers"
+    schema = "kind string, original string"
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: jobs.placeholders(jobs.file_stream(spark, src, schema), path, check).awaitTermination()
+    seen = lambda: sorted((r.kind, r.original, r.number) for r in Store(spark, path).read("placeholders").collect())
+    add(("phone", "2"), ("phone", "1"), ("card", "1"), ("phone", "1"), (None, "1"), ("card", None))
+    run()
+    first = [("card", "1", 1), ("phone", "1", 1), ("phone", "2", 2)]
+    assert seen() == first
+    add(("phone", "0"), ("phone", "2"), *[("name", f"n{i:03d}") for i in range(300)])
+    run()  # a new query: a restart
+    want = sorted([*first, ("phone", "0", 3), *[("name", f"n{i:03d}", i + 1) for i in range(300)]])
+    assert seen() == want
+    run()
+    assert seen() == want
 
-    def run():
-        stream = jobs.placeholders(jobs.file_stream(spark, src, "kind string, original string"))
-        stream.writeStream.foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
 
+def test_placeholders_of_two_writers_are_numbered_once(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/numbers", "kind string, original string"
+    queries = []
+    for i in range(2):
+        src = f"file://{tmp_path}/in{i}"
+        spark.createDataFrame([("k", f"{i}-{j}") for j in range(20)] + [("k", f"both-{j}") for j in range(20)], schema).write.parquet(src)
+        queries.append(jobs.placeholders(jobs.file_stream(spark, src, schema), path, f"file://{tmp_path}/check{i}"))
+    for q in queries:
+        q.awaitTermination()
+    rows = Store(spark, path).read("placeholders").collect()
+    assert len(rows) == 60 and sorted(r.number for r in rows) == list(range(1, 61))
+
+
+def test_a_batch_of_placeholders_that_stops_is_run_again(spark, tmp_path, monkeypatch):
+    src, check, path = f"file://{tmp_path}/in", f"file://{tmp_path}/check", f"file://{tmp_path}/numbers"
+    spark.createDataFrame([("a", "x"), ("a", "y")], "kind string, original string").coalesce(1).write.parquet(src)
+    run = lambda: jobs.placeholders(jobs.file_stream(spark, src, "kind string, original string"), path, check).awaitTermination()
+    real = Store.commit
+    with monkeypatch.context() as patch:
+        def stops(self, *a, **b):
+            real(self, *a, **b)  # the numbers are committed, but the stream doesn't learn of it
+            raise RuntimeError("stopped")
+
+        patch.setattr(Store, "commit", stops)
+        try:
+            run()
+            raise AssertionError("should have stopped")
+        except Exception as e:  # noqa: BLE001
+            assert "stopped" in str(e)
     run()
-    spark.createDataFrame([("phone", "0"), ("phone", "2")], "kind string, original string").coalesce(1).write.mode("append").parquet(src)
-    run()
-    assert sorted(seen) == [("card", "1", "[card1]"), ("phone", "0", "[phone3]"), ("phone", "1", "[phone1]"), ("phone", "2", "[phone2]")]
+    assert sorted((r.original, r.number) for r in Store(spark, path).read("placeholders").collect()) == [("x", 1), ("y", 2)]
