@@ -103,16 +103,22 @@ def _single_forms() -> dict[str, str]:
 SINGLE = _single_forms()
 _SINGLE_ANY = re.compile("[" + re.escape("".join(SINGLE)) + "]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_AT = re.compile(r"[ \t]{0,2}[\[({<][ \t]{0,2}(?:at|@|arroba|chez)[ \t]{0,2}[\])}>][ \t]{0,2}|(?<=[A-Za-z0-9])[ \t]@[ \t](?=[A-Za-z0-9])|&#64;|&#x40;|%40", re.IGNORECASE)
-_DOT = re.compile(r"[ \t]{0,2}[\[({<][ \t]{0,2}(?:dot|\.|punto|point|punkt)[ \t]{0,2}[\])}>][ \t]{0,2}|&#46;", re.IGNORECASE)
-_BRACKETED = re.compile(r"[\[({<][ \t]{0,2}(?:at|@|arroba|chez|dot|\.|punto|point|punkt)[ \t]{0,2}[\])}>]")
-_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]dot[ ][A-Za-z0-9._%+-]{1,64}){0,3}(?:[ ]at[ ]|@)[A-Za-z0-9-]{1,63}(?:(?:[ ]dot[ ]|\.)[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
-_SAID_NUMBERS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]dot[ ][0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
-_SAID_PART = re.compile(r"[ ](at|dot)[ ]", re.IGNORECASE)
+_AT = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:at|@|arroba|chez)\s*+[\])}>]\s*+|(?<=[A-Za-z0-9])(?:\s++@\s*+|@\s++|_at_|\s*+-at-\s*+)(?=[A-Za-z0-9])|&#64;|&#x40;|%40", re.IGNORECASE)
+_DOT = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:dot|\.|punto|point|punkt)\s*+[\])}>]\s*+|&#46;", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\[({<]\s*+(?:at|@|arroba|chez|dot|\.|punto|point|punkt)\s*+[\])}>]")
+#: Words for the dot that stand without brackets; "point" and "chez" are ordinary words.
+_DOT_WORDS = ("dot", "punto", "punkt")
+#: The end of an address as it is said: the sign, and labels with their dots.
+_SAID_HOST = re.compile(rf"(?<!\s)(?:\s++(?:at|arroba)\s++|\s*+@\s*+)[A-Za-z0-9-]++(?:(?:\s++(?:{'|'.join(_DOT_WORDS)})\s++|\s++\.\s++|\.)[A-Za-z0-9-]++)++", re.IGNORECASE)
+_SAID_NUMBERS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s++dot\s++[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+_SAID_PART = re.compile(rf"(?<!\s)\s++(at|arroba|@|{'|'.join(_DOT_WORDS)}|\.)\s++", re.IGNORECASE)
+_SAID_SIGN = re.compile(rf"\s(?:at|arroba|@|{'|'.join(_DOT_WORDS)})\s")
+#: Single characters with a blank between, an at sign among them.
+_APART = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-] )++@(?: [A-Za-z0-9.-](?![A-Za-z0-9]))++")
 _SPOKEN = "|".join(sorted((*DIGIT_WORDS, *SIGN_WORDS), key=len, reverse=True))
 _DIGIT_SPOKEN = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_RUN = re.compile(rf"(?<!\w)(?:(?:{_SPOKEN}|[0-9]{{1,4}})(?!\w)[ ,-]{{0,2}}){{4,}}", re.IGNORECASE)
-_RUN_WORD = re.compile(rf"(?<!\w)(?:{_SPOKEN}|[0-9]{{1,4}})(?!\w)", re.IGNORECASE)
+_RUN = re.compile(rf"(?<!\w)(?:(?:{_SPOKEN}|[0-9]++)(?!\w)[\s,-]*+){{4,}}", re.IGNORECASE)
+_RUN_WORD = re.compile(rf"(?<!\w)(?:{_SPOKEN}|[0-9]++)(?!\w)", re.IGNORECASE)
 # Cheap signs, on lower-cased text, that a transducer may apply.
 _ANY_DIGIT = re.compile(rf"(?<!\w)(?:{_DIGIT_SPOKEN})(?!\w)")
 _FAR_SCRIPTS = re.compile("[\u0370-\u1fff\u2460-\U0010ffff]")
@@ -176,12 +182,43 @@ def _signs(x: Aligned) -> list[tuple[int, int, str]]:
     return sorted([(m.start(), m.end(), "@") for m in _AT.finditer(x.text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
 
 
+def _local_start(text: str, end: int, floor: int) -> int:
+    """Where the local part that ends at `end` begins, its said dots included."""
+    start = end
+    while True:
+        at = start if start == end else end
+        while at > floor and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == end:
+            return start
+        start = word_end = at
+        while word_end > floor and text[word_end - 1].isspace():
+            word_end -= 1
+        word = word_end
+        while word > floor and text[word - 1].isalpha():
+            word -= 1
+        end = word
+        while end > floor and text[end - 1].isspace():
+            end -= 1
+        if word_end == start or end == word or text[word:word_end].lower() not in _DOT_WORDS:
+            return start
+
+
 def _said(x: Aligned) -> list[tuple[int, int, str]]:
-    found = [m for pattern in (_SAID, _SAID_NUMBERS) for m in pattern.finditer(x.text) if " " in m[0]]
-    edits = {(m.start() + p.start(), m.start() + p.end(), "@" if p[1].lower() == "at" else ".") for m in found for p in _SAID_PART.finditer(m[0])}
+    spans, floor = [m.span() for m in _SAID_NUMBERS.finditer(x.text)], 0
+    for m in _SAID_HOST.finditer(x.text):
+        start = _local_start(x.text, m.start(), floor)
+        if start < m.start():
+            spans.append((start, m.end()))
+        floor = m.end()
+    edits = {(a + p.start(), a + p.end(), "@" if p[1].lower() in ("at", "arroba", "@") else ".") for a, b in spans for p in _SAID_PART.finditer(x.text[a:b])}
     return sorted(edits)
 
 
+def _apart(x: Aligned) -> list[tuple[int, int, str]]:
+    return [(i, i + 1, "") for m in _APART.finditer(x.text) for i in range(m.start(), m.end()) if x.text[i] == " "]
+
+
 def _spelled(x: Aligned) -> list[tuple[int, int, str]]:
     out = []
     for m in _RUN.finditer(x.text):
@@ -194,16 +231,20 @@ def _spelled(x: Aligned) -> list[tuple[int, int, str]]:
     return out
 
 
-def _has_signs(low: str) -> bool:
-    return " @ " in low or "&#" in low or "%40" in low or any(c in low and _BRACKETED.search(low) for c in "[({<")
+_AT_SIGN = re.compile(r"\s@|@\s|[_-]at[_-]")
+
+
+def _has_signs(low: str) -> object:
+    return _AT_SIGN.search(low) or "&#" in low or "%40" in low or any(c in low and _BRACKETED.search(low) for c in "[({<")
 
 
 #: (whether a transducer may apply to a lower-cased text, the transducer), in their order.
 TRANSDUCERS: tuple[tuple[Callable[[str], object], Callable[[Aligned], list]], ...] = (
     (lambda low: not low.isascii() and _INVISIBLE.search(low), _invisible),
     (lambda low: not low.isascii() and _FAR_SCRIPTS.search(low), _single),
+    (lambda low: " @ " in low, _apart),
+    (_SAID_SIGN.search, _said),
     (_has_signs, _signs),
-    (lambda low: " at " in low or " dot " in low, _said),
     (_ANY_DIGIT.search, _spelled),
 )
 

@@ -3,8 +3,13 @@
 Base detectors find assignments, access keys and long hexadecimal runs. Besides, parts that
 prove nothing alone are gathered: access identifiers, secret-like strings and endpoints. Each
 has its scope: the block of text between blank lines, and in it REACH characters on either side.
-An interval join links a secret-like string with the identifiers and endpoints whose scopes
-reach it; only where a secret has both or a base finding beside it is the weak candidate told.
+An interval join links a secret-like string with the identifiers, endpoints and base findings whose
+scopes reach it. The weak candidate is told where complementary parts co-occur:
+
+* one of three classes of letters and 3.5 bits a letter next to an identifier, or to an endpoint
+  and a base finding; an endpoint alone tells nothing, since links stand next to such strings;
+* any other (`faint`: one class of letters is enough, 2.8 bits, 16 letters without a sign between)
+  next to two kinds of parts, and not where it is part of an identifier or endpoint itself.
 
 Every pair of a told secret and a partner in its scope is a link, and both become spans; spans that
 overlap the other part are passed over. Parts have a length, so a scope holds so many at most, and
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from . import _io as io
 
 BASE = ("assign", "access", "hex")
-WEAK = ("identifier", "weak", "endpoint")
+WEAK = ("identifier", "weak", "faint", "endpoint")
 KINDS = BASE + WEAK
 #: Characters on either side within which parts complement each other.
 REACH = 240
@@ -41,10 +46,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-_IDENTIFIER = re.compile(r"\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account|key_?id)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9._@-]{4,}+)|\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account|key_?id)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9._@-]++)|\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}", re.IGNORECASE)
 _ID_HINT = re.compile(r"access_?key|client_?id|user|login|account|key_?id|asia|aida|aroa", re.IGNORECASE)
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"\b(?:https?|wss?|amqps?|postgres(?:ql)?|mysql|redis|mongodb|s3)://[^\s\"'<>]{3,}+|\b(?:host|endpoint|url|server)[\"']?[ ]{0,4}[:=][ ]{0,4}[\"']?([A-Za-z0-9.-]{4,}+(?::[0-9]{2,5})?)", re.IGNORECASE)
+_ENDPOINT = re.compile(r"\b(?:https?|wss?|amqps?|postgres(?:ql)?|mysql|redis|mongodb|s3)://[^\s\"'<>]{3,}+|\b(?:host|endpoint|url|server)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9.-]{4,}+(?::[0-9]{2,5})?)", re.IGNORECASE)
+
+
+_BREAK = re.compile(r"\n[ \t]*\r?\n")
 
 
 def detect(text: str) -> list[Span]:
@@ -63,14 +71,18 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
-def _secret_like(s: str) -> bool:
-    classes = sum(bool(re.search(p, s)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    return classes == 3 and entropy(s) >= 3.5
+def _likeness(s: str) -> str | None:
+    """'weak' of a string of three classes of letters and 3.5 bits a letter; 'faint' of any other that
+    isn't words or a path put together: 2.8 bits, and most of it one run without signs between."""
+    bits = entropy(s)
+    if bits >= 3.5 and all(re.search(p, s) for p in ("[a-z]", "[A-Z]", "[0-9]")):
+        return "weak"
+    return "faint" if bits >= 2.8 and max(map(len, re.split("[/_-]", s))) >= 16 else None
 
 
 def parts(text: str) -> list[Span]:
     """Weak parts by start; empty unless both a secret-like string and a partner can be there."""
-    out: list[Span] = [("weak", m.start(), m.end()) for m in _WEAK.finditer(text) if _secret_like(m[0])]
+    out: list[Span] = [(kind, m.start(), m.end()) for m in _WEAK.finditer(text) if (kind := _likeness(m[0]))]
     if not out:
         return []
     if _ID_HINT.search(text):
@@ -104,15 +116,19 @@ def linked(text: str, base: list[Span]) -> list[tuple[Span, Span]]:
     found = parts(text)
     if not found:
         return []
-    breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+    breaks = [m.start() for m in _BREAK.finditer(text)]
     partners = {k: [s for s in found if s[0] == k] for k in ("identifier", "endpoint")} | {"base": base}
     side = {k: _Side(v) for k, v in partners.items()}
     out: list[tuple[Span, Span]] = []
-    for secret in (s for s in found if s[0] == "weak"):
+    for secret in (s for s in found if s[0] in ("weak", "faint")):
         if side["base"].overlaps(secret):
             continue  # told already
         near = {k: n for k, x in side.items() if (n := x.near(secret, breaks))}
-        if "identifier" in near or {"endpoint", "base"} <= near.keys():
+        if secret[0] == "faint":
+            told = len(near) >= 2 and not side["identifier"].overlaps(secret) and not side["endpoint"].overlaps(secret)
+        else:
+            told = "identifier" in near or {"endpoint", "base"} <= near.keys()
+        if told:
             out += [(secret, s) for spans in near.values() for s in spans]
     return sorted(out, key=lambda link: (link[0][1], link[1][1], KINDS.index(link[1][0])))
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -14,6 +16,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+@pytest.fixture(scope="module")
+def prose(spark):
+    return [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").select("text").limit(150).collect()]
+
+
 def base(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in EMAIL.finditer(text)]
@@ -73,6 +80,55 @@ def test_disguises_do_not_depend_on_the_rest(text, found, rest):
     assert found in [(k, text[a:b]) for k, a, b in pii.find(text)[1]]
 
 
+NAMES, HOSTS, ENDS = ("anna", "bob.k", "j-smith", "info7", "maria", "x" * 70), ("mail", "example", "post", "a1"), ("com", "org", "net", "de")
+FORMS = {
+    "brackets": "{0} [at] {1} [dot] {2}", "parentheses": "{0} (at) {1} (dot) {2}", "said": "{0} at {1} dot {2}", "under": "{0}_at_{1}.{2}", "hyphens": "{0} -at- {1}.{2}", "blanks": "{0}  at  {1}  dot  {2}",
+    "break": "{0} at\n{1} dot {2}", "arroba": "{0} arroba {1} punto {2}", "spaced": "{0} @ {1} . {2}", "apart": None, "wide": None, "many dots": "anna dot maria dot rosa dot de dot {0} at {1} dot example dot {2}",
+    "entities": "{0}&#64;{1}&#46;{2}", "nobreak": "{0} @{1}.{2}",
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_recall_by_form(prose, form):
+    """Addresses of mail in each disguise, planted into ordinary documents."""
+    rng = random.Random(len(form))
+    found = 0
+    for text in prose:
+        parts = rng.choice(NAMES), rng.choice(HOSTS), rng.choice(ENDS)
+        if form == "under":
+            parts = parts[0].replace("x" * 70, "y"), *parts[1:]
+        shown = FORMS[form].format(*parts) if FORMS[form] else " ".join("anna@mail.com") if form == "apart" else "".join(chr(ord(c) + 0xFEE0) for c in "anna@mail.com")
+        at = rng.choice([0, *[m.end() for m in re.finditer(r"[.\n] ", text)]])
+        planted = f"{text[:at]}Write to: {shown}, {text[at:]}"
+        found += ("email", shown) in {(k, planted[a:b]) for k, a, b in pii.find(planted)[1]}
+    assert found >= 0.9 * len(prose)
+
+
+@pytest.mark.parametrize("between", [" ", "-", ", ", "\n", "  "])
+def test_recall_of_spelled_numbers(prose, between):
+    words = "zero one two three four five six seven eight nine".split()
+    found = 0
+    for i, text in enumerate(prose):
+        card = f"453914880343{i:03d}"
+        card += next(d for d in "0123456789" if pii.luhn(card + d))
+        shown = between.join(words[int(c)] for c in card)
+        planted = f"{text}\nCard: {shown}."
+        found += ("card", shown) in {(k, planted[a:b]) for k, a, b in pii.find(planted)[1]}
+    assert found >= 0.9 * len(prose)
+    assert ("phone", "plus 12345 six seven eight nine") in {(k, t) for k, t in [(k, "call plus 12345 six seven eight nine"[a:b]) for k, a, b in pii.find("call plus 12345 six seven eight nine")[1]]}
+
+
+def test_ordinary_documents_have_nothing_added(prose):
+    assert sum(bool(pii.find(text)[1]) for text in prose) <= 0.01 * len(prose)
+
+
+def test_long_chains_take_linear_time():
+    began = time.perf_counter()
+    for text in ("a  dot  " * 60_000, "a at " * 60_000, "a @ " * 60_000, "one " * 60_000, " " * 200_000 + "@", "a " * 100_000 + "@", "a.b " * 60_000):
+        pii.find(text)
+    assert time.perf_counter() - began < 30
+
+
 def test_prose_has_no_added_spans():
     assert pii.find("One of the two met at noon. No one, two or three at a time dot. Un deux trois, 4 at 5.")[1] == []
 

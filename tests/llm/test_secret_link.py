@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,6 +13,11 @@ from corpusloom.llm import secret_link as sl
 ASSIGN = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
+@pytest.fixture(scope="module")
+def prose(spark):
+    return [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").select("text").limit(150).collect()]
+
+
 def base(text):
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
@@ -76,8 +83,6 @@ def test_links_are_all_pairs_in_scope(text):
 
 def test_planted_credentials_are_found(spark):
     """Recall of credentials whose parts are planted into ordinary documents."""
-    import random
-
     rng = random.Random(2)
     letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
     ids = ("client_id={}", "access_key_id: {}", "user = {}", "login: {}", "Account = '{}'")
@@ -97,6 +102,40 @@ def test_planted_credentials_are_found(spark):
     assert found >= 0.95 * clean and told <= 0.02 * clean
 
 
+ALPHABETS = {
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "small": "abcdefghijklmnopqrstuvwxyz", "hex": "0123456789ABCDEF", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+@pytest.mark.parametrize("n", [20, 32, 40])
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_recall_of_keys_drawn_without_help(prose, alphabet, n):
+    """Keys as they come, beside an identifier and a host, in ordinary documents."""
+    rng = random.Random(n)
+    found = 0
+    for text in prose:
+        key = "".join(rng.choices(ALPHABETS[alphabet], k=n))
+        lines = [f"client_id={''.join(rng.choices(ALPHABETS['lower'], k=8))}", f"value {key}", "host=db1.example.com"]
+        rng.shuffle(lines)
+        at = rng.choice([0, len(text), *[m.end() for m in re.finditer(r"[.\n] ", text)]])
+        between = rng.choice(["\n\n", "\r\n\r\n"])
+        planted = text[:at] + between + "\n".join(lines) + between + text[at:]
+        found += any(planted[a:b] == key for _, a, b in sl.find(planted)[1] + sl.detect(planted))
+    assert found >= 0.9 * len(prose)
+
+
+def test_ordinary_documents_and_slugs_have_no_links(prose):
+    assert sum(bool(sl.find(text)[1]) for text in prose) <= 0.02 * len(prose)
+    assert sl.find("user: anna\nhost: www.example.com\nsee /some/long/path-of-many-words/that-goes_on and thisisaverylongword")[1] == []
+    assert sl.find("login: internationalizationalist host: internationalizationalist.example.com")[1] == []
+
+
+def test_blank_lines_and_short_identifiers():
+    assert sl.find(f"user = somebody\r\n\r\n{KEY}")[1] == []
+    assert {k for k, *_ in sl.find(f"user={' ' * 9}bo\n{KEY}")[1]} == {"identifier", "weak"}
+
+
 def test_query_digests(spark):
     texts = dict(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
     for r in q.op4_linked_secrets(spark, "/root/testdata/sf0.001").collect():
