@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_space, snippet
@@ -140,21 +140,55 @@ def annotated(docs: DataFrame, risks: DataFrame, key: str, text: str = "text") -
     return out.select(key, F.array_join(whole, "\n").alias("annotated"), (F.size("_under") - F.size("_lines")).alias("n_placed"), F.size("_lost").alias("n_unplaced"))
 
 
-def report(risks: DataFrame, keys: list[str], file: str) -> DataFrame:
-    """keys, report: a Markdown report of each group's risks, by file and rule."""
-    lines = F.concat(
+def _entry() -> Column:
+    return F.concat(
         F.lit("### ["), "risk_level", F.lit("] "), F.coalesce("dimension", F.lit("")), F.lit(" — "), "rule_id", F.lit("\n- 说明："), F.coalesce("risk_desc", F.lit("")),
         F.lit("\n- 建议："), F.coalesce("suggestion", F.lit("")), F.lit("\n- 原文片段："), F.col("snippet"), F.lit("\n"),
     )
+
+
+_TITLE = "# 合同审查报告\n\n- 合同："
+
+
+def _totals() -> Column:
+    count = lambda c: F.col(c).cast("string")
+    return F.concat(F.lit("\n- 风险总数："), count("total"), F.lit("（高 "), count("high"), F.lit(" / 中 "), count("medium"), F.lit(" / 低 "), count("low"), F.lit("）\n\n## 风险清单\n\n"))
+
+
+def report(risks: DataFrame, keys: list[str], file: str) -> DataFrame:
+    """keys, report: a Markdown report of each group's risks, by file and rule, as one text; groups of
+    any size are for `report_pieces`."""
     one = counts(risks, keys)
     parts = risks.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(file).cast("string").alias("f"), F.col("rule_id").alias("r"), lines.alias("t")))), lambda x: x["t"]), "\n").alias("_body"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(file).cast("string").alias("f"), F.col("rule_id").alias("r"), _entry().alias("t")))), lambda x: x["t"]), "\n").alias("_body"),
         F.array_join(F.array_sort(F.collect_set(F.col(file).cast("string"))), ", ").alias("_files"),
     )
-    both = one.join(parts, keys)
-    count = lambda c: F.col(c).cast("string")
-    head = F.concat(F.lit("# 合同审查报告\n\n- 合同："), "_files", F.lit("\n- 风险总数："), count("total"), F.lit("（高 "), count("high"), F.lit(" / 中 "), count("medium"), F.lit(" / 低 "), count("low"), F.lit("）\n\n## 风险清单\n\n"))
-    return both.select(*keys, F.concat(head, "_body").alias("report"))
+    return one.join(parts, keys).select(*keys, F.concat(F.lit(_TITLE), "_files", _totals(), "_body").alias("report"))
+
+
+def report_pieces(risks: DataFrame, keys: list[str], file: str) -> DataFrame:
+    """keys, part, file, rule_id, place, piece: the pieces of each group's report, which put together in
+    the order of (part, file, rule_id, place) are the text of `report`. No row grows with its group, so a
+    group is as many rows as it has risks and files; `write_reports` puts them into files."""
+    rows = risks.select(*keys, F.col(file).cast("string").alias("file"), "rule_id", "risk_level", _entry().alias("piece"))
+    one = counts(rows, keys).join(rows.groupBy(*keys).agg(F.min(F.struct("file", "rule_id")).alias("_least")), keys)
+    none = F.lit(None).cast("string")
+    head = one.select(*keys, F.lit(0).alias("part"), none.alias("file"), none.alias("rule_id"), F.lit(_TITLE).alias("piece"))
+    totals = one.select(*keys, F.lit(2).alias("part"), none.alias("file"), none.alias("rule_id"), _totals().alias("piece"))
+    least = one.select(*keys, "_least")
+    files = rows.select(*keys, "file").distinct().join(least, keys)
+    files = files.select(*keys, F.lit(1).alias("part"), "file", none.alias("rule_id"), F.concat(F.when(F.col("file").eqNullSafe(F.col("_least.file")), F.lit("")).otherwise(F.lit(", ")), "file").alias("piece"))
+    first = (F.col("place") == 1) & F.col("file").eqNullSafe(F.col("_least.file")) & F.col("rule_id").eqNullSafe(F.col("_least.rule_id"))
+    body = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "file", "rule_id").orderBy("piece"))).join(least, keys)
+    body = body.select(*keys, F.lit(3).alias("part"), "file", "rule_id", F.concat(F.when(first, F.lit("")).otherwise(F.lit("\n")), "piece").alias("piece"), "place")
+    return head.union(files).union(totals).withColumn("place", F.lit(1)).unionByName(body)
+
+
+def write_reports(pieces: DataFrame, keys: list[str], path: str) -> None:
+    """Pieces below path, a folder for each group, in files whose names and rows are in the order of
+    the report; a large group has several."""
+    order = ["part", "file", "rule_id", "place"]
+    pieces.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).json(path)
 
 
 def version_class(name: Column, folder: Column | None = None) -> Column:

@@ -106,7 +106,32 @@ def redact_layers_planted(spark, d):
     return masked.select("doc_id", "part", F.when(F.col("part") == "planted", F.col("masked")).alias("masked"), "restored_sha1")
 
 
-QUERIES = {f.__name__: f for f in (scan_values, reversible_kinds, parsed_questions, article_snippets, parsed_filter, valid_ids, annotated_texts, lexicon_words, rule_lines, redact_layers_planted)}
+_SENTENCE = "原告：张伟，身份证 110101199003071234，电话 13800138000，邮箱 a.b@mail.example，北京星河有限公司 代码 91110000MA01ABCD2X，由李四承担"
+
+
+def pii_planted(spark, d):
+    """What the six categories find in a planted sentence behind a whole text, with its places in it,
+    and how a mask of placeholders shows it."""
+    docs = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    docs = docs.withColumn("text", F.concat("t", F.lit("\n" + _SENTENCE))).withColumn("id", F.struct("doc_id", F.length("t").alias("n")))
+    found = redact.scan_documents(docs, "id").select("id", F.explode("spans").alias("s")).where("s.start > id.n")
+    return found.select("id.doc_id", "s.category", "s.value", (F.col("s.start") - F.col("id.n")).cast("long").alias("place"))
+
+
+def mask_planted(spark, d):
+    """The sentence alone, masked by placeholders and given back, beside a number of the document's."""
+    text = F.concat(F.lit(_SENTENCE + "，编号"), F.col("doc_id").cast("string"))
+    docs = _docs(spark, d).where("doc_id is not null").select("doc_id", text.alias("text")).distinct()
+    masked = redact.mask_documents(docs.join(redact.scan_documents(docs), "doc_id"))
+    return masked.select("doc_id", "masked", F.sha1(redact.restore(F.col("masked"), F.col("entries"))).alias("restored_sha1"))
+
+
+def risk_report_pieces(spark, d):
+    risks = _risks(spark, d).join(_docs(spark, d).select("doc_id", F.col("source").alias("folder")), "doc_id").drop("source")
+    return rules.report_pieces(risks, ["folder"], "doc_id").select("folder", "part", "file", "rule_id", F.sha1("piece").alias("piece_sha1"))
+
+
+QUERIES = {f.__name__: f for f in (scan_values, reversible_kinds, parsed_questions, article_snippets, parsed_filter, valid_ids, annotated_texts, lexicon_words, rule_lines, redact_layers_planted, pii_planted, mask_planted, risk_report_pieces)}
 
 _EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 _PLANTED = "t AS (SELECT doc_id, coalesce(text, '') || ' ' || (doc_id * 7919 + 13000000000) || ' ' || lpad(doc_id::VARCHAR, 17, '1') || 'X ' || substring('东西南北', (doc_id % 4 + 1)::INT, 1) || '河有限公司' t FROM documents)"
@@ -130,6 +155,16 @@ SQL = {
     "redact_layers_planted": """WITH p AS (SELECT doc_id, coalesce(text, '') t, '原告：张伟，被告：张三，电话 138' || lpad((doc_id % 100000000)::VARCHAR, 8, '0') || '，支付' || (doc_id % 1000 + 1) || '万元，每期 5元/月，利率 3.5%，邮箱 a' || lpad((doc_id % 100000000)::VARCHAR, 8, '0') || '@mail.example，依照第十条第二款' p FROM documents)
       SELECT doc_id, 'planted' part, '原告：{{PARTY_甲方}}，被告：{{PARTY_甲方_2}}，电话 {{PHONE_1}}，支付{{AMOUNT_1}}，每期 {{AMOUNT_PERIOD_1}}，利率 {{PERCENT_1}}，邮箱 {{EMAIL}}，依照第十条第二款' masked, sha1(p) restored_sha1 FROM p
       UNION ALL SELECT doc_id, 'whole', NULL, sha1(t || chr(10) || p) FROM p""",
+    "pii_planted": f"""WITH v AS (FROM (VALUES ('person_name', '张伟', 0), ('id_card', '110101199003071234', 0), ('phone', '13800138000', 0), ('email', 'a.b@mail.example', 0), ('company_name', '北京星河有限公司', 0), ('credit_code', '91110000MA01ABCD2X', 0), ('person_name', '李四', 0)) t(category, value, x))
+      SELECT doc_id, category, value, instr('{_SENTENCE}', value) place FROM documents, v""",
+    "mask_planted": f"""SELECT DISTINCT doc_id, '原告：{{{{PERSON_2}}}}，身份证 {{{{ID_CARD_1}}}}，电话 {{{{PHONE_1}}}}，邮箱 {{{{EMAIL_1}}}}，{{{{COMPANY_1}}}} 代码 {{{{CREDIT_CODE_1}}}}，由{{{{PERSON_1}}}}承担，编号' || doc_id masked, sha1('{_SENTENCE}，编号' || doc_id) restored_sha1 FROM documents WHERE doc_id IS NOT NULL""",
+    "risk_report_pieces": f"""WITH {documents._RULES}, e AS (SELECT source folder, doc_id::VARCHAR file, rule_id, risk_level, '### [' || risk_level || '] ' || dimension || ' — ' || rule_id || chr(10) || '- 说明：' || risk_desc || chr(10) || '- 建议：' || tip || chr(10) || '- 原文片段：' || snippet || chr(10) piece FROM risks WHERE source IS NOT NULL),
+      g AS (SELECT folder, count(*) t, count(*) FILTER (risk_level = 'high') h, count(*) FILTER (risk_level = 'medium') m, count(*) FILTER (risk_level = 'low') l FROM e GROUP BY folder),
+      p AS (SELECT folder, 0 part, NULL file, NULL rule_id, '# 合同审查报告' || chr(10) || chr(10) || '- 合同：' piece FROM g
+        UNION ALL SELECT folder, 1, file, NULL, CASE WHEN row_number() OVER (PARTITION BY folder ORDER BY file) > 1 THEN ', ' ELSE '' END || file FROM (SELECT DISTINCT folder, file FROM e)
+        UNION ALL SELECT folder, 2, NULL, NULL, chr(10) || '- 风险总数：' || t || '（高 ' || h || ' / 中 ' || m || ' / 低 ' || l || '）' || chr(10) || chr(10) || '## 风险清单' || chr(10) || chr(10) FROM g
+        UNION ALL SELECT folder, 3, file, rule_id, CASE WHEN row_number() OVER (PARTITION BY folder ORDER BY file, rule_id) > 1 THEN chr(10) ELSE '' END || piece FROM e)
+      SELECT folder, part, file, rule_id, sha1(piece) piece_sha1 FROM p""",
     "parsed_filter": "SELECT doc_id FROM documents WHERE source IN ('src1', 'src3') AND lang IN ('en', 'de')",
     "valid_ids": "SELECT doc_id, doc_id % 3 = 0 AND text IS NOT NULL valid FROM documents",
     "lexicon_words": """SELECT 'w' || doc_id word, CASE WHEN doc_id % 5 = 3 THEN n_chars::INT ELSE 10000 END freq, CASE WHEN doc_id % 5 = 4 THEN lang ELSE 'n' END tag FROM documents WHERE doc_id % 5 >= 2""",

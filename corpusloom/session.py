@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,11 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Is there one machine alone? `local-cluster` has executors with folders of their own."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 _own_folder: list[str] = []
 
 
@@ -54,7 +60,7 @@ def work_folder(spark: SparkSession) -> str:
     of this process only in local mode where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))

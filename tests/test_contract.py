@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 from corpusloom import plans
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations sales sale_lines items vendors clients".split()
 
 
 @pytest.fixture(scope="module")

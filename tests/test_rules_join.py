@@ -46,3 +46,20 @@ def test_a_hundred_thousand_rules(spark, monkeypatch, broadcast):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     table = spark.createDataFrame(rows, RULES)
     assert _rows(rules.scan(df, table, "doc_id")) == _brute(docs, rows)  # more than an expression takes: joined
+
+
+def test_pieces_are_the_report(spark, tmp_path):
+    row = lambda folder, file, rule, level, text: (folder, file, rule, level, None, "why", None, text)
+    rows = [row("a", 2, "r1", "high", "x"), row("a", 10, "r2", "low", "y"), row("a", 10, "r1", "medium", "z\nz"), row("b", 1, "r1", "low", ""), row("a", 10, "r1", "medium", "z\nz")]
+    risks = spark.createDataFrame(rows, "folder string, doc_id long, rule_id string, risk_level string, dimension string, risk_desc string, suggestion string, snippet string")
+    want = {r.folder: r.report for r in rules.report(risks, ["folder"], "doc_id").collect()}
+    pieces = rules.report_pieces(risks, ["folder"], "doc_id")
+    text = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.part, r.file or "", r.rule_id or "", r.place)):
+        text[r.folder] = text.get(r.folder, "") + r.piece
+    assert text == want
+    rules.write_reports(pieces, ["folder"], f"file://{tmp_path}/reports")
+    for folder, whole in want.items():
+        read = spark.read.json(f"file://{tmp_path}/reports/folder={folder}").collect()
+        assert sorted(r.piece for r in read) == sorted(r.piece for r in pieces.where(f"folder = '{folder}'").collect()) and sum(len(r.piece) for r in read) == len(whole)
+    assert rules.report_pieces(risks.limit(0), ["folder"], "doc_id").count() == 0
