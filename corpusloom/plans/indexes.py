@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, rules, segment
+from ..operators import bm25, chunking, ingest, rules, segment, store
 from ..operators.commit_log import Store
 from ..operators.grouped import GroupedIndex
 from ..operators.inverted import SearchIndex
 from ..operators.vector_index import VectorIndex
 from ..session import table, work_folder
-from ..sources import office
+from ..sources import files, office
 from . import search as plain
 
 
@@ -92,7 +92,48 @@ def column_reading(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "line", F.col("columns").cast("long").alias("n_columns"), F.col("column").cast("long").alias("col"), F.col("reading").cast("long").alias("reading"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact, vector_index_topk, vector_index_recall, rule_join, hierarchical_index, lattice_tokens, column_reading)}
+def _text_files(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each source: its texts, a line each, breaks within them as blanks."""
+    path = work_folder(spark)
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]", " ")
+    rows = plain._docs(spark, d).where("source is not null and doc_id is not null").select("source", "doc_id", line.alias("line"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "line").write.partitionBy("source").text(path)
+    return path
+
+
+def scanned_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a folder with their identities and sizes."""
+    found = files.scan_folder(spark, _text_files(spark, d), ["txt"])
+    return found.select(F.regexp_extract("relpath", "source=([^/]*)/", 1).alias("source"), "content_hash", F.col("size").cast("long").alias("n_bytes"))
+
+
+def file_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files through the parser of their extension."""
+    texts = files.whole_texts(spark, f"{_text_files(spark, d)}/*").select(F.col("path").alias("relpath"), F.col("path").alias("doc_id"), "text")
+    blocks = files.by_extension(texts, {"txt": lambda t: files.paragraph_blocks(t, "doc_id")})
+    return blocks.select(F.regexp_extract("doc_id", "source=([^/]*)/", 1).alias("source"), "type", F.sha1("content").alias("content_sha1"))
+
+
+def newest_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type")
+    return store.newest(rows, 500, "ts", "event_id").select("event_id", "event_type")
+
+
+def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    docs = plain._docs(spark, d)
+    return ingest.lookup(docs, (F.col("lang") == "en") & (F.col("n_chars") > 1000), "doc_id").select("doc_id", F.sha1("text").alias("text_sha1"))
+
+
+def article_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Articles named by whole texts with planted ones, each once, in Arabic figures."""
+    n = F.col("doc_id") % 90 + 10
+    whole = F.concat(F.lit("依照第十二条、第"), n.cast("string"), F.lit("条。"), F.coalesce("text", F.lit("")), F.lit("另见第三百零五条和第12条"))
+    rows = chunking.with_articles(plain._docs(spark, d).where("doc_id is not null").select("doc_id", whole.alias("t")), "t")
+    return rows.select("doc_id", F.array_join("articles", ",").alias("articles"), "article_no")
+
+
+QUERIES = {f.__name__: f for f in (bm25_index_search, bm25_index_terms, bm25_index_compact, vector_index_topk, vector_index_recall, rule_join, hierarchical_index, lattice_tokens, column_reading, scanned_folder, file_blocks, newest_rows, chunk_lookup, article_metadata)}
+_FILES = "f AS (SELECT source, string_agg(regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') || chr(10), '' ORDER BY doc_id) t FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source)"
 SQL = {
     "bm25_index_search": plain.SQL["bm25_search"],
     "bm25_index_terms": plain.SQL["bm25_fit"],
@@ -105,4 +146,9 @@ SQL = {
     "lattice_tokens": f"SELECT doc_id, len(t)::BIGINT n_tokens, sha1(array_to_string(t, '|')) tokens_sha1 FROM (SELECT doc_id, list_concat(regexp_extract_all(lower(coalesce(text, '')), '{plain.W}'), ['研究', '生命', '起源']) t FROM documents)",
     "column_reading": """WITH l AS (SELECT doc_id, unnest(range(12)) line FROM documents WHERE doc_id IS NOT NULL)
       SELECT doc_id, line, doc_id % 3 + 1 n_columns, line % (doc_id % 3 + 1) col, row_number() OVER (PARTITION BY doc_id ORDER BY line % (doc_id % 3 + 1), line) - 1 reading FROM l""",
+    "scanned_folder": f"WITH {_FILES} SELECT source, sha256(t) content_hash, strlen(t) n_bytes FROM f",
+    "file_blocks": f"WITH {_FILES} SELECT source, 'paragraph' AS type, sha1(t) content_sha1 FROM f",
+    "newest_rows": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
+    "chunk_lookup": "SELECT doc_id, sha1(text) text_sha1 FROM documents WHERE lang = 'en' AND n_chars > 1000 ORDER BY doc_id LIMIT 1",
+    "article_metadata": """SELECT doc_id, CASE WHEN doc_id % 90 + 10 = 12 THEN '12,305' ELSE '12,' || (doc_id % 90 + 10) || ',305' END articles, '12' article_no FROM documents WHERE doc_id IS NOT NULL""",
 }
