@@ -180,3 +180,17 @@ SQL = {
       tail AS (SELECT doc_id, chr(10) || chr(10) || '> # 未定位到原文段落的批注汇总' || chr(10) || string_agg(say, chr(10) ORDER BY rule_id) tail FROM lost GROUP BY doc_id)
       SELECT doc_id, sha1(body || coalesce(tail, '')) annotated_sha1 FROM body LEFT JOIN tail USING (doc_id)""",
 }
+
+#: Folds of the catalogue's other queries, told in SQL by reducing lists.
+SQL |= {
+    "greedy_packing": """WITH p AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: [x]) l FROM documents WHERE text IS NOT NULL),
+      r AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= 400 THEN list_append(list_slice(a, 1, -2), a[-1] || chr(10) || x[1]) ELSE list_concat(a, x) END) l FROM p)
+      SELECT doc_id, unnest(range(len(l)))::INT pos, unnest(l) piece FROM r""",
+    "span_resolve": """WITH n AS (SELECT doc_id, length(text) n FROM documents WHERE text IS NOT NULL),
+      s AS (SELECT doc_id, list_transform(range(CASE WHEN n <= 2800 THEN least(n, 400) ELSE n // 7 END + 1), lambda i: [{'a': i * 7, 'b': i * 7 + 1 + (i * i + doc_id) % 23}]) l FROM n),
+      r AS (SELECT doc_id, unnest(list_reduce(l, lambda k, x: CASE WHEN x[1].a >= k[-1].b THEN list_concat(k, x) ELSE k END)) s FROM s)
+      SELECT doc_id, s.a::INT "start", s.b::INT "end" FROM r""",
+    "split_suggestion": """WITH t AS (SELECT doc_id, replace(text, '. ', '。') t FROM documents), h AS (SELECT *, length(t) // 2 h FROM t),
+      f AS (SELECT doc_id, h, list_filter(list_transform(range(121), lambda d: CASE WHEN contains('。；;！？' || chr(10), substring(t, h + d, 1)) THEN h + d WHEN contains('。；;！？' || chr(10), substring(t, h - d, 1)) THEN h - d END), lambda x: x IS NOT NULL AND x > 0 AND x < length(t)) l FROM h)
+      SELECT doc_id, coalesce(l[1], h) + 1 cut FROM f""",
+}
