@@ -177,6 +177,15 @@ def mask_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     return _per_text(docs.withColumn("_new", new), key, [text, spans, "_new"], one, f"masked string, entries {_ENTRIES}")
 
 
+def placeholders(docs: DataFrame, key: str = "doc_id", text: str = "text", categories: Sequence[str] | None = None) -> DataFrame:
+    """key, masked, entries: texts scanned and masked by placeholders in one pass, a row each."""
+
+    def one(t: str | None) -> tuple:
+        return mask(t or "", scan(t, categories))
+
+    return _per_text(docs, key, [text], one, f"masked string, entries {_ENTRIES}")
+
+
 def resolve_spans(spans: Column) -> Column:
     """As resolve, for an array of structs with start and end; of equal starts the longest."""
     ordered = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("_r"), i.alias("_i"))))

@@ -163,13 +163,11 @@ def span_resolve(spark, d):
 
 
 def mask_placeholder(spark, d):
-    found = _docs(spark, d).join(redact.scan_documents(_docs(spark, d)), "doc_id")
-    return redact.mask_documents(found).select("doc_id", F.sha1("masked").alias("masked_sha1"), F.size("entries").alias("n_entries"))
+    return redact.placeholders(_docs(spark, d)).select("doc_id", F.sha1("masked").alias("masked_sha1"), F.size("entries").alias("n_entries"))
 
 
 def restore_roundtrip(spark, d):
-    found = _docs(spark, d).join(redact.scan_documents(_docs(spark, d)), "doc_id")
-    masked = redact.mask_documents(found)
+    masked = redact.placeholders(_docs(spark, d))
     left = F.rlike("masked", F.lit("[A-Za-z0-9]@[A-Za-z0-9-]+[.][A-Za-z0-9]"))
     return masked.select("doc_id", F.sha1(redact.restore(F.col("masked"), F.col("entries"))).alias("text_sha1"), left.alias("address_left"))
 

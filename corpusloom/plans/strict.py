@@ -122,7 +122,7 @@ def mask_planted(spark, d):
     """The sentence alone, masked by placeholders and given back, beside a number of the document's."""
     text = F.concat(F.lit(_SENTENCE + "，编号"), F.col("doc_id").cast("string"))
     docs = _docs(spark, d).where("doc_id is not null").select("doc_id", text.alias("text")).distinct()
-    masked = redact.mask_documents(docs.join(redact.scan_documents(docs), "doc_id"))
+    masked = redact.placeholders(docs)
     return masked.select("doc_id", "masked", F.sha1(redact.restore(F.col("masked"), F.col("entries"))).alias("restored_sha1"))
 
 
