@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import is_local
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; in local mode only, as in tests, a folder of this process."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not is_local(spark):
         raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="corpusloom-"))
