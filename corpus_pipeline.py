@@ -1,5 +1,8 @@
 """The corpus pipeline: five stages, each an operator over all that the one before kept.
 
+A doc_id names one document: rows that repeat one are its texts and stay or go together, so a
+document goes if one of its texts is toxic, a copy of a text of an earlier document, or contaminated.
+
 Every stage is a function (spark, docs, sf_dir) -> DataFrame. run() writes what a stage returns
 as Parquet into the shared folder and reads it again as the next one's docs.
 """
