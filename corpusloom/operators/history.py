@@ -32,12 +32,12 @@ def compressed(messages: DataFrame, session: str, order: str, role: str, text: s
     rows = rows.withColumn("_total", F.sum(token_estimate(F.col("text"))).over(Window.partitionBy(session)))
     over = F.col("_total") > max_tokens
     new = rows.where(~over | (F.col("_back") <= keep)).select(session, "_o", "role", "text")
-    # of the older ones no more is used than fills the summary
+    # of the older ones no more is used than fills the summary: the break before a line may be its last character
     old = rows.where(over & (F.col("_back") > keep))
     line = F.concat("role", F.lit(": "), F.substring("text", 1, each))
     ahead = Window.partitionBy(session).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
     old = old.withColumn("_line", line).withColumn("_used", F.coalesce(F.sum(F.length("_line") + 1).over(ahead), F.lit(0)))
-    some = old.groupBy(session).agg(F.array_sort(F.collect_list(F.when(F.col("_used") < most, F.struct("_o", "_line")))).alias("x"), F.count("*").alias("n"))
+    some = old.groupBy(session).agg(F.array_sort(F.collect_list(F.when(F.col("_used") <= most, F.struct("_o", "_line")))).alias("x"), F.count("*").alias("n"))
     body = F.substring(F.array_join(F.transform("x", lambda v: v["_line"]), "\n"), 1, most)
     summary = some.select(session, F.lit(None).cast(rows.schema["_o"].dataType).alias("_o"), F.lit("system").alias("role"), F.concat(F.lit("[历史摘要] 更早 "), F.col("n").cast("string"), F.lit(" 条消息已压缩："), body, F.lit("...")).alias("text"))
     w = Window.partitionBy(session).orderBy(F.asc_nulls_first("_o"))

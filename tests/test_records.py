@@ -54,6 +54,15 @@ def test_history(spark):
     assert len(short) == 6 and short[0].role == "system" and "16" in short[0].text and len(short[0].text) < 2050
 
 
+def test_a_summary_may_end_with_the_break_before_a_line(spark):
+    texts = ["a" * 7, "b" * 7, "c" * 7, "d" * 7, "e"]
+    rows = spark.createDataFrame([("s", i, "r", t) for i, t in enumerate(texts)], "s string, id int, role string, text string")
+    said = "\n".join(f"r: {t}" for t in texts[:-1])
+    for most in range(1, len(said) + 3):  # 11 characters a line with its break
+        got = history.compressed(rows, "s", "id", "role", "text", max_tokens=1, keep=1, most=most).orderBy("place").first().text
+        assert got == f"[历史摘要] 更早 4 条消息已压缩：{said[:most]}..."
+
+
 def test_highlights(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 3, 4), (1, 5, 7), (1, 9, 10), (2, 1, 2)], "d int, start int, end int")
     assert sorted(tuple(r) for r in history.merged_ranges(df, ["d"]).collect()) == [(1, 0, 7), (1, 9, 10), (2, 1, 2)]
