@@ -45,6 +45,58 @@ def test_bm25(spark, docs, tmp_path):
     assert [(r.token, r.is_oov, r.freq) for r in diag] == [("c", False, 2), ("c", False, 2), ("zzz", True, 1)]
 
 
+def _copies(spark, n=3000):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(40)]
+    # many copies of few texts: ties that the key decides, far beyond k
+    docs = spark.createDataFrame([(i * 7919 % n, rng.choice(texts) if i % 3 else texts[0]) for i in range(n)] + [(n, None), (n + 1, "")], "doc_id long, text string")
+    asked = [(i, " ".join(rng.choices([*words, "unknown"], k=6))) for i in range(25)]
+    return docs, spark.createDataFrame([*asked, (None, "w1 w2"), (99, ""), (98, None)], "query_id long, text string")
+
+
+@pytest.mark.parametrize("classic", [False, True])
+def test_best_of_each_task_are_the_best_of_all(spark, monkeypatch, classic):
+    docs, asked = _copies(spark)
+    monkeypatch.setattr(bm25, "_CELLS", 512)
+    monkeypatch.setattr(bm25, "TASK_CHARS", 20_000)
+    got = sorted(map(tuple, bm25.search(docs, asked, 7, classic=classic).collect()), key=str)
+    plain = sorted(map(tuple, bm25.ranked(bm25.scores(docs, asked, classic=classic), 7, "query_id", "doc_id").collect()), key=str)
+    assert got == plain and len(got) >= 25 * 7
+    assert bm25.search(docs, asked.limit(0), 7).count() == 0 and bm25.search(docs.limit(0), asked, 7).count() == 0
+    monkeypatch.setattr(bm25, "MAX_QUERY_ROWS", 10)
+    assert sorted(map(tuple, bm25.search(docs, asked, 7, classic=classic).collect()), key=str) == plain
+
+
+def test_scores_that_round_to_one(spark):
+    """Keys decide among scores that are equal only when rounded, wherever these lie in the order."""
+    import pyarrow as pa
+
+    rows = pa.table({"q": [0] * 5, "key": [5, 4, 3, 2, 1], "score": [0.5000004, 0.5000003, 0.5000002, 0.5000001, 0.4]})
+    kept, q, score = bm25._best(rows, 1)
+    assert sorted(kept.column("key").to_pylist()) == [2, 3, 4, 5] and list(q) == [0] and list(score) == [0.5000004]
+
+
+def test_terms_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    docs, asked = _copies(spark)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(bm25, "TASK_CHARS", 10_000)
+    assert bm25.fit(docs).postings.rdd.getNumPartitions() == -(-chars // 10_000) > 10
+    monkeypatch.setattr(bm25, "TASK_PAIRS", 1_000)
+    # 3,002 documents and 26 questions that ask for something
+    assert bm25.scores(docs, asked).rdd.getNumPartitions() >= 3_002 * 26 // 1_000
+
+
+def test_scores_within_values_of_a_column(spark):
+    docs, asked = _copies(spark)
+    docs = docs.withColumn("part", F.when(F.col("doc_id") % 4 != 3, F.col("doc_id") % 4))
+    within = spark.createDataFrame([(i, i % 4) for i in range(25)] + [(1, 0), (1, 0), (2, None)], "query_id long, part long")
+    whole = bm25.scores(docs, asked).join(docs.select("doc_id", "part"), "doc_id").join(within, ["query_id", "part"], "left_semi")
+    flat = lambda df: {(r.query_id, r.doc_id): round(r.score, 9) for r in df.collect()}
+    got = flat(bm25.scores(docs, asked, within=within))
+    assert got == flat(whole) and got
+
+
 @pytest.mark.parametrize("block", [2, 2048])
 def test_dense(spark, monkeypatch, block):
     monkeypatch.setattr(dense, "BLOCK", block)
