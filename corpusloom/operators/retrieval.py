@@ -35,16 +35,16 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, reca
 def hierarchical(summaries: DataFrame, docs: DataFrame, queries: DataFrame, k_docs: int, k: int, parent: str) -> DataFrame:
     """Best groups by their summaries (parent, text), then best documents within these groups."""
     groups = bm25.search(summaries, queries, k_docs, key=parent)
-    found = bm25.scores(docs, queries).join(docs.select("doc_id", parent), "doc_id")
-    within = found.join(groups.select("query_id", parent), ["query_id", parent], "left_semi")
-    return bm25.ranked(within, k, "query_id", "doc_id")
+    return bm25.ranked(bm25.scores(docs, queries, within=groups.select("query_id", parent)), k, "query_id", "doc_id")
 
 
 def parent_child(children: DataFrame, queries: DataFrame, k: int, child: str = "chunk_id", parent: str = "parent_id") -> DataFrame:
     """The best max(2k, 50) children of each question; a parent scores as its best child."""
-    hits = bm25.search(children, queries, max(2 * k, RECALL), key=child)
-    owner = children.select(child, parent)
-    best = owner.join(broadcast_if_small(hits, 1_000_000), child).groupBy("query_id", parent).agg(F.max("score").alias("score"))
+    most = max(2 * k, RECALL)
+    hits = bm25.search(children, queries, most, key=child)
+    # no more hits than that for each question: they needn't be found to be counted
+    few = most * queries.limit(1_000_001).count() <= 1_000_000
+    best = children.select(child, parent).join(F.broadcast(hits) if few else hits, child).groupBy("query_id", parent).agg(F.max("score").alias("score"))
     return bm25.ranked(best, k, "query_id", parent)
 
 
