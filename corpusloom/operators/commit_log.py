@@ -244,17 +244,18 @@ class Store:
                 continue
         raise StoreError(f"others keep committing at {self.root}")
 
-    def commit(self, merges: dict[str, tuple[DataFrame, Merge]] | None = None, appends: dict[str, DataFrame] | None = None, replaces: dict[str, DataFrame] | None = None, txn: tuple[str, int] | None = None, most_rows: int = MOST_ROWS, after: int | None = None) -> Version:
+    def commit(self, merges: dict[str, tuple[DataFrame, Merge]] | None = None, appends: dict[str, DataFrame] | None = None, replaces: dict[str, DataFrame] | None = None, txn: tuple[str, int] | None = None, most_rows: int = MOST_ROWS, after: int | None = None, at_rest: Sequence[str] = ()) -> Version:
         """All of these in one version: `merges` bring new rows into keyed tables (merge is given the old
         rows of the buckets that the new ones fall into, and these), `appends` add a part to appended tables,
         `replaces` take the place of all their parts. A txn (writer, number) that isn't above the
         writer's last one changes nothing, so a batch can be run again. With `after` it is a Conflict
-        if the newest version isn't that one any more."""
+        if the newest version isn't that one any more. Rows of the merges named by `at_rest` are read from
+        files that stay, so they needn't be written to be the same each time."""
         if txn and self.version().done.get(txn[0], -1) >= txn[1]:
             return self.version()
         # what doesn't depend on the version is written once, whoever overtakes
         parts = {n: self._part(n, df) for n, df in {**(appends or {}), **(replaces or {})}.items()}
-        new = {n: (self._hashed(df, self.version().tables[n].keys), merge) for n, (df, merge) in (merges or {}).items()}
+        new = {n: (self._hashed(df, self.version().tables[n].keys, n in at_rest), merge) for n, (df, merge) in (merges or {}).items()}
         merged: dict[str, tuple[Table, Table]] = {}
 
         def change(version: Version) -> dict[str, Table]:
@@ -280,9 +281,10 @@ class Store:
         writer.parquet(f"{self.root}/data/{part}")
         return part
 
-    def _hashed(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def _hashed(self, rows: DataFrame, keys: Sequence[str], at_rest: bool) -> DataFrame:
         """New rows, computed once, with the hash that their bucket is told by."""
-        return checkpointed(rows.withColumn("_hash", F.xxhash64(*keys)))
+        hashed = rows.withColumn("_hash", F.xxhash64(*keys))
+        return hashed if at_rest else checkpointed(hashed)
 
     def _leaf_of(self, leaves: Sequence[Leaf]) -> tuple[DataFrame, Column]:
         """A row for each slot of the deepest level with the name of its leaf, and a row's slot."""

@@ -95,11 +95,14 @@ class SearchIndex:
         """Blocks of documents (key, dl, terms, tfs)."""
         key = self.key
         each = docs.select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(key, "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-        sizes = docs.agg(F.avg("dl").alias("avgdl"), F.sum(F.size("terms")).alias("n")).first()
-        many = each.groupBy("term").count().where(F.col("count") > SEGMENT).select("term", F.ceil(F.col("count") / SEGMENT).cast("int").alias("segments"))
+        sizes = docs.agg(F.avg("dl").alias("avgdl"), F.sum(F.size("terms")).alias("n"), F.count("*").alias("docs")).first()
         slots = max(1, -(-int(sizes["n"] or 0) // (self._buckets * FILE_POSTINGS)))
-        segment = F.pmod(F.xxhash64(key), F.coalesce("segments", F.lit(1))).cast("int")
-        each = each.join(broadcast_if_small(many, FEW), "term", "left").select(key, "dl", "term", "tf", segment.alias("segment"))
+        if sizes["docs"] > SEGMENT:
+            many = each.groupBy("term").count().where(F.col("count") > SEGMENT).select("term", F.ceil(F.col("count") / SEGMENT).cast("int").alias("segments"))
+            segment = F.pmod(F.xxhash64(key), F.coalesce("segments", F.lit(1))).cast("int")
+            each = each.join(broadcast_if_small(many, FEW), "term", "left").select(key, "dl", "term", "tf", segment.alias("segment"))
+        else:  # no term can be of so many documents
+            each = each.select(key, "dl", "term", "tf", F.lit(0).alias("segment"))
         each = each.withColumn("bucket", self._bucket(F.col("term"))).withColumn("slot", F.pmod(F.xxhash64("term", "segment"), F.lit(slots)))
         # one exchange: a file of a bucket is one slot, and a segment lies in one
         impact = bm25.document_weight(F.lit(1.0), F.col("tf"), F.col("dl"), F.lit(float(sizes["avgdl"] or 1.0) or 1.0))
@@ -138,6 +141,7 @@ class SearchIndex:
                     {**(also or {}), self._table("docs"): (rows, merge)},
                     {self._table("blocks"): self._blocks(new, part), self._table("terms"): self._by_bucket(terms), self._table("stats"): stats, self._table("gone"): old.select(key, F.lit(part).cast("long").alias("part"))},
                     after=now,
+                    at_rest=(self._table("docs"),),
                 ).number
             except Conflict:
                 continue
@@ -156,7 +160,7 @@ class SearchIndex:
         tables = {"blocks": self._blocks(docs, now + 1), "terms": self._by_bucket(terms), "stats": stats, "gone": none}
         parts = docs.select(self.key, F.lit(now + 1).cast("long").alias("part"), "dl", "terms", "tfs")
         merge = lambda _, new: new
-        return self.store.commit({self._table("docs"): (parts, merge)}, replaces={self._table(n): t for n, t in tables.items()}, after=now).number
+        return self.store.commit({self._table("docs"): (parts, merge)}, replaces={self._table(n): t for n, t in tables.items()}, after=now, at_rest=(self._table("docs"),)).number
 
     # -- reading -----------------------------------------------------------------------------
 
