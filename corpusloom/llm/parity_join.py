@@ -18,7 +18,9 @@ at last, in ranges whose sets are not yet in one component, every pair of differ
 groups of thousands of copies cost stars, not all pairs, and no link between components is lost.
 
 Range keys travel as rows, one a batch where it has very many documents of a key, and meet in one
-sorted stream a task; a pair is verified in a stream sorted by its first document, which comes once
+sorted stream a task. Near copies share very many ranges, so what follows counts the sets of documents
+that meet under a key, each once with the number of its keys; sets above MOST documents stay rows of
+their keys. A pair is verified in a stream sorted by its first document, which comes once
 for so many partners. No step holds more than a batch and one document, or a block of sketches,
 whatever the size of a group.
 
@@ -35,10 +37,11 @@ import math
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +54,14 @@ LEAST, WHOLE = 85, 100
 SKETCH_BITS = 512
 #: Documents of a batch with one range key from which on only the least is sent to meet others.
 HOT = 32
+#: Documents under one range key that are told as one set.
+MOST = 512
 _BAND_RATIO = 1.5
 _U64 = np.uint64
 _SENT = "key long, doc_id long, center long, blob binary"
-_MET = "kind int, key long, doc_id long, center long, n int, sketch binary, wide binary"
+_MET = "kind int, key long, doc_id long, center long, n int, sketch binary, wide binary, docs array<long>"
+#: The blob of a range key that some batch has told of very many documents.
+_TOLD = b"+"
 #: What a row about a document carries: kind, size, center; then its digest and bit sketch.
 _HEAD = "<iiq"
 
@@ -190,7 +197,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _send(rule: Rule) -> Callable:
-    """Rows of range keys (odd; only the first of more than HOT a batch), of documents that met under
+    """Rows of range keys (odd; only the first of more than HOT a batch, _TOLD), of documents that met under
     a hot one in their batch (with the least of them as center), and of documents (even keys, with a blob): 0 new, its key
     the head of its digest; 2 a copy of one in the batch or without words; 3 without doc_id."""
     names, types = ["key", "doc_id", "center", "blob"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -240,7 +247,8 @@ def _send(rule: Rule) -> Callable:
                 group = np.cumsum(begins) - 1
                 hot = (np.bincount(group) > HOT)[group] if len(group) else begins
                 sent = begins | ~hot
-                parts.append((_signed(keys[sent]), _signed(docs[sent]), pa.nulls(int(sent.sum()), types[2]), pa.nulls(int(sent.sum()), types[3])))
+                told = pc.if_else(pa.array(hot[sent]), pa.scalar(_TOLD, types[3]), pa.scalar(None, types[3]))
+                parts.append((_signed(keys[sent]), _signed(docs[sent]), pa.nulls(int(sent.sum()), types[2]), told))
                 parts.append((_signed(keys[hot]), _signed(docs[hot]), _signed(lead[hot]), pa.nulls(int(hot.sum()), types[3])))
             for part in parts:
                 yield from io.batches(pa.table(list(part), names=names), 1 << 14)
@@ -248,43 +256,59 @@ def _send(rule: Rule) -> Callable:
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """From rows in the order of key and doc_id. kind 0 and 2: every document with the least one (2:
-    one) of equal text; kind 1: (key, document, least document) of keys that several documents
-    have; kind 3: rows without doc_id."""
-    names = ["kind", "key", "doc_id", "center", "n", "sketch", "wide"]
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    one) of equal text; kind 1: (key, document, least document) of keys that more than `most`
+    documents have, or very many of a batch; kind 4: the documents of another key that several have, in order;
+    kind 3: rows without doc_id."""
+    names = ["kind", "key", "doc_id", "center", "n", "sketch", "wide", "docs"]
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
 
-    def table(*columns: object) -> Iterator[pa.RecordBatch]:
-        if len(columns[0]):
-            yield from io.batches(pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names), 1 << 14)
+    def table(k: int, **columns: object) -> Iterator[pa.RecordBatch]:
+        if k:
+            yield from io.batches(pa.table([pa.array(columns[c], t) if c in columns else pa.nulls(k, t) for c, t in zip(names, types, strict=True)], names=names), 1 << 14)
 
     def of_keys(keys: np.ndarray, docs: np.ndarray, leads: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k = len(keys)
-        yield from table(np.ones(k, np.int32), keys, docs, leads, np.zeros(k, np.int32), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()))
+        yield from table(len(keys), kind=np.ones(len(keys), np.int32), key=keys, doc_id=docs, center=leads)
+
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # of the last key: itself, documents, _TOLD
+    long_, lead = None, 0  # the last key that is told in rows, its least document
+
+    def grouped(keys: np.ndarray, docs: np.ndarray, told: np.ndarray, more: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, long_, lead
+        keys, docs, told = (np.concatenate(x) for x in zip(held, (keys, docs, told), strict=True))
+        if not len(keys):
+            return
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        end = len(keys)
+        if more and end - first[-1] <= most:
+            end, first = int(first[-1]), first[:-1]
+        held = keys[end:], docs[end:], told[end:]
+        if not len(first):
+            return
+        keys, docs, told = keys[:end], docs[:end], told[:end]
+        size, leads = np.diff(first, append=end), docs[first]
+        goes_on = keys[first] == long_ if long_ is not None else np.zeros(len(first), bool)
+        leads[goes_on] = lead
+        rows = goes_on | (size > most) | np.logical_or.reduceat(told, first)
+        if rows[-1]:
+            long_, lead = int(keys[-1]), int(leads[-1])
+        each = np.repeat(rows & (goes_on | (size > 1)), size)
+        yield from of_keys(keys[each], docs[each], np.repeat(leads, size)[each])
+        sets = ~rows & (size > 1)
+        at = np.concatenate([[0], np.cumsum(size[sets])])
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(docs[np.repeat(sets, size)], pa.int64()))
+        yield from table(len(lists), kind=np.full(len(lists), 4, np.int32), docs=lists)
 
-    at, lead, told = None, 0, True  # the last range key, its least document, whether that is told
     head, equal = None, {}  # the last digest head, least documents of its digests
     for batch in batches:
-        blobs = batch.column(3)
-        about, met = np.asarray(blobs.is_valid()), np.asarray(batch.column(2).is_valid())
+        blobs, met = batch.column(3), np.asarray(batch.column(2).is_valid())
+        about = np.asarray(pc.fill_null(pc.greater(pc.binary_length(blobs), len(_TOLD)), False))
         keys, docs, leads = (np.asarray(batch.column(i).fill_null(0)).astype(np.int64) for i in range(3))
         yield from of_keys(keys[met], docs[met], leads[met])
-        keys, docs = keys[~about & ~met], docs[~about & ~met]
-        if len(keys):
-            begins = np.concatenate([[keys[0] != at], keys[1:] != keys[:-1]])
-            leads = np.concatenate([[lead], docs[begins]])[np.cumsum(begins)]
-            group = np.cumsum(begins)
-            size = np.bincount(group)
-            several = (size[group] > 1) | (group == 0)
-            if size[0] and not told:
-                yield from of_keys(*(np.array([x]) for x in (at, lead, lead)))
-                told = True
-            yield from of_keys(keys[several], docs[several], leads[several])
-            if group[-1]:
-                told = bool(size[-1] > 1)
-            at, lead = int(keys[-1]), int(leads[-1])
-        rows: tuple[list, ...] = tuple([] for _ in names)
+        key_rows = ~about & ~met
+        yield from grouped(keys[key_rows], docs[key_rows], np.asarray(blobs.is_valid())[key_rows], True)
+        rows: tuple[list, ...] = tuple([] for _ in names[:-1])
         for i in np.flatnonzero(about).tolist():
             key, doc, blob = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), blobs[i].as_py()
             kind, n, center = struct.unpack_from(_HEAD, blob)
@@ -297,7 +321,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = (kind, 0, doc, None if kind == 3 else center, n, sketch, wide)
             for column, value in zip(rows, values, strict=True):
                 column.append(value)
-        yield from table(*rows)
+        yield from table(len(rows[0]), **dict(zip(names, rows, strict=False)))
+    yield from grouped(*(x[:0] for x in held), False)
 
 
 #: Partners that are verified next to one copy of a document's text; more get another copy.
@@ -464,15 +489,18 @@ def similarity_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     sent = io.in_batches(docs, _send(rule), _SENT)
     dealt = sent.repartition(F.when(F.col("center").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc_id")))
-    met = io.written(io.in_batches(dealt.sortWithinPartitions("key", "doc_id"), _meet, _MET), "ranges")
-    sets, shared = met.where("kind <> 1"), met.where("kind = 1")
+    met = io.written(io.in_batches(dealt.sortWithinPartitions("key", "doc_id"), partial(_meet, most=MOST), _MET), "ranges")
+    sets = met.where("kind in (0, 2, 3)")
+    together = io.written(met.where("kind = 4").groupBy("docs").agg(F.count("*").alias("votes")), "together")
+    together = together.select(F.xxhash64("docs").alias("key"), F.explode("docs").alias("doc_id"), F.get("docs", F.lit(0)).alias("center"), "votes")
+    shared = met.where("kind = 1").select("key", "doc_id", "center", F.lit(1).cast("long").alias("votes")).union(together)
     equal = sets.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
 
     wide = sets.where("kind = 0").select("doc_id", "n", "wide").distinct()  # a doc_id may have several texts
 
     def starred(votes: DataFrame) -> DataFrame:
-        """Each document with the center that most of its votes (doc_id, center) name."""
-        votes = votes.groupBy("doc_id", "center").count()
+        """Each document with the center that most of its votes (doc_id, center, votes) name."""
+        votes = votes.groupBy("doc_id", "center").agg(F.sum("votes").alias("count"))
         best = votes.groupBy("doc_id").agg(F.min_by("center", F.struct(-F.col("count"), F.col("center"))).alias("a"))
         return io.written(best.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "stars")
 
@@ -487,24 +515,24 @@ def similarity_components(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
         return io.written(_relabelled(whole, joined), "labels")
 
     def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members (key, doc_id) of the ranges whose sets are still in several components."""
-        here = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        """Members (key, doc_id, votes) of the ranges whose sets are still in several components."""
+        here = members.join(labels, "doc_id", "left").select("key", "doc_id", "votes", F.coalesce("component", "doc_id").alias("component"))
         here = io.written(here, "members")
         open_ = here.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("_hi"), F.count("*").alias("size")).where("least <> _hi")
         return io.written(here.join(open_.select("key", "least", "size"), "key"), "open")
 
-    star = starred(shared.where("doc_id <> center").select("doc_id", "center"))
+    star = starred(shared.where("doc_id <> center").select("doc_id", "center", "votes"))
     labels = components(equal.union(io.written(verified(docs, wide, star, rule), "links")))
-    group = labelled(shared.select("key", "doc_id"), labels)
+    group = labelled(shared.select("key", "doc_id", "votes"), labels)
     # the least document of a component stands for it
-    second = starred(group.where("component <> least").select("doc_id", F.col("least").alias("center"))).join(star, ["a", "b"], "left_anti")
+    second = starred(group.where("component <> least").select("doc_id", F.col("least").alias("center"), "votes")).join(star, ["a", "b"], "left_anti")
     second = io.written(second, "stars")
     if not second.isEmpty():
         labels = merged(labels, second)
-        group = labelled(group.select("key", "doc_id"), labels)
+        group = labelled(group.select("key", "doc_id", "votes"), labels)
 
     sketches = sets.where("kind = 0").select("doc_id", "n", "sketch").distinct()
-    group = group.distinct().join(sketches, "doc_id").withColumn("_s", F.ceil(F.col("size") / BLOCK).cast("int"))
+    group = group.drop("votes").distinct().join(sketches, "doc_id").withColumn("_s", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("_s")).cast("int")
     group = group.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     group = group.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "component", "n", "sketch")

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import parity_join as pj
@@ -120,3 +121,28 @@ def test_odd_rows(odd, none):
     assert by[3] == (0, 3) and by[4] == (0, 4) and by[5] == (0, 5) and by[6] == (1, 6)
     assert by[None][1] is None and by[None][0] > 0
     assert pj.similarity_components(none).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_keys_are_told_as_sets_of_documents(step):
+    """However many keys some documents share, what they meet in are equal sets; keys that a batch has
+    told of very many documents, and those of more than MOST, stay rows."""
+    members = {1: [5, 7], 3: [5, 7], 5: [9], 7: [5, 6, 7, 8], 9: [1, 2, 3, 4, 5, 6, 7, 8, 9], 11: [2, 3], 13: [5, 7], 15: [4, 5, 6, 7, 8]}
+    rows = [(k, d, None, pj._TOLD if k == 11 and d == 2 else None) for k, docs in members.items() for d in docs]
+    table = pa.table(list(zip(*rows, strict=True)), schema=pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("center", pa.int64()), ("blob", pa.binary())]))
+    got = [r for batch in pj._meet(iter(table.to_batches(max_chunksize=step)), 4) for r in batch.to_pylist()]
+    assert sorted(r["docs"] for r in got if r["kind"] == 4) == [[5, 6, 7, 8], [5, 7], [5, 7], [5, 7]]
+    assert {r["kind"] for r in got} == {1, 4}
+    assert sorted((r["key"], r["doc_id"], r["center"]) for r in got if r["kind"] == 1) == sorted((k, d, members[k][0]) for k in (9, 11, 15) for d in members[k])
+
+
+@pytest.mark.parametrize(("hot", "most"), [(2, 512), (3, 2), (32, 3)])
+def test_sets_and_rows_of_keys_together(spark, monkeypatch, hot, most):
+    """Texts that a batch tells as rows, sets of documents and long keys are linked alike."""
+    monkeypatch.setattr(pj, "HOT", hot)
+    monkeypatch.setattr(pj, "MOST", most)
+    rng = random.Random(41)
+    docs = list(enumerate(_varied(rng, 12, 60, 3) + _varied(rng, 6, 14, 1)))
+    rng.shuffle(docs)
+    got = {r[0]: tuple(r)[1:] for r in pj.similarity_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute.op6(docs)
