@@ -77,12 +77,18 @@ def _counted(docs: DataFrame, text: str) -> tuple[int, float | None, int]:
     return n, avgdl, max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(chars or 0) // TASK_CHARS))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    """Fitting anew on all documents is the only way to add some: no stale vocabulary."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: DataFrame | None = None) -> Index:
+    """Fitting anew on all documents is the only way to add some: no stale vocabulary. With `wanted` (term)
+    postings and terms are those of the wanted terms alone, the statistics those of all texts."""
     n_docs, avgdl, tasks = _counted(docs, text)
-    # dealt by document, so that counting its terms needs no exchange of postings
-    toks = tokenised(docs.select(key, text).repartition(tasks, key), key, text)
-    postings = toks.select(key, "dl", F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    if wanted is None:
+        # dealt by document, so that counting its terms needs no exchange of postings
+        toks = tokenised(docs.select(key, text).repartition(tasks, key), key, text)
+        each = toks.select(key, "dl", F.explode("toks").alias("term"))
+    else:
+        # only tokens of wanted terms leave the scan
+        each = tokenised(docs, key, text).select(key, "dl", F.explode("toks").alias("term")).join(_hinted(wanted.select("term").distinct()), "term").repartition(tasks, key)
+    postings = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     stats = docs.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(avgdl).cast("double").alias("avgdl"))
     # one row a document and term: counting is enough, and is done in part before the exchange
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -105,6 +111,10 @@ def _few(asked: DataFrame) -> bool:
     return asked.limit(MAX_QUERY_ROWS + 1).count() <= MAX_QUERY_ROWS
 
 
+def _hinted(asked: DataFrame) -> DataFrame:
+    return F.broadcast(asked) if _few(asked) else asked
+
+
 def _asked_counts(docs: DataFrame, wanted: DataFrame, key: str, text: str, tasks: int, more: list[str]) -> DataFrame:
     """key, more, dl, term, tf of the wanted terms alone, dealt by document. Only they leave the scan, through
     one exchange: neither counting a document's terms nor adding up its scores moves rows again."""

@@ -95,7 +95,8 @@ def bm25_search(spark, d):
 
 
 def token_diagnostics(spark, d):
-    return bm25.diagnostics(bm25.fit(_docs(spark, d)), _items(spark, d), "query_id", "text")
+    items = _items(spark, d)
+    return bm25.diagnostics(bm25.fit(_docs(spark, d), wanted=bm25.query_terms(items, "query_id", "text")), items, "query_id", "text")
 
 
 def bm25_okapi(spark, d):

@@ -177,3 +177,15 @@ def test_a_failing_scorer_leaves_the_order(spark):
     order = lambda scorer: [r.doc_id for r in retrieval.reranked(hits, retrieval.guarded(scorer), "query", "text", 3).orderBy("rerank").collect()]
     assert order(lambda q, t: t.str.len()) == ["b", "a", "c"]
     assert order(broken) == ["a", "b", "c"]
+
+
+def test_fit_of_wanted_terms(spark):
+    docs, asked = _copies(spark)
+    whole = bm25.fit(docs)
+    terms = bm25.query_terms(asked, "query_id", "text")
+    some = bm25.fit(docs, wanted=terms)
+    flat = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    for what, columns in (("postings", ("doc_id", "term", "tf", "dl")), ("terms", ("term", "df", "idf"))):
+        assert flat(getattr(some, what), *columns) == flat(getattr(whole, what).join(terms.select("term").distinct(), "term", "left_semi"), *columns)
+    assert flat(some.stats, "n_docs", "avgdl") == flat(whole.stats, "n_docs", "avgdl")
+    assert flat(bm25.diagnostics(some, asked, "query_id", "text"), "query_id", "pos", "token", "idf", "is_oov", "score", "freq") == flat(bm25.diagnostics(whole, asked, "query_id", "text"), "query_id", "pos", "token", "idf", "is_oov", "score", "freq")
