@@ -264,11 +264,16 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text
     """Okapi ranking: idf ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by epsilon times
     the mean idf; every occurrence of a term in the question counts."""
     index = fit(docs, key, text)
-    raw = index.terms.crossJoin(F.broadcast(index.stats)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # the join below asks for terms that aren't null; with the mean asking too, both read one exchange of counts
+    raw = index.terms.where(F.col("term").isNotNull()).crossJoin(F.broadcast(index.stats)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf").alias("mean"))
     asked = query_terms(queries, query, query_text)
-    hinted = F.broadcast if _few(asked) else lambda df: df
-    terms = raw.join(hinted(asked.select("term").distinct()), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    few = _few(asked)
+    hinted = F.broadcast if few else lambda df: df
+    wanted = hinted(asked.select("term").distinct())
+    terms = raw.join(wanted, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     w = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = index.postings.join(hinted(asked.join(terms, "term")), "term").groupBy(query, key).agg(F.sum(w).alias("score"))
+    # tokens that no question has go before they are counted; without a broadcast that would move postings
+    tf = index.postings.join(wanted, "term", "left_semi") if few else index.postings
+    found = tf.join(hinted(asked.join(terms, "term")), "term").groupBy(query, key).agg(F.sum(w).alias("score"))
     return ranked(found, k, query, key)

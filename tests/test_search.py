@@ -189,3 +189,14 @@ def test_fit_of_wanted_terms(spark):
         assert flat(getattr(some, what), *columns) == flat(getattr(whole, what).join(terms.select("term").distinct(), "term", "left_semi"), *columns)
     assert flat(some.stats, "n_docs", "avgdl") == flat(whole.stats, "n_docs", "avgdl")
     assert flat(bm25.diagnostics(some, asked, "query_id", "text"), "query_id", "pos", "token", "idf", "is_oov", "score", "freq") == flat(bm25.diagnostics(whole, asked, "query_id", "text"), "query_id", "pos", "token", "idf", "is_oov", "score", "freq")
+
+
+def test_okapi_counts_terms_once(spark, monkeypatch):
+    """The mean and the asked terms read one exchange of counts, scores count the asked terms' tokens alone."""
+    docs, asked = _copies(spark)
+    found = bm25.okapi(docs, asked, 7)
+    got = sorted(map(tuple, found.collect()), key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("explode(toks") == 2 and "LeftSemi" in plan[plan.index("functions=[partial_count(1), partial_first") :].split("explode(toks")[0]
+    monkeypatch.setattr(bm25, "MAX_QUERY_ROWS", 10)
+    assert sorted(map(tuple, bm25.okapi(docs, asked, 7).collect()), key=str) == got and len(got) >= 25 * 7
