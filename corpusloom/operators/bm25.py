@@ -86,8 +86,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: DataFr
         toks = tokenised(docs.select(key, text).repartition(tasks, key), key, text)
         each = toks.select(key, "dl", F.explode("toks").alias("term"))
     else:
-        # only tokens of wanted terms leave the scan
-        each = tokenised(docs, key, text).select(key, "dl", F.explode("toks").alias("term")).join(_hinted(wanted.select("term").distinct()), "term").repartition(tasks, key)
+        each = _hits(docs, wanted.select("term").distinct(), key, text, tasks, [], _few(wanted))
     postings = each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     stats = docs.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(avgdl).cast("double").alias("avgdl"))
     # one row a document and term: counting is enough, and is done in part before the exchange
@@ -111,15 +110,20 @@ def _few(asked: DataFrame) -> bool:
     return asked.limit(MAX_QUERY_ROWS + 1).count() <= MAX_QUERY_ROWS
 
 
-def _hinted(asked: DataFrame) -> DataFrame:
-    return F.broadcast(asked) if _few(asked) else asked
+def _hits(docs: DataFrame, wanted: DataFrame, key: str, text: str, tasks: int, more: list[str], few: bool) -> DataFrame:
+    """key, more, dl and wanted's columns, a row for each token of a wanted term, dealt by document. Few terms
+    are broadcast and the texts dealt: as rows of tokens a scan's split takes several times their memory to deal."""
+    rows = docs.select(key, *more, text)
+    toks = (rows.repartition(tasks, key) if few else rows).select(key, *more, tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    # for `explode` the scan would cut every text into tokens too, to leave out those without any
+    each = toks.select(key, *more, "dl", F.explode_outer("toks").alias("term"))
+    return each.join(F.broadcast(wanted), "term") if few else each.join(wanted, "term").repartition(tasks, key)
 
 
-def _asked_counts(docs: DataFrame, wanted: DataFrame, key: str, text: str, tasks: int, more: list[str]) -> DataFrame:
-    """key, more, dl, term, tf of the wanted terms alone, dealt by document. Only they leave the scan, through
-    one exchange: neither counting a document's terms nor adding up its scores moves rows again."""
-    toks = docs.select(key, *more, tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
-    hits = toks.select(key, *more, "dl", F.explode("toks").alias("term")).join(wanted, "term").repartition(tasks, key)
+def _asked_counts(docs: DataFrame, wanted: DataFrame, key: str, text: str, tasks: int, more: list[str], few: bool) -> DataFrame:
+    """key, more, dl, term, tf of the wanted terms alone, dealt by document: neither counting a document's
+    terms nor adding up its scores moves rows again."""
+    hits = _hits(docs, wanted, key, text, tasks, more, few)
     rest = [c for c in wanted.columns if c != "term"]
     return hits.groupBy(key, *more, "dl", *(rest or ["term"])).agg(F.count("*").alias("tf"))
 
@@ -138,7 +142,7 @@ def scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
     n_docs, avgdl, tasks = _counted(docs, text)
     tasks = max(tasks, -(-n_docs * asked.select(query).distinct().count() // TASK_PAIRS))
     more = [] if within is None else [c for c in within.columns if c != query]
-    tf = _asked_counts(docs, hinted(asked.select("term").distinct()), key, text, tasks, more)
+    tf = _asked_counts(docs, asked.select("term").distinct(), key, text, tasks, more, few)
     df = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.col("df"), F.lit(n_docs).cast("long")).alias("idf"))
     # no more rows than the questions have terms, a value of `within` each
     asked = asked.join(df, "term").select(query, "term", "idf", query_weight(F.col("idf"), F.col("qtf"), classic=classic).alias("wq"))
@@ -237,8 +241,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", tex
     gains = (K1 + 1) * qtf / (K1 + qtf)
 
     n_docs, avgdl, tasks = _counted(docs, text)
-    wanted = F.broadcast(spark.createDataFrame(list(terms.items()), "term string, _no int"))
-    tf = _asked_counts(docs, wanted, key, text, tasks, [])
+    wanted = spark.createDataFrame(list(terms.items()), "term string, _no int")
+    tf = _asked_counts(docs, wanted, key, text, tasks, [], True)
     df = tf.groupBy("_no").agg(F.count("*").alias("df")).select("_no", idf(F.col("df"), F.lit(n_docs).cast("long")).alias("idf"))
     # both sides carry the idf, here the document's alone does
     weight = document_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(avgdl).cast("double")) * (F.lit(1.0) if classic else F.col("idf"))

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -200,3 +201,20 @@ def test_okapi_counts_terms_once(spark, monkeypatch):
     assert plan.count("explode(toks") == 2 and "LeftSemi" in plan[plan.index("functions=[partial_count(1), partial_first") :].split("explode(toks")[0]
     monkeypatch.setattr(bm25, "MAX_QUERY_ROWS", 10)
     assert sorted(map(tuple, bm25.okapi(docs, asked, 7).collect()), key=str) == got and len(got) >= 25 * 7
+
+
+@pytest.mark.parametrize("form", ["search", "scores", "fit"])
+def test_texts_are_dealt_and_not_their_tokens(spark, form):
+    """A task deals the texts of its split; as a row for each token they took several times the memory."""
+    docs, asked = _copies(spark)
+    if form == "fit":
+        found = bm25.fit(docs, wanted=bm25.query_terms(asked, "query_id", "text")).postings
+    else:
+        found = bm25.search(docs, asked, 7) if form == "search" else bm25.scores(docs, asked)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    dealt = [i for i, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    assert dealt
+    for i in dealt:
+        below = itertools.takewhile(lambda line: depth(line) > depth(lines[i]), lines[i + 1 :])  # noqa: B023
+        assert not any("Generate" in line or "regexp_extract_all" in line for line in below)
