@@ -42,12 +42,17 @@ def parent_child(children: DataFrame, queries: DataFrame, k: int, child: str = "
     """The best max(2k, 50) children of each question; a parent scores as its best child."""
     most = max(2 * k, RECALL)
     hits = bm25.search(children, queries, most, key=child)
-    # no more hits than that for each question: they needn't be found to be counted
-    few = most * queries.limit(1_000_001).count() <= 1_000_000
-    best = children.select(child, parent).join(F.broadcast(hits) if few else hits, child).groupBy("query_id", parent).agg(F.max("score").alias("score"))
+    best = beside(hits, children.select(child, parent), queries, most, child).groupBy("query_id", parent).agg(F.max("score").alias("score"))
     return bm25.ranked(best, k, "query_id", parent)
 
 
+def beside(hits: DataFrame, rows: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """hits, at most k of each question, with the columns of their rows. Few hits are broadcast, so that rows
+    (with texts, mostly) stay where they are read; that k bounds them, they needn't be found to be counted."""
+    few = k * queries.limit(1_000_001).count() <= 1_000_000
+    return rows.join(F.broadcast(hits) if few else hits, key)
+
+
 def cut(hits: DataFrame, limits: DataFrame, rank: str = "rank") -> DataFrame:
     """Hits up to the top_k of their question (query_id, top_k)."""
     return hits.join(broadcast_if_small(limits, 1_000_000), "query_id").where(F.col(rank) <= F.col("top_k")).drop("top_k")

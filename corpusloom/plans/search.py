@@ -173,8 +173,8 @@ def difficulty_cut(spark, d):
 
 def context_build(spark, d):
     hits = bm25.search(_docs(spark, d), _items(spark, d), 3)
-    rows = hits.join(_docs(spark, d).select("doc_id", "text", F.col("source").alias("law_name"), F.lit(None).cast("string").alias("article_no")), "doc_id")
-    return retrieval.context(rows).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").cast("long").alias("n_chars"))
+    texts = _docs(spark, d).select("doc_id", "text", F.col("source").alias("law_name"), F.lit(None).cast("string").alias("article_no"))
+    return retrieval.context(retrieval.beside(hits, texts, _items(spark, d), 3)).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").cast("long").alias("n_chars"))
 
 
 def rerank_cut(spark, d):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import plans
 from corpusloom.operators import bm25, dense, fusion, retrieval
 
 DOCS = [(1, "a b b c"), (2, "a a d"), (3, "c d e f g"), (4, ""), (5, None), (6, "B A")]
@@ -218,3 +219,14 @@ def test_texts_are_dealt_and_not_their_tokens(spark, form):
     for i in dealt:
         below = itertools.takewhile(lambda line: depth(line) > depth(lines[i]), lines[i + 1 :])  # noqa: B023
         assert not any("Generate" in line or "regexp_extract_all" in line for line in below)
+
+
+@pytest.mark.parametrize("name", ["context_build"])
+def test_texts_beside_few_hits_stay_where_they_are(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for texts of any size
+    try:
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin [doc_id" not in plan and "BroadcastHashJoin [doc_id" in plan
