@@ -180,7 +180,7 @@ def context_build(spark, d):
 def rerank_cut(spark, d):
     """Candidates ordered anew by a stand-in model: the share of the question's words that a text has."""
     hits = bm25.search(_docs(spark, d), _items(spark, d), 50)
-    rows = hits.join(_docs(spark, d).select("doc_id", "text"), "doc_id").join(_items(spark, d).withColumnRenamed("text", "question"), "query_id")
+    rows = retrieval.beside(hits, _docs(spark, d).select("doc_id", "text"), _items(spark, d), 50).join(_items(spark, d).withColumnRenamed("text", "question"), "query_id")
 
     def share(question, text):
         q = F.array_distinct(bm25.tokens(question))
