@@ -59,7 +59,7 @@ def mask_items(spark, d):
 
 
 def public_hits(spark, d):
-    hits = bm25.search(_docs(spark, d), _items(spark, d), 5).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    hits = retrieval.beside(bm25.search(_docs(spark, d), _items(spark, d), 5), _docs(spark, d).select("doc_id", "text"), _items(spark, d), 5)
     return ingest.public_hits(hits).select("query_id", "doc_id", "rank", "score", F.sha1("text").alias("text_sha1"))
 
 
