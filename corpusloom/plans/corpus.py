@@ -64,7 +64,7 @@ def public_hits(spark, d):
 
 
 def trace_projection(spark, d):
-    hits = bm25.search(_docs(spark, d), _items(spark, d), 20).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    hits = retrieval.beside(bm25.search(_docs(spark, d), _items(spark, d), 20), _docs(spark, d).select("doc_id", "text"), _items(spark, d), 20)
     return retrieval.trace(hits).select("query_id", F.posexplode("trace").alias("pos", "t")).select("query_id", F.col("pos").cast("long").alias("pos"), "t.doc_id", "t.score", F.sha1("t.text").alias("text_sha1"))
 
 

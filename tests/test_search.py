@@ -221,7 +221,7 @@ def test_texts_are_dealt_and_not_their_tokens(spark, form):
         assert not any("Generate" in line or "regexp_extract_all" in line for line in below)
 
 
-@pytest.mark.parametrize("name", ["context_build", "rerank_cut", "public_hits"])
+@pytest.mark.parametrize("name", ["context_build", "rerank_cut", "public_hits", "trace_projection"])
 def test_texts_beside_few_hits_stay_where_they_are(spark, name):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for texts of any size
