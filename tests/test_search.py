@@ -230,3 +230,20 @@ def test_texts_beside_few_hits_stay_where_they_are(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin [doc_id" not in plan and "BroadcastHashJoin [doc_id" in plan
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_query_deals_texts_to_many_tasks(spark, monkeypatch, name):
+    """Beyond 200 tasks Spark sorts in memory what a task deals: that are texts, and the rows are those of few tasks."""
+    few = sorted(map(tuple, plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str)
+    chars = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(bm25, "TASK_CHARS", chars // 211)
+    found = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    dealt = [i for i, line in enumerate(lines) if "hashpartitioning(doc_id" in line and "REPARTITION_BY_NUM" in line]
+    assert dealt and all(int(lines[i].split("REPARTITION_BY_NUM")[0].split(",")[-2].strip(" )")) > 200 for i in dealt)
+    for i in dealt:
+        below = itertools.takewhile(lambda line: depth(line) > depth(lines[i]), lines[i + 1 :])  # noqa: B023
+        assert not any("Generate" in line or "regexp_extract_all" in line for line in below)
+    assert sorted(map(tuple, found.collect()), key=str) == few
