@@ -232,7 +232,7 @@ def test_texts_beside_few_hits_stay_where_they_are(spark, name):
     assert "SortMergeJoin [doc_id" not in plan and "BroadcastHashJoin [doc_id" in plan
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "rrf_fuse_multi", "search_separate", "search_multi_sum"])
+@pytest.mark.parametrize("name", ["hybrid_search", "rrf_fuse_multi", "search_separate", "search_multi_sum", "difficulty_cut"])
 def test_query_deals_texts_to_many_tasks(spark, monkeypatch, name):
     """Beyond 200 tasks Spark sorts in memory what a task deals: that are texts, and the rows are those of few tasks."""
     few = sorted(map(tuple, plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=str)
