@@ -38,6 +38,8 @@ from ..session import checkpointed
 _DIGITS = 20
 #: Buckets of a new keyed table, as a power of two, and rows beyond which a bucket is split.
 DEPTH, MOST_ROWS = 3, 2_000_000
+#: Buckets that the tasks of a merge write to without dealing their rows, each a file in every one of them.
+DIRECT = 64
 #: Of the old rows of the buckets concerned and the new ones: their rows from now on.
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -244,17 +246,17 @@ class Store:
                 continue
         raise StoreError(f"others keep committing at {self.root}")
 
-    def commit(self, merges: dict[str, tuple[DataFrame, Merge]] | None = None, appends: dict[str, DataFrame] | None = None, replaces: dict[str, DataFrame] | None = None, txn: tuple[str, int] | None = None, most_rows: int = MOST_ROWS, after: int | None = None, at_rest: Sequence[str] = ()) -> Version:
+    def commit(self, merges: dict[str, tuple[DataFrame, Merge]] | None = None, appends: dict[str, DataFrame] | None = None, replaces: dict[str, DataFrame] | None = None, txn: tuple[str, int] | None = None, most_rows: int = MOST_ROWS, after: int | None = None, at_rest: Sequence[str] = (), options: dict[str, str] | None = None) -> Version:
         """All of these in one version: `merges` bring new rows into keyed tables (merge is given the old
         rows of the buckets that the new ones fall into, and these), `appends` add a part to appended tables,
         `replaces` take the place of all their parts. A txn (writer, number) that isn't above the
         writer's last one changes nothing, so a batch can be run again. With `after` it is a Conflict
         if the newest version isn't that one any more. Rows of the merges named by `at_rest` are read from
-        files that stay, so they needn't be written to be the same each time."""
+        files that stay, so they needn't be written to be the same each time. `options` are those of the writer."""
         if txn and self.version().done.get(txn[0], -1) >= txn[1]:
             return self.version()
         # what doesn't depend on the version is written once, whoever overtakes
-        parts = {n: self._part(n, df) for n, df in {**(appends or {}), **(replaces or {})}.items()}
+        parts = {n: self._part(n, df, options or {}) for n, df in {**(appends or {}), **(replaces or {})}.items()}
         new = {n: (self._hashed(df, self.version().tables[n].keys, n in at_rest), merge) for n, (df, merge) in (merges or {}).items()}
         merged: dict[str, tuple[Table, Table]] = {}
 
@@ -268,17 +270,17 @@ class Store:
                 out[n] = replace(version.tables[n], parts=(part,) if n in (replaces or {}) else (*version.tables[n].parts, part))
             for n, (rows, merge) in new.items():
                 if n not in merged or merged[n][0] != version.tables[n]:
-                    merged[n] = version.tables[n], self._merged(n, version.tables[n], rows, merge, most_rows)
+                    merged[n] = version.tables[n], self._merged(n, version.tables[n], rows, merge, most_rows, options or {})
                 out[n] = merged[n][1]
             return out
 
         return self._commit(change, txn)
 
-    def _part(self, name: str, rows: DataFrame) -> str:
+    def _part(self, name: str, rows: DataFrame, options: dict[str, str]) -> str:
         part = f"{name}/_part={uuid.uuid4().hex}"
         by = self.version().tables[name].by
         writer = rows.write.partitionBy(*by) if by else rows.write
-        writer.parquet(f"{self.root}/data/{part}")
+        writer.options(**options).parquet(f"{self.root}/data/{part}")
         return part
 
     def _hashed(self, rows: DataFrame, keys: Sequence[str], at_rest: bool) -> DataFrame:
@@ -298,7 +300,7 @@ class Store:
         names = {r[0] for r in hashed.select(slot.alias("_slot")).distinct().join(slots, "_slot").select("_leaf").distinct().collect()}
         return [x for x in table.leaves if x.name in names]
 
-    def _merged(self, name: str, table: Table, new: DataFrame, merge: Merge, most_rows: int) -> Table:
+    def _merged(self, name: str, table: Table, new: DataFrame, merge: Merge, most_rows: int, options: dict[str, str]) -> Table:
         old = self._touched(table, new)
         if not old:
             return table
@@ -310,7 +312,9 @@ class Store:
         slots, slot = self._leaf_of([*own, *(x for x in table.leaves if x.name not in touched)])
         part = f"{name}/_part={uuid.uuid4().hex}"
         placed = rows.select(*columns).withColumn("_hash", F.xxhash64(*table.keys)).withColumn("_slot", slot).join(slots, "_slot").select(*columns, "_leaf")
-        placed.repartition("_leaf").write.partitionBy("_leaf").parquet(f"{self.root}/data/{part}")
+        if len(own) > DIRECT:  # tasks of one bucket each, several of them where it is large
+            placed = placed.hint("rebalance", "_leaf")
+        placed.write.partitionBy("_leaf").options(**options).parquet(f"{self.root}/data/{part}")
         counts = {}
         if self.files.names(f"{self.root}/data/{part}"):
             written = self.spark.read.schema(StructType.fromJson(json.loads(table.schema)).add("_leaf", "string")).parquet(f"{self.root}/data/{part}")

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import embedding_key
-from ..session import checkpointed
+from ..session import checkpointed, removed, small_splits
 from . import chunking, store
 from .commit_log import Conflict, Merge, Store
-from .inverted import SearchIndex
+from .inverted import PACKED, SearchIndex
 
 MESSAGE_CHARS = 20_000
 
@@ -20,11 +20,12 @@ MESSAGE_CHARS = 20_000
 @dataclass
 class Ingested:
     """What a batch of documents adds: chunks (parents and children), vectors of the children,
-    manifest rows. `commit` brings them into a store."""
+    manifest rows. `commit` brings them into a store, and reads chunks that are `at_rest` where they are."""
 
     chunks: DataFrame
     vectors: DataFrame
     manifest: DataFrame
+    at_rest: bool = False
 
 
 def embedded(texts: DataFrame, key: str, text: str, model: str, encode: Callable[[Column], Column], cache: DataFrame | None = None) -> DataFrame:
@@ -43,19 +44,25 @@ def ingest(blocks: DataFrame, documents: DataFrame, model: str, encode: Callable
     """blocks of documents (doc_id, relpath, content_hash, size, folder, law_name): structural chunks
     with their metadata; children alone are embedded."""
     facts = documents.select("doc_id", "folder", "law_name", F.lit("user").alias("corpus"), F.lit("user").alias("doc_type"))
-    chunks = checkpointed(chunking.structural(blocks, splitter).join(facts, "doc_id", "left"))
+    # texts aren't dealt again for the facts: those join the rows of documents that chunks are made of
+    chunks = checkpointed(chunking.structural(blocks, splitter, facts), **PACKED)
     children = chunks.where("chunk_level = 'child'")
     vectors = embedded(children, "chunk_id", "text", model, encode, cache)
     counts = children.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
     manifest = documents.join(counts, "doc_id", "left").select("relpath", "doc_id", "content_hash", "size", F.current_timestamp().alias("indexed_at"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    return Ingested(chunks, vectors, manifest)
+    return Ingested(chunks, vectors, manifest, at_rest=True)
 
 
 def commit(spark: SparkSession, batch: Ingested, path: str) -> SearchIndex:
     """Upsert a batch into the store at path, in one version: chunks, vectors, manifest and the BM25
     index of its children. Documents given again lose the chunks they don't have any more."""
-    at = Store.ensure(spark, path)
-    chunks, vectors, manifest = (checkpointed(x) for x in (batch.chunks, batch.vectors, batch.manifest))
+    with small_splits(spark), removed(spark) as own:
+        chunks = batch.chunks if batch.at_rest else checkpointed(batch.chunks, own, **PACKED)
+        return _committed(Store.ensure(spark, path), chunks, checkpointed(batch.vectors, own), checkpointed(batch.manifest, own), own)
+
+
+def _committed(at: Store, chunks: DataFrame, vectors: DataFrame, manifest: DataFrame, own: list[str]) -> SearchIndex:
+    """These tables, all of them at rest, in one version with the index."""
     for name, rows, key in (("chunks", chunks, "chunk_id"), ("vectors", vectors, "chunk_id"), ("manifest", manifest, "relpath")):
         at.add_keyed(name, rows.schema, [key])
     index = SearchIndex.create(at, "string", "bm25", "chunk_id")
@@ -63,18 +70,18 @@ def commit(spark: SparkSession, batch: Ingested, path: str) -> SearchIndex:
     for _ in range(10):
         now = at.version().number
         known = at.read("chunks", now).join(manifest.select("doc_id").distinct(), "doc_id", "left_semi")
-        stale = checkpointed(known.join(chunks, "chunk_id", "left_anti").select(chunks.columns))
+        stale = checkpointed(known.join(chunks, "chunk_id", "left_anti").select(chunks.columns), own, **PACKED)
         merges = {
             "chunks": (chunks.unionByName(stale), _replacing(chunks, stale)),
             "vectors": (vectors.unionByName(stale.select("chunk_id", *none)), _replacing(vectors, stale)),
             "manifest": (manifest, lambda old, new: store.upsert(old, new, ["relpath"])),
         }
         try:
-            index.update(chunks.where("chunk_level = 'child'").select("chunk_id", "text"), stale.select("chunk_id"), also=merges, after=now)
+            index.update(chunks.where("chunk_level = 'child'").select("chunk_id", "text"), stale.select("chunk_id"), also=merges, also_at_rest=list(merges), after=now)
             return index
         except Conflict:
             continue
-    raise Conflict(f"others keep committing at {path}")
+    raise Conflict(f"others keep committing at {at.root}")
 
 
 def _replacing(rows: DataFrame, stale: DataFrame) -> Merge:

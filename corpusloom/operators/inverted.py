@@ -5,7 +5,8 @@ An index is five tables of a `commit_log.Store`:
 * `docs` (keyed): key, part, dl, terms, tfs of each document;
 * `blocks` (parts, by bucket of the term): up to BLOCK postings of a term, the best first, with the
   largest tf and the least dl among them, from which a bound of their weight follows whatever the
-  statistics are. Terms of very many documents are cut into segments by key, so no term is one task;
+  statistics are. Documents are put in order in segments of SEGMENT postings about, in the task that
+  reads them: postings are never shuffled, and what a task sorts doesn't grow with the table;
 * `terms` and `stats` (parts): signed changes of each term's df, and of the number and length of
   documents, which add up to what a fit on all documents gives;
 * `gone` (parts): keys whose postings of parts before a number are dead.
@@ -21,24 +22,29 @@ remaining terms are added up. The result is that of scoring every document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import tokens
-from ..session import broadcast_if_small, checkpointed
+from ..session import broadcast_if_small, checkpointed, removed, small_splits
 from . import bm25, store
 from .commit_log import Conflict, Merge, Store
 
 BLOCK = 128
-#: Documents of a term in one segment, and buckets of terms that a new index has.
+#: Postings of one segment, about, and buckets of terms that a new index has.
 SEGMENT, BUCKETS = 1 << 20, 64
-#: Postings of a bucket that one file holds, about.
-FILE_POSTINGS = 1 << 22
 FEW = 200_000
+#: How terms and postings are written.
+PACKED = {"compression": "zstd"}
+#: Blocks that a task hands over at a time.
+_ROWS = 4096
 #: Below a bound by less than this, a score may round to it.
 _SLACK = 1e-5
 
@@ -52,6 +58,54 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return starts.select(key, F.size("_t").cast("long").alias("dl"), F.transform("_h", lambda i: F.get("_t", i)).alias("terms"), F.zip_with("_h", F.slice(ends, 1, F.size("_h")), lambda a, b: b - a).alias("tfs"))
 
 
+def _ordered(docs: pa.Table, avgdl: float, segment: int, block: int) -> pa.RecordBatch:
+    """Blocks of the documents (key, dl, terms, tfs) of one segment, a term's best postings first, equal ones by key."""
+    keys, dl, terms, tfs = (docs.column(i).combine_chunks() for i in range(4))
+    doc = np.repeat(np.arange(len(docs)), pc.list_value_length(terms).to_numpy())
+    words = terms.flatten().dictionary_encode()
+    code, tf, dls = words.indices.to_numpy(), tfs.flatten().to_numpy(), dl.to_numpy()[doc]
+    place = np.empty(len(docs), np.int64)
+    place[pc.sort_indices(keys).to_numpy()] = np.arange(len(docs))
+    impact = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * dls / avgdl))
+    order = np.lexsort((place[doc], -impact, code))
+    code, tf, dls = code[order], tf[order], dls[order]
+    at = np.arange(len(order))
+    since = at - np.maximum.accumulate(np.where(np.r_[True, code[1:] != code[:-1]], at, 0))
+    starts = np.flatnonzero(since % block == 0)
+    ends = pa.array(np.r_[starts, len(order)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (keys.take(pa.array(doc[order])), pa.array(tf, pa.int32()), pa.array(dls, pa.int64()))]
+    own = [np.full(len(starts), segment), since[starts] // block, np.diff(np.r_[starts, len(order)]), np.maximum.reduceat(tf, starts)]
+    term = words.dictionary.take(pa.array(code[starts]))
+    return pa.RecordBatch.from_arrays([term, *[pa.array(x, pa.int32()) for x in own], pa.array(np.minimum.reduceat(dls, starts), pa.int64()), *lists], names=["term", "segment", "block", "n", "max_tf", "min_dl", "keys", "tfs", "dls"])
+
+
+def _segments(avgdl: float, block: int, most: int):
+    """A function of batches of documents (key, dl, terms, tfs, none without terms): their blocks, by segments
+    of `most` postings or more (less than twice as many beside those of one document), counted within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = segment = 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            made = _ordered(pa.Table.from_batches(held), avgdl, segment, block)
+            yield from (made.slice(i, _ROWS) for i in range(0, len(made), _ROWS))
+
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
+            cuts = [0, *np.flatnonzero(np.diff(ends // most)) + 1, len(batch)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                held.append(batch.slice(a, b - a))
+                n += int(ends[b - 1] - (ends[a - 1] if a else 0))
+                if n >= most:
+                    yield from blocks()
+                    held, n, segment = [], 0, segment + 1
+        if n:
+            yield from blocks()
+
+    return run
+
+
 class SearchIndex:
     """An index by `key` in a store; its tables' names begin with `name`."""
 
@@ -92,34 +146,25 @@ class SearchIndex:
     # -- writing -----------------------------------------------------------------------------
 
     def _blocks(self, docs: DataFrame, part: int) -> DataFrame:
-        """Blocks of documents (key, dl, terms, tfs)."""
+        """Blocks of documents (key, dl, terms, tfs) at rest."""
         key = self.key
-        each = docs.select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(key, "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-        sizes = docs.agg(F.avg("dl").alias("avgdl"), F.sum(F.size("terms")).alias("n"), F.count("*").alias("docs")).first()
-        slots = max(1, -(-int(sizes["n"] or 0) // (self._buckets * FILE_POSTINGS)))
-        if sizes["docs"] > SEGMENT:
-            many = each.groupBy("term").count().where(F.col("count") > SEGMENT).select("term", F.ceil(F.col("count") / SEGMENT).cast("int").alias("segments"))
-            segment = F.pmod(F.xxhash64(key), F.coalesce("segments", F.lit(1))).cast("int")
-            each = each.join(broadcast_if_small(many, FEW), "term", "left").select(key, "dl", "term", "tf", segment.alias("segment"))
-        else:  # no term can be of so many documents
-            each = each.select(key, "dl", "term", "tf", F.lit(0).alias("segment"))
-        each = each.withColumn("bucket", self._bucket(F.col("term"))).withColumn("slot", F.pmod(F.xxhash64("term", "segment"), F.lit(slots)))
-        # one exchange: a file of a bucket is one slot, and a segment lies in one
-        impact = bm25.document_weight(F.lit(1.0), F.col("tf"), F.col("dl"), F.lit(float(sizes["avgdl"] or 1.0) or 1.0))
-        one = ["bucket", "slot", "term", "segment"]
-        n = F.row_number().over(Window.partitionBy(*one).orderBy(F.desc(impact), key))
-        numbered = each.repartition("bucket", "slot").withColumn("block", F.floor((n - 1) / BLOCK).cast("int"))
-        lists = [F.col(f"p.{c}").alias(a) for c, a in ((key, "keys"), ("tf", "tfs"), ("dl", "dls"))]
-        made = numbered.groupBy(*one, "block").agg(F.collect_list(F.struct(key, "tf", "dl")).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        return made.select("term", "segment", "block", F.lit(part).cast("long").alias("part"), F.size("p").alias("n"), "max_tf", "min_dl", *lists, "bucket").sortWithinPartitions("bucket", "term", "segment", "block")
-
-    def update(self, docs: DataFrame, gone: DataFrame | None = None, text: str = "text", also: dict[str, tuple[DataFrame, Merge]] | None = None, after: int | None = None, tries: int = 10) -> int:
+        avgdl = float(docs.agg(F.avg("dl")).first()[0] or 1.0) or 1.0
+        kind = docs.schema[key].dataType.simpleString()
+        schema = f"term string, segment int, block int, n int, max_tf int, min_dl long, keys array<{kind}>, tfs array<int>, dls array<long>"
+        made = docs.where(F.size("terms") > 0).select(key, "dl", "terms", "tfs").mapInArrow(_segments(avgdl, BLOCK, SEGMENT), schema)
+        made = made.withColumn("part", F.lit(part).cast("long")).withColumn("bucket", self._bucket(F.col("term")))
+        return made.sortWithinPartitions("bucket", "term", "segment", "block").select("term", "segment", "block", "part", "n", "max_tf", "min_dl", "keys", "tfs", "dls", "bucket")
+
+    def update(self, docs: DataFrame, gone: DataFrame | None = None, text: str = "text", also: dict[str, tuple[DataFrame, Merge]] | None = None, also_at_rest: Sequence[str] = (), after: int | None = None, tries: int = 10) -> int:
         """Documents (key, text; one a key) are added or take the place of those with their keys, and
-        those of the keys in `gone` go; merges of other tables of the store (`also`) belong to the
-        same version, whose number this gives. With `after` it is a Conflict if that isn't the newest
+        those of the keys in `gone` go; merges of other tables of the store (`also`, their rows read from
+        files if named by `also_at_rest`) belong to the same version, whose number this gives. With `after` it is a Conflict if that isn't the newest
         version any more."""
+        with small_splits(self.store.spark), removed(self.store.spark) as own:
+            return self._updated(checkpointed(term_counts(docs, self.key, text), own, **PACKED), gone, also or {}, also_at_rest, after, tries, own)
+
+    def _updated(self, new: DataFrame, gone: DataFrame | None, also: dict[str, tuple[DataFrame, Merge]], also_at_rest: Sequence[str], after: int | None, tries: int, own: list[str]) -> int:
         key = self.key
-        new = checkpointed(term_counts(docs, key, text))
         keys = new.select(key) if gone is None else new.select(key).union(gone.select(key)).distinct()
         dead = None if gone is None else gone.select(key).join(new.select(key), key, "left_anti").distinct()
         for _ in range(tries):
@@ -127,8 +172,9 @@ class SearchIndex:
             if after is not None and now != after:
                 raise Conflict(f"version {now} came after {after}")
             part = now + 1
-            old = checkpointed(self.store.read_near(self._table("docs"), keys, now).join(keys, key, "left_semi"))
-            signed = lambda df, sign: df.select(F.explode("terms").alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df"))
+            near = self.store.read_near(self._table("docs"), keys, now).select(key, "dl", "terms")
+            old = checkpointed(near.join(keys, key, "left_semi"), own, **PACKED)
+            signed = lambda df, sign: df.select(F.explode("terms").alias("term"), F.lit(sign).cast("long").alias("df"))
             terms = signed(new, 1).union(signed(old, -1)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
             count = lambda df, sign: df.agg((sign * F.count("*")).alias("n_docs"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("length"))
             stats = count(new, 1).union(count(old, -1)).agg(F.sum("n_docs").alias("n_docs"), F.sum("length").alias("length"))
@@ -138,29 +184,32 @@ class SearchIndex:
             merge = lambda old, new: store.upsert(old, new, [key]).where("terms is not null")
             try:
                 return self.store.commit(
-                    {**(also or {}), self._table("docs"): (rows, merge)},
+                    {**also, self._table("docs"): (rows, merge)},
                     {self._table("blocks"): self._blocks(new, part), self._table("terms"): self._by_bucket(terms), self._table("stats"): stats, self._table("gone"): old.select(key, F.lit(part).cast("long").alias("part"))},
                     after=now,
-                    at_rest=(self._table("docs"),),
+                    at_rest=(self._table("docs"), *also_at_rest),
+                    options=PACKED,
                 ).number
             except Conflict:
                 continue
         raise Conflict(f"others keep committing at {self.store.root}")
 
     def _by_bucket(self, terms: DataFrame) -> DataFrame:
-        return terms.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").select("term", "df", "bucket")
+        # tasks of one bucket each, several of them where there are many terms
+        return terms.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").select("term", "df", "bucket")
 
     def compact(self) -> int:
         """One part of what is alive, sums instead of changes."""
-        now = self.store.version().number
-        docs = self._read("docs", now)
-        terms = self._read("terms", now).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        stats = self.statistics(now).select("n_docs", "length")
-        none = self._read("gone", now).limit(0)
-        tables = {"blocks": self._blocks(docs, now + 1), "terms": self._by_bucket(terms), "stats": stats, "gone": none}
-        parts = docs.select(self.key, F.lit(now + 1).cast("long").alias("part"), "dl", "terms", "tfs")
-        merge = lambda _, new: new
-        return self.store.commit({self._table("docs"): (parts, merge)}, replaces={self._table(n): t for n, t in tables.items()}, after=now, at_rest=(self._table("docs"),)).number
+        with small_splits(self.store.spark):
+            now = self.store.version().number
+            docs = self._read("docs", now)
+            terms = self._read("terms", now).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+            stats = self.statistics(now).select("n_docs", "length")
+            none = self._read("gone", now).limit(0)
+            tables = {"blocks": self._blocks(docs, now + 1), "terms": self._by_bucket(terms), "stats": stats, "gone": none}
+            parts = docs.select(self.key, F.lit(now + 1).cast("long").alias("part"), "dl", "terms", "tfs")
+            merge = lambda _, new: new
+            return self.store.commit({self._table("docs"): (parts, merge)}, replaces={self._table(n): t for n, t in tables.items()}, after=now, at_rest=(self._table("docs"),), options=PACKED).number
 
     # -- reading -----------------------------------------------------------------------------
 

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,8 +71,41 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, written to a work folder and read from there: cuts the lineage."""
+def checkpointed(df: DataFrame, kept: list[str] | None = None, **options: str) -> DataFrame:
+    """df computed once, written (with a writer's options) to a work folder and read from there: cuts
+    the lineage. With `kept` the folder's name is added to it, for `removed`."""
     path = work_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    if kept is not None:
+        kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def removed(spark: SparkSession) -> Iterator[list[str]]:
+    """A list of folders, which are removed in the end."""
+    paths: list[str] = []
+    try:
+        yield paths
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+#: Bytes of files that a task reads where rows take many times their bytes at rest (lists of terms, postings).
+SPLIT = 16 << 20
+_SPLIT_CONF = "spark.sql.files.maxPartitionBytes"
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """What runs within reads files in splits of SPLIT bytes at most."""
+    before = spark.conf.get(_SPLIT_CONF)
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)) > SPLIT:
+        spark.conf.set(_SPLIT_CONF, str(SPLIT))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPLIT_CONF, before)

@@ -160,3 +160,12 @@ def test_deletes(spark, made):
     every = _rows(spark, *[(k, None) for k in range(10)])
     made.commit({"t": (every, lambda old, _: old.where(F.lit(False)))})
     assert _dict(made) == {}
+
+
+def test_many_buckets_are_dealt_before_they_are_written(spark, made, monkeypatch):
+    for direct in (64, 0):
+        monkeypatch.setattr(commit_log, "DIRECT", direct)
+        made.commit({"t": (_rows(spark, *[(k, direct) for k in range(100)]).repartition(3), _last)}, options={"compression": "zstd"})
+        assert _dict(made) == dict.fromkeys(range(100), direct)
+        files = [f for x in made.version().tables["t"].leaves for f, _ in made.files.names(f"{made.root}/data/{x.folder}/_leaf={x.name}") if f.endswith(".parquet")]
+        assert all(".zstd." in f for f in files) and (len(files) > 4 if direct else len(files) == 4)

@@ -1,7 +1,10 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import ingest, retrieval
+from corpusloom import session
+from corpusloom.operators import chunking, ingest, retrieval
 from corpusloom.operators.commit_log import Store
 from corpusloom.sources import external, markup
 
@@ -35,6 +38,31 @@ def test_two_commits(spark, tmp_path):
     assert Store(spark, path).read("vectors").count() == Store(spark, path).read("chunks").where("chunk_level = 'child'").count() == third.statistics().first().n_docs
 
 
+def test_scratch_goes_and_chunks_at_rest_are_not_written_again(spark, tmp_path, monkeypatch):
+    (tmp_path / "work").mkdir()
+    monkeypatch.setattr(session, "work_folder", lambda _: f"file://{tmp_path}/work/{uuid.uuid4().hex}")
+    batch = _batch(spark, [("a", "# A\nalpha beta"), ("b", "beta")])
+    chunks = [x.name for x in (tmp_path / "work").iterdir()]
+    assert len(chunks) == 1
+    for n in (2, 3):  # the second time with rows that go
+        index = ingest.commit(spark, batch, f"file://{tmp_path}/kb")
+        assert [x.name for x in (tmp_path / "work").iterdir()] == chunks
+        assert index.statistics().first().n_docs == 2 and Store(spark, index.store.root).read("chunks").count() == 4
+
+
+def test_facts_join_documents_and_no_text_of_chunks_is_dealt(spark):
+    docs = spark.createDataFrame([("a", "# A\nalpha beta\n\n" + "".join(f"句{i}。" for i in range(600))), ("b", "beta"), ("b", "gamma")], "doc_id string, text string")
+    facts = spark.createDataFrame([("a", 1), ("c", 2)], "doc_id string, folder int")
+    got = chunking.structural(_blocks(docs), facts=facts)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0]
+    want = chunking.structural(_blocks(docs)).join(facts, "doc_id", "left")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    rows = [r for r in got.where("chunk_level = 'child'").orderBy("doc_id", "order").collect() if r.doc_id == "a"]
+    ids = [r.chunk_id for r in rows]
+    assert len(ids) > 2 and [r.prev_chunk_id for r in rows] == [None, *ids[:-1]] and [r.next_chunk_id for r in rows] == [*ids[1:], None]
+
+
 def test_last_chunk_stays(spark):
     rows = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b"), ("e", 0, "x")], "doc_id string, order int, text string")
     edits = spark.createDataFrame([("d", 0, []), ("d", 1, []), ("e", 0, ["x1", "x2"])], "doc_id string, order int, texts array<string>")

@@ -1,7 +1,9 @@
 import random
+import uuid
 
 import pytest
 
+from corpusloom import session
 from corpusloom.operators import bm25, inverted
 from corpusloom.operators.commit_log import Store
 from corpusloom.operators.inverted import SearchIndex
@@ -83,3 +85,25 @@ def test_compaction_changes_no_result_and_empty_indexes_have_none(spark, grown,
     assert none.search(_queries(spark), 3).count() == 0
     none.update(_docs(spark, []))
     assert none.search(_queries(spark), 3).count() == 0 and none.terms().count() == 0
+
+
+def test_writing_deals_no_postings_and_no_task_has_a_whole_bucket(spark, grown):
+    index, _ = grown
+    plan = index._blocks(index._read("docs"), 9)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    plan = index._by_bucket(index._read("terms").select("term", "df"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions [bucket" in plan
+
+
+def test_a_task_orders_a_segment_at_a_time(spark):
+    docs = inverted.term_counts(_docs(spark, _random(random.Random(3), range(200))), "doc_id", "text").where("size(terms) > 0")
+    rows = docs.select("doc_id", "dl", "terms", "tfs").toArrow().combine_chunks()
+    made = [r for b in inverted._segments(9.0, 4, 50)(iter(rows.to_batches())) for r in b.to_pylist()]
+    sizes = {}
+    for r in made:
+        sizes[r["segment"]] = sizes.get(r["segment"], 0) + r["n"]
+        assert r["n"] == len(r["keys"]) <= 4 and r["max_tf"] == max(r["tfs"]) and r["min_dl"] == min(r["dls"])
+        assert r["n"] == 4 or r["block"] == max(x["block"] for x in made if (x["term"], x["segment"]) == (r["term"], r["segment"]))
+    assert len(sizes) > 5 and max(sizes.values()) < 2 * 50 + len(WORDS)
+    got = sorted((k, r["term"], tf, dl) for r in made for k, tf, dl in zip(r["keys"], r["tfs"], r["dls"], strict=True))
+    assert got == sorted((r.doc_id, t, tf, r.dl) for r in docs.collect() for t, tf in zip(r.terms, r.tfs, strict=True))
