@@ -17,7 +17,9 @@ Search goes by bounds (MaxScore over block maxima): the first blocks of each ter
 question a score that its k-th best document has at least. Terms that can't reach that together
 don't bring in documents; of the others only blocks that can reach it, with what the question's
 other terms give at most, are opened; and only for documents still possible after that, the
-remaining terms are added up. The result is that of scoring every document.
+remaining terms are added up. The result is that of scoring every document, which is done where the
+bounds leave more than FEW postings to open: long questions rule out few documents, and each task
+then scores those it reads and sends its best alone.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokens
 from ..session import broadcast_if_small, checkpointed, removed, small_splits
@@ -40,6 +42,8 @@ from .commit_log import Conflict, Merge, Store
 BLOCK = 128
 #: Postings of one segment, about, and buckets of terms that a new index has.
 SEGMENT, BUCKETS = 1 << 20, 64
+#: First blocks of a term, those of the highest bounds, that tell the least score of a question's k-th.
+FIRST = 8
 FEW = 200_000
 #: How terms and postings are written.
 PACKED = {"compression": "zstd"}
@@ -106,6 +110,24 @@ def _segments(avgdl: float, block: int, most: int):
     return run
 
 
+def _weighed(asked: pa.Array, avgdl: float):
+    """A function of batches of documents (key, dl, terms, tfs): key and (number, weight) of their asked terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(2)).to_numpy()
+            number = pc.index_in(batch.column(2).flatten(), value_set=asked).fill_null(-1).to_numpy()
+            hit = np.flatnonzero(number >= 0)
+            doc = np.repeat(np.arange(len(batch)), sizes)[hit]
+            tf, dl = batch.column(3).flatten().to_numpy()[hit], batch.column(1).to_numpy()[doc]
+            weight = tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * dl / avgdl))
+            pairs = pa.StructArray.from_arrays([pa.array(number[hit]), pa.array(weight)], ["no", "w"])
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=len(batch)))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pairs)], names=["key", "terms"])
+
+    return run
+
+
 class SearchIndex:
     """An index by `key` in a store; its tables' names begin with `name`."""
 
@@ -240,8 +262,11 @@ class SearchIndex:
 
     def search(self, queries: DataFrame, k: int, query: str = "query_id", text: str = "text", number: int | None = None) -> DataFrame:
         """query, key, score, rank: the k best documents of each question, as `bm25.search` gives them."""
+        with small_splits(self.store.spark), removed(self.store.spark) as own:
+            return checkpointed(self._searched(queries, k, query, text, self.store.version(number).number, own))
+
+    def _searched(self, queries: DataFrame, k: int, query: str, text: str, number: int, own: list[str]) -> DataFrame:
         key = self.key
-        number = self.store.version(number).number
         gone = self._read("gone", number).groupBy(key).agg(F.max("part").alias("_dead"))
         dead = broadcast_if_small(gone, FEW) if gone.limit(1).count() else None
         asked = bm25.query_terms(queries.select(F.col(query).alias("query_id"), F.col(text).alias("text")), "query_id", "text")
@@ -249,13 +274,16 @@ class SearchIndex:
         known = self._read("terms", number).join(F.broadcast(asked.select("term").distinct()) if bm25._few(asked) else asked.select("term").distinct(), "term", "left_semi")
         df = known.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").crossJoin(F.broadcast(self.statistics(number)))
         idf = bm25.idf(F.col("df"), F.col("n_docs"))
-        weighted = checkpointed(asked.join(df, "term").select("query_id", "term", "avgdl", (bm25.query_weight(idf, F.col("qtf")) * idf).alias("a")))
+        weighted = checkpointed(asked.join(df, "term").select("query_id", "term", "avgdl", (bm25.query_weight(idf, F.col("qtf")) * idf).alias("a")), own)
         hinted = F.broadcast if bm25._few(weighted) else lambda x: x
         bound = F.col("a") * bm25.document_weight(F.lit(1.0), F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
         blocks = self._asked_blocks(weighted, number).join(hinted(weighted), "term").withColumn("bound", bound)
 
         # what a question's k-th document has at least, from the first blocks of its terms
-        first = self._postings(blocks.where("block = 0"), dead).groupBy("query_id", key).agg(F.sum("gain").alias("score"))
+        heads = blocks.where("block = 0")
+        nth = Window.partitionBy("query_id", "term").orderBy(F.desc("bound"))
+        cut = heads.select("query_id", "term", "bound").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= FIRST).groupBy("query_id", "term").agg(F.min("bound").alias("cut"))
+        first = self._postings(heads.join(hinted(checkpointed(cut, own)), ["query_id", "term"]).where("bound >= cut"), dead).groupBy("query_id", key).agg(F.sum("gain").alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"))
         least = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select("query_id", F.col("score").alias("least"))
         most = blocks.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
@@ -264,16 +292,34 @@ class SearchIndex:
         limits = most.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))) - _SLACK)
         limits = limits.withColumn("others", total - F.col("most")).withColumn("opens", F.sum("most").over(by_bound) >= F.col("least"))
         rest = F.sum(F.when(F.col("opens"), F.lit(0.0)).otherwise(F.col("most"))).over(Window.partitionBy("query_id"))
-        limits = checkpointed(limits.select("query_id", "term", "least", "others", "opens", rest.alias("rest")))
+        limits = checkpointed(limits.select("query_id", "term", "least", "others", "opens", rest.alias("rest")), own)
 
         limited = blocks.join(hinted(limits), ["query_id", "term"])
         opened = limited.where("opens and bound + others >= least")
+        if bm25._few(weighted) and (opened.agg(F.sum("n")).first()[0] or 0) > FEW:
+            return bm25.ranked(self._scanned(weighted, k, query, number), k, query, key)
         found = self._postings(opened, dead, "least", "rest").groupBy("query_id", key).agg(F.sum("gain").alias("gain"), F.any_value("least").alias("least"), F.any_value("rest").alias("rest"))
-        found = checkpointed(found.where("gain + rest >= least").select("query_id", key, "gain"))
+        found = checkpointed(found.where("gain + rest >= least").select("query_id", key, "gain"), own)
         more = self._postings(limited.where("not opens"), dead).join(broadcast_if_small(found.select("query_id", key), FEW), ["query_id", key], "left_semi")
         scores = found.union(more.select("query_id", key, "gain")).groupBy("query_id", key).agg(F.sum("gain").alias("score"))
         return bm25.ranked(scores.withColumnRenamed("query_id", query), k, query, key)
 
+    def _scanned(self, weighted: DataFrame, k: int, query: str, number: int) -> DataFrame:
+        """query, key, score: every document scored where its terms are read, of which each task sends its best."""
+        rows, key = weighted.toArrow(), self.key
+        numbers: dict = {}
+        asks = np.array([numbers.setdefault(x, len(numbers)) for x in rows.column("query_id").to_pylist()], dtype=np.int64)
+        ids = pa.array(list(numbers), type=rows.schema.field("query_id").type)
+        words = rows.column("term").combine_chunks().dictionary_encode()
+        term = words.indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        starts = np.r_[0, np.cumsum(np.bincount(term, minlength=len(words.dictionary)))]
+        score = bm25._scorer(starts, asks[order], rows.column("a").to_numpy()[order], ids, k, (query, key))
+        weigh = _weighed(words.dictionary, rows.column("avgdl")[0].as_py())
+        docs = self._read("docs", number).select(key, "dl", "terms", "tfs")
+        schema = StructType([StructField(query, weighted.schema["query_id"].dataType), StructField(key, docs.schema[key].dataType), StructField("score", DoubleType())])
+        return docs.mapInArrow(lambda batches: score(weigh(batches)), schema)
+
 
 def build(at: Store, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "bm25", buckets: int = BUCKETS, batches: Sequence[DataFrame] = ()) -> SearchIndex:
     """An index of documents, further batches of which are updates."""

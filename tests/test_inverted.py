@@ -107,3 +107,30 @@ def test_a_task_orders_a_segment_at_a_time(spark):
     assert len(sizes) > 5 and max(sizes.values()) < 2 * 50 + len(WORDS)
     got = sorted((k, r["term"], tf, dl) for r in made for k, tf, dl in zip(r["keys"], r["tfs"], r["dls"], strict=True))
     assert got == sorted((r.doc_id, t, tf, r.dl) for r in docs.collect() for t, tf in zip(r.terms, r.tfs, strict=True))
+
+
+def test_updates_and_searches_leave_no_scratch_but_the_hits(spark, tmp_path, monkeypatch):
+    (tmp_path / "work").mkdir()
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(session, "work_folder", lambda _: f"file://{tmp_path}/work/{uuid.uuid4().hex}")
+    index = inverted.build(Store.create(spark, f"file://{tmp_path}/i"), _docs(spark, [(1, "a b"), (2, "b c")]), buckets=2)
+    index.update(_docs(spark, [(2, "c c")]), _docs(spark, [(1, None)]))
+    assert not list((tmp_path / "work").iterdir())
+    assert [(r.query_id, r.doc_id) for r in index.search(spark.createDataFrame([(1, "a b c")], "query_id long, text string"), 3).collect()] == [(1, 2)]
+    assert len(list((tmp_path / "work").iterdir())) == 1 and spark.conf.get("spark.sql.files.maxPartitionBytes") == split
+
+
+def test_few_first_blocks_change_no_result(spark, grown, monkeypatch):
+    index, left = grown
+    monkeypatch.setattr(inverted, "FIRST", 1)
+    assert _rows(index.search(_queries(spark), 5)) == _rows(bm25.search(_docs(spark, list(left.items())), _queries(spark), 5))
+
+
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_documents_are_scored_where_bounds_rule_out_few(spark, grown, monkeypatch, k):
+    index, left = grown
+    monkeypatch.setattr(inverted, "FEW", 0)
+    done = []
+    monkeypatch.setattr(SearchIndex, "_scanned", lambda *a, whole=SearchIndex._scanned: done.append(1) or whole(*a))
+    want = bm25.search(_docs(spark, list(left.items())), _queries(spark), k)
+    assert _rows(index.search(_queries(spark), k)) == _rows(want) and done
